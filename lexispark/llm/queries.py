@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexispark.llm import decontaminate, exact_dedup, mixing, sharding, warc
+from lexispark.llm import decontaminate, exact_dedup, language, mixing, quality, sharding, toxicity, warc
+from lexispark.llm.text import fold
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -15,11 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(fold(labels["doc_id"], 3) != 1))
+    held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.kd_shards(table(spark, sf_dir, "documents"), n_shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(fold(docs["doc_id"], 5) != 0))
+    held_out = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out, "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,6 +43,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), labels.filter(fold(labels["doc_id"], 3) != 1))
+    held_out = (fold(F.col("doc_id"), 3) == 1).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,7 +60,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_kd_sharding, op5_mixing, op6_warc, op8_exact_dedup, op9_decontaminate)
+    f.__name__: f for f in (op2_toxicity, op3_kd_sharding, op4_language, op5_mixing, op6_warc, op7_quality, op8_exact_dedup, op9_decontaminate)
 }
 
 SQL: dict[str, str] = {

@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+
+from lexispark.llm.text import append
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -92,26 +93,24 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     out = docs.drop("n_words", "hits", "items").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(HITS), "items": F.array().cast("array<string>")})
-    schema = out.schema
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
         tables = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in part], window))
 
-        def search(batches: Iterator[pd.DataFrame], tables=tables) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                counts, hits, found = [], [], []
-                for text, had, known in zip(rows[text_col], rows["hits"], rows["items"], strict=True):
-                    words, spans, ids = words_of(text), [(h["start"], h["end"]) for h in had], set(known)
-                    for t in tables.value:
-                        for start, of in t.search(words):
-                            spans.append((start, start + t.length))
-                            ids.update(of)
-                    counts.append(len(words))
-                    hits.append([{"start": a, "end": b} for a, b in merged(spans)])
-                    found.append(sorted(ids))
-                yield rows.assign(n_words=pd.array(counts, dtype="int64"), hits=hits, items=found)
-
-        out = out.mapInPandas(search, schema)
+        def search(texts: list[str | None], had: list, known: list, tables=tables) -> tuple[list, list, list]:
+            counts, hits, found = [], [], []
+            for text, spans, ids in zip(texts, had, known, strict=True):
+                words, spans, ids = words_of(text), [(h["start"], h["end"]) for h in spans], set(ids)
+                for t in tables.value:
+                    for start, of in t.search(words):
+                        spans.append((start, start + t.length))
+                        ids.update(of)
+                counts.append(len(words))
+                hits.append([{"start": a, "end": b} for a, b in merged(spans)])
+                found.append(sorted(ids))
+            return counts, hits, found
+
+        out = append(out, [text_col, "hits", "items"], f"n_words long, hits {HITS}, items array<string>", lambda search=search: search)
     return out
 
 

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lexispark.llm.text import append
+
 #: Bounds of what is learned: documents a language, languages, words in the table.
 MAX_PER_LANG, MAX_LANGS, MAX_WORDS = 1000, 1000, 200_000
 PENALTY, FLOOR = 12.0, -6.0
@@ -172,28 +174,24 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     favouring any; a text of such words only gets the most frequent learned language, score 0.
     Columns named like the results are replaced; other columns and repeated rows are kept.
     """
-    base = docs.drop("lang_spans", "lang_pred", "score")
-    schema = base.withColumns({"lang_spans": F.array().cast(SPANS), "lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for b in batches:
-            spans, preds, scores = [], [], []
-            for text in b[text_col]:
-                found = m.spans(text)
-                share: Counter = Counter()
-                for start, end, lang in found:
-                    share[lang] += end - start
-                spans.append([{"start": s, "end": e, "lang": x} for s, e, x in found])
-                if not share:
-                    preds.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                top, n = min(share.items(), key=lambda x: (-x[1], x[0]))
-                blank = len(found) == 1 and not any(script(w.group()) in m.allowed for w in LETTERS.finditer(text))
-                preds.append(m.langs[m.prior] if blank else top)
-                scores.append(0.0 if blank else n / sum(share.values()))
-            yield b.assign(lang_spans=spans, lang_pred=preds, score=scores)
-
-    return base.mapInPandas(run, schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded as the learned tables are
+
+    def label(texts: list[str | None]) -> tuple[list, list[str], list[float]]:
+        m, spans, preds, scores = shared.value, [], [], []
+        for text in texts:
+            found = m.spans(text)
+            share: Counter = Counter()
+            for start, end, lang in found:
+                share[lang] += end - start
+            spans.append([{"start": s, "end": e, "lang": x} for s, e, x in found])
+            if not share:
+                preds.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            top, n = min(share.items(), key=lambda x: (-x[1], x[0]))
+            blank = len(found) == 1 and not any(script(w.group()) in m.allowed for w in LETTERS.finditer(text))
+            preds.append(m.langs[m.prior] if blank else top)
+            scores.append(0.0 if blank else n / sum(share.values()))
+        return spans, preds, scores
+
+    return append(docs, [text_col], f"lang_spans {SPANS}, lang_pred string, score double", lambda: label)

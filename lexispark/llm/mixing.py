@@ -88,6 +88,20 @@ def sampling_rates(raked: DataFrame, budget: float, rounds: int = 64) -> DataFra
     return raked.withColumn("rate", F.when(F.col("tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("weight") * F.lit(scale) / F.col("tokens"))))
 
 
+def cell_columns(docs: DataFrame, text_col: str = "text", topic: Column | None = None) -> dict[str, Column]:
+    """The margins of a row of ``docs``; nulls and missing columns are "(none)"."""
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    col = lambda c: named(docs[c]) if c in docs.columns else F.lit(NONE)
+    return {"source": col("source"), "lang": col("lang"), "topic": named(topic_of(docs[text_col].cast("string")) if topic is None else topic)}
+
+
+def cell_rates(rows: DataFrame, targets: DataFrame | None, temperature: float, budget: float, sweeps: int) -> DataFrame:
+    """``source, lang, topic, rate`` from rows with those margins and ``tokens``."""
+    cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+    raked = rake(cells, default_targets(cells, MARGINS, temperature) if targets is None else targets, MARGINS, sweeps)
+    return sampling_rates(raked, budget).select(*MARGINS, "rate")
+
+
 def mix(docs: DataFrame, targets: DataFrame | None = None, temperature: float = 0.7, budget: float = 0.5, sweeps: int = 8, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
     """``id_col, source, lang, topic, n_tokens, rate, sampled``, one row per input row.
 
@@ -97,18 +111,16 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, temperature: float =
     too. Null or empty text has 0 tokens. Rows that repeat an id share one draw. An empty table
     gives an empty result. Other columns are ignored.
     """
-    def named(c: Column) -> Column:
-        return F.coalesce(c.cast("string"), F.lit(NONE))
-
-    col = lambda c: named(docs[c]) if c in docs.columns else F.lit(NONE)
-    text = docs[text_col].cast("string")
-    rows = materialize(
-        docs.select(docs[id_col].alias("_id"), col("source").alias("source"), col("lang").alias("lang"), named(topic_of(text) if topic is None else topic).alias("topic"), token_count(text).alias("tokens")),
-        "document-cells",
-    )
-    cells = materialize(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = rake(cells, default_targets(cells, MARGINS, temperature) if targets is None else targets, MARGINS, sweeps)
-    rates = sampling_rates(raked, budget)
-    return rows.join(rates.select(*MARGINS, "rate"), list(MARGINS)).select(
+    cells = cell_columns(docs, text_col, topic)
+    rows = materialize(docs.select(docs[id_col].alias("_id"), *[c.alias(k) for k, c in cells.items()], token_count(docs[text_col].cast("string")).alias("tokens")), "document-cells")
+    return rows.join(cell_rates(rows, targets, temperature, budget, sweeps), list(MARGINS)).select(
         F.col("_id").alias(id_col), *MARGINS, F.col("tokens").alias("n_tokens"), F.round("rate", 6).alias("rate"), (draw(F.col("_id"), seed) < F.col("rate")).alias("sampled")
     )
+
+
+def sample(docs: DataFrame, targets: DataFrame | None = None, temperature: float = 0.7, budget: float = 0.5, sweeps: int = 8, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, with their own columns, that :func:`mix` samples."""
+    cells = {f"_cell_{k}": c for k, c in cell_columns(docs, text_col, topic).items()}
+    rows = docs.select(*[c.alias(k.removeprefix("_cell_")) for k, c in cells.items()], token_count(docs[text_col].cast("string")).alias("tokens"))
+    rates = cell_rates(rows, targets, temperature, budget, sweeps).select(*[F.col(m).alias(f"_cell_{m}") for m in MARGINS], F.col("rate").alias("_rate"))
+    return docs.withColumns(cells).join(rates, list(cells)).filter(draw(F.col(id_col), seed) < F.col("_rate")).select(*docs.columns)

@@ -7,7 +7,7 @@ driver has the size of the feature space, whatever the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lexispark.functions.lineage import materialize
+from lexispark.llm.text import append
 
 FEATURES = 192
 BINS = 1024
@@ -46,14 +47,8 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, stats``, one row per input row, as a written table."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "stats": [statistics(t) for t in b["text"]]})
-
     rows = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return materialize(rows.mapInPandas(run, f"_id {kind}, stats array<double>"), "statistics")
+    return materialize(append(rows, ["text"], "stats array<double>", lambda: lambda texts: [[statistics(t) for t in texts]]).select("_id", "stats"), "statistics")
 
 
 @dataclass
@@ -77,8 +72,8 @@ class Model:
         return np.clip(np.interp(self.raw(stats), self.knots, self.levels), 0, 1)
 
 
-def matrix(b: pd.Series) -> np.ndarray:
-    return np.array(b.tolist(), dtype=np.float64).reshape(-1, len(STATS))
+def matrix(rows: Sequence[list[float]]) -> np.ndarray:
+    return np.array(list(rows), dtype=np.float64).reshape(-1, len(STATS))
 
 
 def pool(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -144,11 +139,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     """``_id, score`` for the rows of :func:`with_statistics`."""
     shared = stats.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"_id": b["_id"], "score": shared.value.scores(matrix(b["stats"]))})
-
-    return stats.mapInPandas(run, f"_id {stats.schema['_id'].dataType.simpleString()}, score double")
+    return append(stats, ["stats"], "score double", lambda: lambda rows: [shared.value.scores(matrix(rows))]).select("_id", "score")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

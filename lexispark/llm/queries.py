@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexispark.llm import decontaminate, exact_dedup, language, mixing, quality, sharding, toxicity, warc
+from lexispark.llm import decontaminate, exact_dedup, language, mixing, ngram_join, quality, sharding, toxicity, warc
 from lexispark.llm.text import fold
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(fold(labels["doc_id"], 3) != 1))
@@ -60,7 +64,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_toxicity, op3_kd_sharding, op4_language, op5_mixing, op6_warc, op7_quality, op8_exact_dedup, op9_decontaminate)
+    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_kd_sharding, op4_language, op5_mixing, op6_warc, op7_quality, op8_exact_dedup, op9_decontaminate)
 }
 
 SQL: dict[str, str] = {
@@ -125,3 +129,18 @@ def mixing_sql(sweeps: int = 8, temperature: float = 0.7, budget: float = 0.5) -
 
 
 SQL["op5_mixing"] = mixing_sql()
+
+# links at class level by an inverted index over whole sets, then components by a recursive walk
+SQL["op1_ngram_join"] = rf"""
+    WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    sh AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k : k + 4], ' ')) END)) AS s FROM w),
+    cls AS MATERIALIZED (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sh WHERE len(s) > 0 GROUP BY s),
+    tok AS MATERIALIZED (SELECT rep, n, unnest(s) AS t FROM cls),
+    link AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM tok a JOIN tok b ON a.t = b.t AND a.rep < b.rep AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+             GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    walk(node, low) AS (SELECT rep, rep FROM cls UNION SELECT sym.b, walk.low FROM walk JOIN sym ON sym.a = walk.node WHERE walk.low < sym.b),
+    comp AS (SELECT node, min(low) AS low FROM walk GROUP BY node)
+    SELECT sh.doc_id, len(sh.s)::BIGINT AS n_shingles, coalesce(comp.low, sh.doc_id) AS component_id
+    FROM sh LEFT JOIN cls ON sh.s = cls.s AND len(sh.s) > 0 LEFT JOIN comp ON comp.node = cls.rep"""

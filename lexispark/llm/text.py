@@ -1,8 +1,13 @@
-"""Text expressions that several operators share."""
+"""Text expressions and row maps that several operators share."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -16,3 +21,25 @@ def ascii_lower(text: Column) -> Column:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def append(df: DataFrame, inputs: Sequence[str], added: str, start: Callable[[], Callable[..., Sequence]]) -> DataFrame:
+    """``df`` with the columns of the DDL string ``added``, computed batch by batch in map tasks.
+
+    ``start()`` is called once a task and gives the function from lists of the ``inputs`` to one list
+    for each added column. All other columns pass through as Arrow, so nulls and large numbers keep
+    their values. Columns of ``df`` with the names of added ones are replaced.
+    """
+    new = StructType.fromDDL(added)
+    base = df.drop(*[c for c in new.names if c not in inputs])
+    rest = [f for f in base.schema.fields if f.name not in new.names]
+    types = list(to_arrow_schema(new).types)
+    kept, names = [f.name for f in rest], [f.name for f in rest] + new.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for b in batches:
+            found = compute(*[b.column(c).to_pylist() for c in inputs])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(x, type=t) for x, t in zip(found, types, strict=True)]], names=names)
+
+    return base.mapInArrow(run, StructType([*rest, *new.fields]))

@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lexispark.llm.text import append
+
 #: Bound of the sample that the classifier is fitted on, for each of the two labels.
 MAX_PER_CLASS = 1200
 ORDERS = (4, 5, 6)
@@ -140,11 +142,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     A column of ``docs`` named ``score`` is replaced, all others and every row are kept.
     """
-    base = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights
+    return append(docs, [text_col], "score double", lambda: lambda texts: [shared.value.scores(texts)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(score=shared.value.scores(b[text_col].tolist()))
 
-    return base.mapInPandas(run, base.withColumn("score", F.lit(0.0)).schema)
+def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their own columns, that score below ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = append(docs, [text_col], "_toxicity double", lambda: lambda texts: [shared.value.scores(texts)])
+    return scored.filter(F.col("_toxicity") < threshold).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexispark.llm import decontaminate, exact_dedup, language, mixing, ngram_join, quality, sharding, toxicity, warc
+from lexispark.llm import decontaminate, exact_dedup, language, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity, warc
 from lexispark.llm.text import fold
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -63,8 +63,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark")))
 
 
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_kd_sharding, op4_language, op5_mixing, op6_warc, op7_quality, op8_exact_dedup, op9_decontaminate)
+    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_kd_sharding, op4_language, op5_mixing, op6_warc, op7_quality, op8_exact_dedup, op9_decontaminate, op10_suffix_dedup)
 }
 
 SQL: dict[str, str] = {

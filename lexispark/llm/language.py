@@ -12,7 +12,7 @@ import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,60 +48,70 @@ class Model:
     langs: list[str]
     words: dict[str, int]  # row of each known word
     table: np.ndarray  # scores of known words
-    grams: dict[str, np.ndarray]  # log-probabilities of a trigram by language
-    unseen: np.ndarray
+    grams: dict[str, int]  # row of each known trigram
+    gram_table: np.ndarray  # log-probabilities of the trigrams by language; row 0 for unseen ones
     allowed: dict[str, np.ndarray]  # by script: which languages write it
     prior: int
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Log-posteriors of the languages given the word's trigrams, within its script's candidates."""
-        return settle(sum((self.grams.get(g, self.unseen) for g in trigrams(word)), np.zeros(len(self.langs))), self.allowed.get(script(word)))
-
-    def matrix(self, words: list[str]) -> np.ndarray:
-        if len(self.cache) > 300_000:  # a cache only: what is dropped is computed anew
-            self.cache.clear()
-        rows = np.fromiter((self.words.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+    def by_trigrams(self, words: list[str]) -> np.ndarray:
+        """Log-posteriors of the languages given the words' trigrams, within their scripts' candidates."""
+        known = self.grams.get
+        rows = [known(w[k : k + 3], 0) for w in map("^{}$".format, words) for k in range(len(w) - 2)]
+        starts = np.cumsum([0, *map(len, words[:-1])])  # a word has as many trigrams as letters
+        none = np.zeros(len(self.langs), dtype=bool)
+        return settle(np.add.reduceat(self.gram_table[rows], starts, axis=0), np.array([self.allowed.get(script(w), none) for w in words]))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        known = self.words.get
+        rows = np.array([known(w, -1) for w in words], dtype=np.int64)
         out = self.table[rows]
-        for k in np.flatnonzero(rows < 0).tolist():
-            w = words[k]
-            s = self.cache.get(w)
-            if s is None:
-                s = self.cache[w] = self.word_scores(w)
-            out[k] = s
+        unknown = np.flatnonzero(rows < 0)
+        if len(unknown):
+            place: dict[str, int] = {}
+            at = [place.setdefault(words[k], len(place)) for k in unknown.tolist()]
+            out[unknown] = self.by_trigrams(list(place))[at]
         return out
 
-    def spans(self, text: str | None, penalty: float = PENALTY) -> list[tuple[int, int, str]]:
-        """(first word, past the last, language) over the words of letters."""
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
-            return []
-        path = best_path(self.matrix(words), penalty)
-        cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(words)]
-        return [(a, b, self.langs[path[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def settle(logp: np.ndarray, allowed: np.ndarray | None) -> np.ndarray:
-    """Normed log-posteriors, not below FLOOR; languages that don't write the script are at FLOOR."""
-    if allowed is None or not allowed.any():
-        return np.zeros(len(logp), dtype=np.float32)
+    def spans(self, texts: list[str | None], penalty: float = PENALTY) -> Iterator[list[tuple[int, int, str]]]:
+        """For each text (first word, past the last, language) over its words of letters."""
+        for at in range(0, len(texts), 200):
+            words = [LETTERS.findall(t.lower()) if t and self.langs else [] for t in texts[at : at + 200]]
+            flat = [w for ws in words for w in ws]
+            scores = self.scores(flat) if flat else self.table[:0]
+            start = 0
+            for ws in words:
+                if not ws:
+                    yield []
+                    continue
+                path = best_path(scores[start : start + len(ws)], penalty)
+                start += len(ws)
+                cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(ws)]
+                yield [(a, b, self.langs[path[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def settle(logp: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Row by row normed log-posteriors, not below FLOOR. Languages that don't write a word's script are at FLOOR; if none does, all are at 0."""
     top = np.where(allowed, logp, -np.inf)
-    top = top - top.max()
-    return np.maximum(top - np.log(np.exp(top).sum()), FLOOR).astype(np.float32)
+    some = allowed.any(axis=1)
+    top[~some] = 0
+    top -= top.max(axis=1, keepdims=True)
+    out = np.maximum(top - np.log(np.exp(top).sum(axis=1, keepdims=True)), FLOOR)
+    out[~some] = 0
+    return out.astype(np.float32)
 
 
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     """The path of highest score, where each change of language costs ``penalty``.
 
-    A change away from the best single language pays only if some stretch gains more than one
-    penalty; where the largest such gain is below it, that language is the answer. Else the full
-    recursion runs.
+    An excursion of r spans from the best single language costs at least r penalties. Where no
+    other language gains more than one penalty over any stretch, that language is the answer; else the
+    full recursion runs.
     """
     n, langs = scores.shape
-    totals = scores.sum(axis=0, dtype=np.float64)
-    one = int(totals.argmax())
-    gain = np.concatenate([[0.0], np.cumsum(scores.max(axis=1).astype(np.float64) - scores[:, one])])
-    if langs == 1 or (gain - np.minimum.accumulate(gain)).max() <= penalty:
+    one = int(scores.sum(axis=0, dtype=np.float64).argmax())
+    gain = np.zeros((n + 1, langs))
+    np.cumsum(scores - scores[:, one : one + 1], axis=0, dtype=np.float64, out=gain[1:])
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty:
         return np.full(n, one)
     back, value = np.empty((n, langs), dtype=np.int32), scores[0].astype(np.float64)
     stay = np.arange(langs)
@@ -123,7 +133,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.filter(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[id_col].alias("_id"), docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
     counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
     if not counts:
-        return Model([], {}, np.zeros((1, 0), np.float32), {}, np.zeros(0), {}, 0)
+        return Model([], {}, np.zeros((1, 0), np.float32), {}, np.zeros((1, 0), np.float32), {}, 0)
     rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
     picked = rows.filter((F.xxhash64("_id", "lang") / float(1 << 64) + 0.5) < rate[F.col("lang")])
 
@@ -154,12 +164,13 @@ def learned(langs: list[str], found: pd.DataFrame) -> Model:
     total_w = sum(word_n.values(), np.zeros(len(langs))) + 1
     total_g = sum(gram_n.values(), np.zeros(len(langs))) + len(gram_n) + 1
     allowed = {s: v / total_w >= 0.01 for s, v in script_n.items()}
-    grams = {g: np.log((v + 0.5) / total_g) for g, v in gram_n.items()}
-    model = Model(langs, {}, np.zeros((1, len(langs)), np.float32), grams, np.log(0.5 / total_g), allowed, int(total_w.argmax()))
-    model.words = {w: k for k, w in enumerate(word_n)}
-    # a known word is judged by its own counts, smoothed with what its trigrams say
-    rows = [settle(np.log(v / total_w + 1e-5 * np.exp(model.word_scores(w).astype(np.float64))), allowed.get(script(w))) for w, v in word_n.items()]
-    model.table = np.array(rows, dtype=np.float32).reshape(-1, len(langs)) if rows else model.table
+    grams = {g: k for k, g in enumerate(gram_n, 1)}
+    gram_table = np.log((np.vstack([np.zeros(len(langs)), *gram_n.values()]) + 0.5) / total_g).astype(np.float32)
+    model = Model(langs, {w: k for k, w in enumerate(word_n)}, np.zeros((1, len(langs)), np.float32), grams, gram_table, allowed, int(total_w.argmax()))
+    if word_n:  # a known word is judged by its own counts, smoothed with what its trigrams say
+        own = np.vstack(list(word_n.values())) / total_w + 1e-5 * np.exp(model.by_trigrams(list(word_n)).astype(np.float64))
+        none = np.zeros(len(langs), dtype=bool)
+        model.table = settle(np.log(own), np.array([allowed.get(script(w), none) for w in word_n]))
     return model
 
 
@@ -178,8 +189,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def label(texts: list[str | None]) -> tuple[list, list[str], list[float]]:
         m, spans, preds, scores = shared.value, [], [], []
-        for text in texts:
-            found = m.spans(text)
+        for text, found in zip(texts, m.spans(texts), strict=True):
             share: Counter = Counter()
             for start, end, lang in found:
                 share[lang] += end - start

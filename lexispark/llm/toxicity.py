@@ -20,6 +20,8 @@ from lexispark.llm.text import append
 MAX_PER_CLASS = 1200
 ORDERS = (4, 5, 6)
 BITS = 18
+#: Training rows whose n-grams are looked at together; bounds the driver's working memory.
+BLOCK = 128
 #: Scale of a feature's value, so that margins start near 0.
 UNIT = 1 / 30
 #: Characters that are hashed at once; longer texts are read in overlapping pieces.
@@ -102,26 +104,25 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
         share = float(y.mean()) if len(y) else 0.0
         return Model(zero, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     features = [np.frombuffer(b, dtype=np.uint32) for b in rows["b"]]
-    del rows
-    sizes = np.array([len(f) for f in features])
-    index, start = np.concatenate(features).astype(np.intp), np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    del features
-    of = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
-    df1 = np.bincount(index, weights=(y == 1)[of], minlength=1 << BITS)
-    df0 = np.bincount(index, minlength=1 << BITS) - df1
+    blocks = [slice(k, k + BLOCK) for k in range(0, len(y), BLOCK)]
+    gathered = [(np.concatenate(features[k]), np.array([len(f) for f in features[k]])) for k in blocks]
+    del rows, features
+
+    def counts(weights: np.ndarray) -> np.ndarray:
+        """Sum of the rows' weights for each bucket."""
+        return sum(np.bincount(index, weights=np.repeat(weights[k], sizes), minlength=1 << BITS) for k, (index, sizes) in zip(blocks, gathered, strict=True))
+
+    df1, df0 = counts((y == 1) * 1.0), counts((y == 0) * 1.0)
     ratio = np.log((df1 + alpha) / (y.sum() + 2 * alpha)) - np.log((df0 + alpha) / (len(y) - y.sum() + 2 * alpha))
-    value = (ratio[index] * UNIT).astype(np.float32)
+    scale = ratio * UNIT
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both labels count the same
-    filled = sizes > 0
 
     def forward(v: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(y))
-        if filled.any():
-            out[filled] = np.add.reduceat(v[index] * value, start[filled])
-        return out
+        scaled = v * scale
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=scaled[index], minlength=len(sizes)) for index, sizes in gathered])
 
     def backward(g: np.ndarray) -> np.ndarray:
-        return np.bincount(index, weights=g[of] * value, minlength=1 << BITS)
+        return counts(g) * scale
 
     u = np.random.default_rng(0).normal(size=1 << BITS)
     for _ in range(8):  # power iteration: the largest curvature gives the step

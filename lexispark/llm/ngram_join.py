@@ -155,7 +155,7 @@ def candidates(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``key, n, frag, tokens``: the whole sets of the wanted ``_id, key``, cut at fixed hashes."""
+    """``of_cell, frag, key, n, tokens``: the whole sets of the wanted ``_id, key, cells``, cut at fixed hashes, for each cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -164,10 +164,10 @@ def segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 key = int(np.array([set_key(s)], dtype=np.uint64).view(np.int64)[0]) if len(s) else None
                 if key == b["key"].iat[k]:  # an id may stand for several texts
                     cuts = np.searchsorted(s, np.array([f << 62 for f in range(1, COUNT_FRAGMENTS)], dtype=np.uint64))
-                    out += [(key, len(s), f, x.tobytes()) for f, x in enumerate(np.split(s, cuts))]
-            yield pd.DataFrame(out, columns=["key", "n", "frag", "tokens"])
+                    out += [(int(c), f, key, len(s), x.tobytes()) for f, x in enumerate(np.split(s, cuts)) for c in b["cells"].iat[k]]
+            yield pd.DataFrame(out, columns=["of_cell", "frag", "key", "n", "tokens"])
 
-    return texts.join(wanted, "_id").select("key", "text").mapInPandas(run, "key long, n long, frag int, tokens binary").dropDuplicates(["key", "frag"])
+    return texts.join(wanted, "_id").select("key", "cells", "text").mapInPandas(run, "of_cell int, frag int, key long, n long, tokens binary")
 
 
 def partial_overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
@@ -183,32 +183,38 @@ def partial_overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "na", "nb", "common"])
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose partial overlaps sum up to the threshold: ``a, b, na, nb, common``."""
+def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose partial overlaps sum up to the threshold.
+
+    Pairs are dealt to cells by their first class; only texts of classes in pairs are read, and
+    their segments go to the cells that need them.
+    """
     cells = max(8, ceil(pairs.count() / CELL_PAIRS))
-    placed = pairs.withColumn("cell", F.pmod(F.hash("a", F.pmod(F.hash("b"), F.lit(SPREAD))), F.lit(cells)))
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_degree"))
+    salt = F.when(F.col("_degree") > CELL_PAIRS // SPREAD, F.pmod(F.hash("b"), F.lit(SPREAD))).otherwise(0)
+    placed = materialize(pairs.join(degree, "a").select("a", "b", F.pmod(F.hash("a", salt), F.lit(cells)).alias("cell")), "cells")
     members = placed.select(F.col("cell").alias("of_cell"), F.col("a").alias("key")).union(placed.select("cell", "b")).distinct()
+    wanted = members.join(classes, "key").groupBy(F.col("_first").alias("_id"), "key").agg(F.collect_set("of_cell").alias("cells"))
     wide = placed.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))))
-    parts = wide.groupBy("cell", "frag").cogroup(members.join(sets, "key").groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, "a long, b long, na long, nb long, common long")
+    parts = wide.groupBy("cell", "frag").cogroup(segments(texts, wanted).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, "a long, b long, na long, nb long, common long")
     summed = parts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"))
-    return summed.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common")))
+    similar = summed.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common")))
+    return materialize(similar.select("a", "b"), "links", release=True)
 
 
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, n, key, component_id`` per row; see :func:`jaccard_components`."""
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").cast("binary").alias("text"))
     sigs = materialize(signatures(texts), "signatures")
-    classes = sigs.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_first"))
+    classes = materialize(sigs.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_first")), "classes")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = min(65_536, max(16, ceil(size / FRAGMENT_BYTES)))
     packed = prefixes(texts.filter("_id is not null"), frequent_shingles(texts), fragments)
-    found = materialize(packed.groupBy("frag").applyInPandas(candidates, "a long, b long, token long, n long, pos long"), "candidates")
+    found = materialize(packed.groupBy("frag").applyInPandas(candidates, "a long, b long, token long, n long, pos long"), "candidates", release=True)
     pairs = materialize(found.filter("b is not null").select("a", "b").distinct(), "pairs")
     lists = found.filter("token is not null").select(F.col("a").alias("key"), "token", "n", "pos")
 
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).union(lists.select("key")).distinct()
-    sets = materialize(segments(texts, classes.join(needed, "key").select(F.col("_first").alias("_id"), "key")), "segments")
-    linked = materialize(links(pairs, sets).select("a", "b"), "links")
+    linked = links(pairs, texts, classes)
     inside = connected_components(linked).select(F.col("node").alias("key"), "component")
 
     labelled = materialize(lists.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key")), "lists")
@@ -222,7 +228,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     open_pairs = materialize(open_pairs, "open-pairs")
     if not open_pairs.isEmpty():
-        inside = connected_components(linked.union(links(open_pairs, sets).select("a", "b"))).select(F.col("node").alias("key"), "component")
+        inside = connected_components(linked.union(links(open_pairs, texts, classes))).select(F.col("node").alias("key"), "component")
     member = classes.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key"))
     firsts = member.groupBy("component").agg(F.min("_first").alias("component_id"))
     resolved = materialize(member.join(firsts, "component").select("key", "component_id"), "components")

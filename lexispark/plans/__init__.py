@@ -1 +1,4 @@
+"""Queries over the tables of a data folder: ``QUERIES`` by name and the ``SQL`` that they match."""
 
+from lexispark.plans import retrieval_queries  # noqa: F401  registers its queries
+from lexispark.plans.catalog import QUERIES, SQL  # noqa: F401

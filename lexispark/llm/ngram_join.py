@@ -36,8 +36,8 @@ SHORT = 8
 FREQUENT, FREQUENT_IN_BATCH = 1 << 17, 3
 #: Bytes of text a fragment stands for, and fragments that count overlaps.
 FRAGMENT_BYTES, COUNT_FRAGMENTS = 16 << 20, 4
-#: Pairs of a cell in which segments are compared; a class with many partners is spread over SPREAD cells.
-CELL_PAIRS, SPREAD = 2000, 64
+#: Pairs of a cell in which segments are compared.
+CELL_PAIRS = 2000
 
 
 def _sets(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
@@ -154,8 +154,8 @@ def candidates(rows: pd.DataFrame) -> pd.DataFrame:
     return out.reindex(columns=["a", "b", "token", "n", "pos"])
 
 
-def segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``of_cell, frag, key, n, tokens``: the whole sets of the wanted ``_id, key, cells``, cut at fixed hashes, for each cell."""
+def segments(texts: DataFrame, wanted: DataFrame, fragments: range) -> DataFrame:
+    """``of_cell, frag, key, n, tokens``: those fragments of the sets of the wanted ``_id, key, cells``, for each cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,14 +163,18 @@ def segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for k, s in _sets(b):
                 key = int(np.array([set_key(s)], dtype=np.uint64).view(np.int64)[0]) if len(s) else None
                 if key == b["key"].iat[k]:  # an id may stand for several texts
-                    cuts = np.searchsorted(s, np.array([f << 62 for f in range(1, COUNT_FRAGMENTS)], dtype=np.uint64))
-                    out += [(int(c), f, key, len(s), x.tobytes()) for f, x in enumerate(np.split(s, cuts)) for c in b["cells"].iat[k]]
+                    cuts = [0, *np.searchsorted(s, np.array([f << 62 for f in range(1, COUNT_FRAGMENTS)], dtype=np.uint64)).tolist(), len(s)]
+                    out += [(int(c), f, key, len(s), s[cuts[f] : cuts[f + 1]].tobytes()) for f in fragments for c in b["cells"].iat[k]]
             yield pd.DataFrame(out, columns=["of_cell", "frag", "key", "n", "tokens"])
 
     return texts.join(wanted, "_id").select("key", "cells", "text").mapInPandas(run, "of_cell int, frag int, key long, n long, tokens binary")
 
 
+PARTIAL = "a long, b long, na long, nb long, sa long, sb long, common long"
+
+
 def partial_overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """Sizes and common shingles of one fragment's segments, per pair of one cell."""
     by_key = {k: (n, np.frombuffer(t, dtype=np.uint64)) for k, n, t in zip(sets["key"], sets["n"], sets["tokens"], strict=True)}
     out = []
     for a, b in zip(pairs["a"], pairs["b"], strict=True):
@@ -179,27 +183,41 @@ def partial_overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
             small, large = (x, y) if len(x) < len(y) else (y, x)
             at = np.searchsorted(large, small)
             at[at == len(large)] = 0
-            out.append((a, b, na, nb, int(np.count_nonzero(large[at] == small)) if len(large) else 0))
-    return pd.DataFrame(out, columns=["a", "b", "na", "nb", "common"])
+            out.append((a, b, na, nb, len(x), len(y), int(np.count_nonzero(large[at] == small)) if len(large) else 0))
+    return pd.DataFrame(out, columns=["a", "b", "na", "nb", "sa", "sb", "common"])
 
 
-def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose partial overlaps sum up to the threshold.
+def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, fragments: range) -> DataFrame:
+    """``PARTIAL``, summed over those fragments, of the pairs.
 
-    Pairs are dealt to cells by their first class; only texts of classes in pairs are read, and
-    their segments go to the cells that need them.
+    Classes are dealt to blocks and pairs to cells of two blocks, so a class goes to no more cells
+    than there are blocks, whatever the number of its partners, and a cell is bounded too.
     """
-    cells = max(8, ceil(pairs.count() / CELL_PAIRS))
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_degree"))
-    salt = F.when(F.col("_degree") > CELL_PAIRS // SPREAD, F.pmod(F.hash("b"), F.lit(SPREAD))).otherwise(0)
-    placed = materialize(pairs.join(degree, "a").select("a", "b", F.pmod(F.hash("a", salt), F.lit(cells)).alias("cell")), "cells")
+    blocks = max(4, ceil((pairs.count() / CELL_PAIRS * 2) ** 0.5))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = materialize(pairs.select("a", "b", (F.least(place("a"), place("b")) * blocks + F.greatest(place("a"), place("b"))).alias("cell")), "cells")
     members = placed.select(F.col("cell").alias("of_cell"), F.col("a").alias("key")).union(placed.select("cell", "b")).distinct()
     wanted = members.join(classes, "key").groupBy(F.col("_first").alias("_id"), "key").agg(F.collect_set("of_cell").alias("cells"))
-    wide = placed.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))))
-    parts = wide.groupBy("cell", "frag").cogroup(segments(texts, wanted).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, "a long, b long, na long, nb long, common long")
-    summed = parts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"))
-    similar = summed.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common")))
-    return materialize(similar.select("a", "b"), "links", release=True)
+    wide = placed.withColumn("frag", F.explode(F.array(*[F.lit(f) for f in fragments])))
+    parts = wide.groupBy("cell", "frag").cogroup(segments(texts, wanted, fragments).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, PARTIAL)
+    summed = parts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), *[F.sum(c).alias(c) for c in ("sa", "sb", "common")])
+    return materialize(summed, "overlaps", release=True)
+
+
+def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose partial overlaps sum up to the threshold.
+
+    The first fragment is counted for all pairs. A pair goes on only if it could still link with
+    all of its other shingles in common.
+    """
+    first = overlaps(pairs, texts, classes, range(1))
+    need = PERCENT * (F.col("na") + F.col("nb"))
+    rest = F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
+    open_ = first.filter((100 + PERCENT) * (F.col("common") + rest) >= need)
+    others = overlaps(open_.select("a", "b"), texts, classes, range(1, COUNT_FRAGMENTS))
+    both = open_.select("a", "b", "na", "nb", "common").union(others.select("a", "b", "na", "nb", "common"))
+    summed = both.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"))
+    return materialize(summed.filter((100 + PERCENT) * F.col("common") >= need).select("a", "b"), "links")
 
 
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,12 +238,12 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labelled = materialize(lists.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key")), "lists")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
     some = labelled.join(mixed, "token")
+    some = materialize(some.join(some.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "key"), "mixed-lists")
     x, y = some.alias("x"), some.alias("y")
-    open_pairs = (
-        x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")))
-        .filter(possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    )
+    # a pair that shares several lists is taken from the first of them
+    once = (F.col("x.token") == F.col("y.token")) & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token"))
+    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    open_pairs = x.join(y, once & apart & possible(F.col("x.n"), F.col("y.n"), 0, 0)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).join(pairs, ["a", "b"], "left_anti")
     open_pairs = materialize(open_pairs, "open-pairs")
     if not open_pairs.isEmpty():
         inside = connected_components(linked.union(links(open_pairs, texts, classes))).select(F.col("node").alias("key"), "component")

@@ -43,6 +43,10 @@ VIEWS: dict[str, str] = {
     "lx_gold": f"SELECT CAST(item_id AS STRING) AS pair_id, item_id, {TOKENS}[{{first}}] AS source, {TOKENS}[{{last}}] AS target, CASE item_id % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'medium' ELSE 'weak' END AS tier, CASE WHEN item_id % 7 = 0 THEN 'archetypal' END AS register FROM benchmark",
     "lx_trials": "SELECT CAST(user_id AS STRING) || '-' || CAST(day AS STRING) AS trial_id, CAST(user_id AS STRING) AS prompt_name, generation, mrr, hits, n, parent_mrr, valid FROM (SELECT user_id, day, dense_rank() OVER (PARTITION BY user_id ORDER BY day) - 1 AS generation, mrr, hits, n, lag(mrr) OVER (PARTITION BY user_id ORDER BY day) AS parent_mrr, n % 11 <> 0 AS valid FROM (SELECT user_id, CAST(ts AS DATE) AS day, round(avg(CASE WHEN event_type = 'error' THEN 0 ELSE value END) / 100, 6) AS mrr, sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS hits, count(*) AS n FROM events GROUP BY user_id, CAST(ts AS DATE)) t) u",
     "lx_trial_pairs": "SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS trial_id, CAST(user_id AS STRING) AS prompt_name, event_id, event_type AS pair, CASE event_type WHEN 'click' THEN 'strong' WHEN 'view' THEN 'medium' ELSE 'weak' END AS tier, round(1 / (1 + floor(value)), 6) AS reciprocal_rank FROM events",
+    "lx_snap_vocab": "SELECT k AS vocab_id, tok AS lemma FROM lx_ranked_tokens JOIN embeddings ON k = vec_id + 1 WHERE label < 5",
+    "lx_snap_properties": "SELECT k AS property_id, tok AS text, embedding FROM lx_ranked_tokens LEFT JOIN embeddings ON k = vec_id + 1",
+    "lx_snap_links": "SELECT synset_id, k AS property_id, text, salience FROM lx_properties JOIN lx_ranked_tokens ON tok = text",
+    "lx_snap_clusters": "SELECT vocab_id, CAST(floor((vocab_id + 1) / 2) AS BIGINT) AS cluster_id FROM lx_snap_vocab",
     "lx_titles": "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, html FROM pages",
     "lx_marked": "SELECT page_id AS idx, 'see <b>' || title || '</b> here' AS s0, title AS human_ans, CASE page_id % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'fiction' ELSE NULL END AS genre FROM lx_titles",
 }

@@ -6,13 +6,13 @@ from collections.abc import Callable
 from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lexispark.functions.scores import classify_domain
 from lexispark.functions.text import extract_marked
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _unit_hash(keys: pd.Series) -> pd.Series:
     return keys.map(lambda k: int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), "big") / 2.0**64 if k else 0.0)
 

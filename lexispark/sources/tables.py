@@ -6,13 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lexispark.functions.text import normalise_text
 
 PROPERTY = "text string, salience double, type string, relation string"
-ENRICHMENT = "synsets array<struct<id:string,lemma:string,definition:string,pos:string,properties:array<string>,usage_example:string,lemma_metadata:array<struct<lemma:string,register:string,connotation:string>>>>"
-ENRICHED = T.StructType.fromDDL(f"{ENRICHMENT}, {ENRICHMENT.replace('synsets ', 'results ', 1)}, config struct<model:string>")
+SYNSETS = "array<struct<id:string,lemma:string,definition:string,pos:string,properties:array<string>,usage_example:string,lemma_metadata:array<struct<lemma:string,register:string,connotation:string>>>>"
+ENRICHED = f"synsets {SYNSETS}, results {SYNSETS}, config struct<model:string>"
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
@@ -104,7 +104,7 @@ def parse_enrichment(documents: DataFrame, json_col: str = "json") -> DataFrame:
     """
     doc = documents.select(F.monotonically_increasing_id().alias("doc_no"), F.from_json(json_col, ENRICHED).alias("d"))
     rows = F.coalesce("d.synsets", "d.results")
-    checked = doc.select("doc_no", F.coalesce("d.config.model", F.lit("unknown")).alias("model_used"), F.when(rows.isNull(), F.raise_error(F.lit("an enrichment document has neither synsets nor results")).cast(ENRICHED["synsets"].dataType)).otherwise(rows).alias("s"))
+    checked = doc.select("doc_no", F.coalesce("d.config.model", F.lit("unknown")).alias("model_used"), F.when(rows.isNull(), F.raise_error(F.lit("an enrichment document has neither synsets nor results")).cast(SYNSETS)).otherwise(rows).alias("s"))
     one = checked.select("doc_no", "model_used", F.posexplode("s").alias("row_no", "s"))
     return one.select("doc_no", "row_no", F.col("s.id").alias("synset_id"), "s.lemma", "s.definition", "s.pos", "model_used", "s.usage_example", "s.properties", "s.lemma_metadata")
 

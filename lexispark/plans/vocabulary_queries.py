@@ -282,3 +282,24 @@ def revert_predictions(v):
 @query()
 def model_shootout(v):
     return C.model_shootout(C.concreteness_training(vectors(v), v["lx_ratings"]), alphas=(0.1, 10.0), trees=(50,), depths=(10,), ks=(5, 10))
+
+
+@query("""WITH t AS (SELECT DISTINCT source || '/' || target AS text, source, target FROM lx_gold), p AS (SELECT text, source AS lemma FROM t UNION ALL SELECT text, target FROM t)
+    SELECT text, i::INT AS i, round(avg(x)::FLOAT::DOUBLE, 4) + 0.0 AS m FROM (SELECT text, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM p JOIN lx_vectors v ON v.lemma = p.lemma) GROUP BY 1, 2""")
+def compound_embedding(v):
+    texts = v["lx_gold"].select(F.concat("source", F.lit("/"), "target").alias("text"))
+    out = E.compound_embedding(texts, v["lx_vectors"]).select("text", F.posexplode("embedding").alias("i", "m"))
+    return out.withColumn("m", F.round(F.col("m").cast("double"), 4) + 0.0)
+
+
+@query("SELECT word_a AS target, word_b AS paraphrase, class AS label FROM lx_aptness_pairs WHERE class = 'inapt'")
+def load_controls(v):
+    lines = v["lx_aptness_pairs"].select(F.to_json(F.struct(F.col("class").alias("label"), F.col("word_a").alias("target"), F.col("word_b").alias("paraphrase"))).alias("value"))
+    return S.parse_controls(lines)[0].select("target", "paraphrase", "label")
+
+
+@query("SELECT c.source, l.synset_id, d.first_value FROM (SELECT DISTINCT source FROM lx_gold) c JOIN lx_lemmas l ON l.lemma = c.source JOIN (SELECT lemma, embedding[1]::DOUBLE AS first_value FROM lx_vectors) d ON d.lemma = c.source")
+def gold_senses(v):
+    words = v["lx_gold"].select("source").distinct().withColumnRenamed("source", "lemma")
+    found = words.join(v["lx_lemmas"], "lemma").join(v["lx_vectors"], "lemma")
+    return found.select(F.col("lemma").alias("source"), "synset_id", F.col("embedding")[0].cast("double").alias("first_value"))

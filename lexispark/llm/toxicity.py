@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lexispark.llm.text import append
@@ -89,6 +90,17 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(picked), "_id").select("y", "text")
 
 
+def packed(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, number of each row's) of at most BLOCK rows at a time, as views of the Arrow buffers."""
+    for chunk in column.chunks:
+        kind = np.int64 if chunk.type == pa.large_binary() else np.int32
+        for at in range(0, len(chunk), BLOCK):
+            part = chunk.slice(at, BLOCK)
+            ends = np.frombuffer(part.buffers()[1], dtype=kind)[part.offset : part.offset + len(part) + 1]
+            data = np.frombuffer(part.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]] if part.buffers()[2] else np.zeros(0, dtype=np.uint8)
+            yield data.view(np.uint32), np.diff(ends) // 4
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, l2: float = 1e-5, steps: int = 150) -> Model:
     """Fit on the labelled rows; without rows of both labels the score is the share of label 1, or 0."""
 
@@ -97,16 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "b": [distinct(t).astype(np.uint32).tobytes() for t in b["text"]]})
 
-    rows = sample_labelled(docs, labels, label_col, per_class, id_col, text_col).mapInPandas(extract, "y int, b binary").toPandas()
-    y = rows["y"].to_numpy(dtype=np.float64)
-    zero = np.zeros(1 << BITS, dtype=np.float32)
+    rows = sample_labelled(docs, labels, label_col, per_class, id_col, text_col).mapInPandas(extract, "y int, b binary").toArrow()
+    y = rows["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
-        return Model(zero, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    features = [np.frombuffer(b, dtype=np.uint32) for b in rows["b"]]
-    blocks = [slice(k, k + BLOCK) for k in range(0, len(y), BLOCK)]
-    gathered = [(np.concatenate(features[k]), np.array([len(f) for f in features[k]])) for k in blocks]
-    del rows, features
+        return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+    gathered = list(packed(rows["b"]))
+    past = np.cumsum([len(sizes) for _, sizes in gathered])
+    blocks = [slice(p - len(sizes), p) for p, (_, sizes) in zip(past.tolist(), gathered, strict=True)]
 
     def counts(weights: np.ndarray) -> np.ndarray:
         """Sum of the rows' weights for each bucket."""

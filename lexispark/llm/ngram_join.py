@@ -34,8 +34,12 @@ WORDS, PERCENT = 5, 75
 SHORT = 8
 #: The most frequent shingles that have a place of their own in the order, and the copies in a batch of rows that make one a candidate for it.
 FREQUENT, FREQUENT_IN_BATCH = 1 << 17, 3
+#: Places above this in the global order are those of frequent shingles.
+RARE = (1 << 63) - 1 - FREQUENT
 #: Bytes of text a fragment stands for, and fragments that count overlaps.
 FRAGMENT_BYTES, COUNT_FRAGMENTS = 16 << 20, 4
+#: Parts to which the members of a list are dealt.
+SALTS = 32
 #: Pairs of a cell in which segments are compared.
 CELL_PAIRS = 2000
 
@@ -86,6 +90,11 @@ def ordered(tokens: np.ndarray, of: np.ndarray, frequent: tuple[np.ndarray, np.n
     return np.lexsort((tokens, rank, of)), rank
 
 
+def places(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The tokens as integers in the global order: rare ones by hash, then the frequent by rank."""
+    return np.where(rank > 0, RARE + rank, (tokens ^ np.uint64(1 << 63)).view(np.int64))
+
+
 def prefixes(texts: DataFrame, frequent, fragments: int) -> DataFrame:
     """Per batch and fragment the prefix parts of its sets, as packed arrays."""
     shared, last = texts.sparkSession.sparkContext.broadcast(frequent), max(1, fragments // 8)  # FREQUENT entries
@@ -104,11 +113,11 @@ def prefixes(texts: DataFrame, frequent, fragments: int) -> DataFrame:
             lead = pos < (sizes - -(-sizes * PERCENT // 100) + 1)[of]
             tokens, rank, of, pos = tokens[lead], rank[lead], of[lead], pos[lead]
             frag = np.where(rank > 0, fragments + rank * last // (FREQUENT + 1), ((tokens >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64))
-            by = np.argsort(frag, kind="stable")
+            by, place = np.argsort(frag, kind="stable"), places(tokens, rank)
             out = []
             for part in np.split(by, np.flatnonzero(np.diff(frag[by])) + 1):
                 d, first, count = np.unique(of[part], return_index=True, return_counts=True)
-                out.append((int(frag[part[0]]), keys[d].tobytes(), sizes[d].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), pos[part].astype(np.int32).tobytes(), tokens[part].astype(np.uint32).tobytes()))
+                out.append((int(frag[part[0]]), keys[d].tobytes(), sizes[d].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), pos[part].astype(np.int32).tobytes(), place[part].tobytes()))
             yield pd.DataFrame(out, columns=["frag", "keys", "sizes", "counts", "pos", "tokens"])
 
     return texts.mapInPandas(run, "frag int, keys binary, sizes binary, counts binary, pos binary, tokens binary")
@@ -130,7 +139,7 @@ def candidates(rows: pd.DataFrame) -> pd.DataFrame:
     kept[first] = True  # copies in other batches have the same segment
     of = np.repeat(np.arange(len(keys)), counts)
     use = kept[of]
-    of, pos, token = of[use], cat("pos", np.int32)[use].astype(np.int64), cat("tokens", np.uint32)[use]
+    of, pos, token = of[use], cat("pos", np.int32)[use].astype(np.int64), cat("tokens", np.int64)[use]
     order = np.lexsort((keys[of], token))
     of, pos, token = of[order], pos[order], token[order]
     key, n = keys[of].view(np.int64), sizes[of].astype(np.int64)
@@ -149,7 +158,7 @@ def candidates(rows: pd.DataFrame) -> pd.DataFrame:
     ok = possible(n[a], n[b], pos[a], pos[b])
     pairs = pd.DataFrame({"a": np.minimum(key[a], key[b])[ok], "b": np.maximum(key[a], key[b])[ok]}).drop_duplicates()
     long = np.flatnonzero(size > SHORT)
-    lists = pd.DataFrame({"a": key[long], "token": (int(rows["frag"].iloc[0]) << 32) + token[long].astype(np.int64), "n": n[long], "pos": pos[long]})
+    lists = pd.DataFrame({"a": key[long], "token": token[long], "n": n[long], "pos": pos[long]})
     out = pd.concat([pairs.astype({"b": "Int64"}), lists.astype({"token": "Int64", "n": "Int64", "pos": "Int64"})], ignore_index=True)
     return out.reindex(columns=["a", "b", "token", "n", "pos"])
 
@@ -220,6 +229,40 @@ def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(summed.filter((100 + PERCENT) * F.col("common") >= need).select("a", "b"), "links")
 
 
+def across(lists: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of different components that share a list of ``key, token, n, pos, component`` and may link.
+
+    Lists are first reduced to their components, so members of one component never meet. Only the
+    pairs of components are expanded, in cells of ``SALTS`` parts of either side.
+    """
+    mixed = lists.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
+    often = F.col("token") > RARE
+    salted = lists.withColumn("salt", F.when(often, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
+    some = salted.join(mixed.select("token", F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))).alias("salt")), ["token", "salt"])
+    some = materialize(some.join(some.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "key"), "mixed-lists")
+    # a pair that shares several lists is taken from the first common shingle, whose places tell whether it may link
+    first = lambda x, y, token: F.array_min(F.array_intersect(x, y)) == token
+
+    one = F.count(F.lit(1)) == 1
+    per = some.groupBy("token", "component").agg(
+        F.collect_set("salt").alias("salts"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.when(one, F.min("key")).alias("key"), F.when(one, F.min("tokens")).alias("tokens")
+    )
+    x, y = per.alias("x"), per.alias("y")
+    need = PERCENT * (F.col("x.least") + F.col("y.least"))
+    sized = (100 * F.col("x.most") >= PERCENT * F.col("y.least")) & (100 * F.col("y.most") >= PERCENT * F.col("x.least")) & ((100 + PERCENT) * F.least("x.rest", "y.rest") >= need)
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & sized & F.coalesce(first("x.tokens", "y.tokens", F.col("x.token")), F.lit(True))
+    sides = x.join(y, met).select(F.col("x.token").alias("token"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("component", "key", "salts")])
+    sides = materialize(sides, "component-pairs")
+    single = F.col("x_key").isNotNull() & F.col("y_key").isNotNull()
+    direct = sides.filter(single).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"))
+
+    cell = ["token", "x_component", "x_salt", "y_component", "y_salt"]
+    cells = sides.filter(~single).withColumn("x_salt", F.explode("x_salts")).withColumn("y_salt", F.explode("y_salts")).select(*cell)
+    side = lambda s: cells.join(some.select("token", F.col("component").alias(f"{s}_component"), F.col("salt").alias(f"{s}_salt"), F.struct("key", "n", "pos", "tokens").alias(s)), ["token", f"{s}_component", f"{s}_salt"])
+    wide = side("x").join(side("y"), cell).filter(first("x.tokens", "y.tokens", F.col("token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
+    return direct.union(wide.select(F.least("x.key", "y.key"), F.greatest("x.key", "y.key"))).distinct()
+
+
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``_id, n, key, component_id`` per row; see :func:`jaccard_components`."""
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").cast("binary").alias("text"))
@@ -236,15 +279,7 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     inside = connected_components(linked).select(F.col("node").alias("key"), "component")
 
     labelled = materialize(lists.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key")), "lists")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("token")
-    some = labelled.join(mixed, "token")
-    some = materialize(some.join(some.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "key"), "mixed-lists")
-    x, y = some.alias("x"), some.alias("y")
-    # a pair that shares several lists is taken from the first of them
-    once = (F.col("x.token") == F.col("y.token")) & (F.array_min(F.array_intersect("x.tokens", "y.tokens")) == F.col("x.token"))
-    apart = (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    open_pairs = x.join(y, once & apart & possible(F.col("x.n"), F.col("y.n"), 0, 0)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).join(pairs, ["a", "b"], "left_anti")
-    open_pairs = materialize(open_pairs, "open-pairs")
+    open_pairs = materialize(across(labelled).join(pairs, ["a", "b"], "left_anti"), "open-pairs")
     if not open_pairs.isEmpty():
         inside = connected_components(linked.union(links(open_pairs, texts, classes))).select(F.col("node").alias("key"), "component")
     member = classes.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key"))

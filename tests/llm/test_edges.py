@@ -152,6 +152,32 @@ def test_ngram_join_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(jaccard_brute(texts)))
 
 
+def test_ngram_join_never_pairs_members_of_one_component(spark):
+    # 30 lists of one component of 20,000 members and an outsider: a self-join would try 12 billion pairs
+    lists = spark.range(20_000).selectExpr("id AS key", "explode(sequence(1L, 30L)) AS token", "100L AS n", "token - 1 AS pos", "0L AS component")
+    outsider = spark.range(20_000, 20_001).selectExpr("id AS key", "explode(array(7L, 9L)) AS token", "100L AS n", "token - 1 AS pos", "id AS component")
+    near = lists.union(outsider).withColumn("token", F.col("token") + ngram_join.RARE)
+    got = ngram_join.across(near).collect()
+    assert {r.b for r in got} == {20_000} and sorted(r.a for r in got) == list(range(20_000))
+
+
+def test_ngram_join_pairs_components_as_a_plain_search_does(spark):
+    import random
+
+    draw = random.Random(5)
+    sets = {k: (draw.randint(0, 9) if k % 3 else k, draw.randint(60, 120), sorted(draw.sample(range(40), 12))) for k in range(20, 120)}
+    rows_ = [(k, t if t % 2 else t + ngram_join.RARE, n, pos, c) for k, (c, n, ts) in sets.items() for pos, t in enumerate(sorted(ts, key=lambda t: (t % 2 == 0, t)))]
+    places = {k: {t: pos for key, t, _, pos, _ in rows_ if key == k} for k in sets}
+    want = set()
+    for a in sets:
+        for b in sets:
+            both = sorted(set(places[a]) & set(places[b]))
+            if a < b and sets[a][0] != sets[b][0] and both and ngram_join.possible(sets[a][1], sets[b][1], places[a][both[0]], places[b][both[0]]):
+                want.add((a, b))
+    got = ngram_join.across(spark.createDataFrame(rows_, "key long, token long, n long, pos long, component long")).collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 def removal_brute(rows_):
     seen, out = set(), {}
     for k, t in sorted(rows_):

@@ -5,7 +5,8 @@ frequent they were found to be, then by hash. The order is cut into fragments.
 
 1. Candidates: two sets that link share a shingle among the first of each set's order (prefix
    filter). Each fragment gets its part of the prefixes and yields pairs of classes. Where more than
-   ``SHORT`` classes share a shingle, all are paired with the smallest only; the list is kept.
+   ``SHORT`` classes share a shingle, all are paired with the smallest only; the list is kept. Lists
+   of shingles found ``HEAVY`` times are never in one task: their members are dealt by set.
 2. Overlaps: each fragment counts the common shingles of its segments of the candidate pairs; the
    partial counts are summed per pair and give the exact similarity.
 3. Components of the links found. In the kept lists, only pairs that lie in different components
@@ -34,6 +35,8 @@ WORDS, PERCENT = 5, 75
 SHORT = 8
 #: The most frequent shingles that have a place of their own in the order, and the copies in a batch of rows that make one a candidate for it.
 FREQUENT, FREQUENT_IN_BATCH = 1 << 17, 3
+#: Frequent shingles found at least so often have their lists dealt by set.
+HEAVY = 64
 #: Places above this in the global order are those of frequent shingles.
 RARE = (1 << 63) - 1 - FREQUENT
 #: Bytes of text a fragment stands for, and fragments that count overlaps.
@@ -63,8 +66,8 @@ def signatures(texts: DataFrame) -> DataFrame:
     return append(texts, ["text"], "n long, key long", lambda: _signature).select("_id", "n", "key")
 
 
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, by value, and their places in the order of frequency."""
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent shingles, by value, their places in the order of frequency and the last place below ``HEAVY``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -79,12 +82,12 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     place = np.empty(len(n), dtype=np.int64)
     place[np.lexsort((tokens, n))] = np.arange(1, len(n) + 1)
     by = np.argsort(tokens)
-    return tokens[by], place[by]
+    return tokens[by], place[by], int(np.count_nonzero(n < HEAVY))
 
 
-def ordered(tokens: np.ndarray, of: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def ordered(tokens: np.ndarray, of: np.ndarray, frequent: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
     """Sort order of the tokens within their sets, and their places among the frequent (0: rare)."""
-    known, place = frequent
+    known, place, _ = frequent
     at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
     rank = np.where(known[at] == tokens, place[at], 0) if len(known) else np.zeros(len(tokens), dtype=np.int64)
     return np.lexsort((tokens, rank, of)), rank
@@ -96,8 +99,9 @@ def places(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, frequent, fragments: int) -> DataFrame:
-    """Per batch and fragment the prefix parts of its sets, as packed arrays."""
-    shared, last = texts.sparkSession.sparkContext.broadcast(frequent), max(1, fragments // 8)  # FREQUENT entries
+    """Per batch and fragment the prefix parts of its sets, as packed arrays; from ``fragments`` on those of heavy shingles, by set."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT entries
+    part_of = lambda x: ((x >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -112,7 +116,7 @@ def prefixes(texts: DataFrame, frequent, fragments: int) -> DataFrame:
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             lead = pos < (sizes - -(-sizes * PERCENT // 100) + 1)[of]
             tokens, rank, of, pos = tokens[lead], rank[lead], of[lead], pos[lead]
-            frag = np.where(rank > 0, fragments + rank * last // (FREQUENT + 1), ((tokens >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64))
+            frag = np.where(rank > shared.value[2], fragments + part_of(keys)[of], part_of(tokens))
             by, place = np.argsort(frag, kind="stable"), places(tokens, rank)
             out = []
             for part in np.split(by, np.flatnonzero(np.diff(frag[by])) + 1):
@@ -130,8 +134,8 @@ def possible(na, nb, pa, pb):
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & ((100 + PERCENT) * rest_a >= need) & ((100 + PERCENT) * rest_b >= need)
 
 
-def candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one fragment: pairs (b set, token null) and the members of long lists (b null)."""
+def candidates(rows: pd.DataFrame, fragments: int) -> pd.DataFrame:
+    """Of one fragment: pairs (b set, token null) and the members of long lists (b null); of heavy shingles members only."""
     cat = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in rows[c]])
     keys, sizes, counts = cat("keys", np.uint64), cat("sizes", np.int32), cat("counts", np.int32)
     _, first = np.unique(keys, return_index=True)
@@ -146,6 +150,8 @@ def candidates(rows: pd.DataFrame) -> pd.DataFrame:
     start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
     length = np.diff(np.concatenate([start, [len(token)]]))
     size, head = np.repeat(length, length), np.repeat(start, length)
+    if rows["frag"].iloc[0] >= fragments:
+        return pd.DataFrame({"a": key, "b": pd.array([None] * len(key), dtype="Int64"), "token": token, "n": n, "pos": pos})
     left, right = [], []
     for d in range(1, SHORT):
         i = np.flatnonzero((size[:-d] <= SHORT) & (head[:-d] == head[d:])) if len(token) > d else np.zeros(0, dtype=np.int64)
@@ -163,6 +169,13 @@ def candidates(rows: pd.DataFrame) -> pd.DataFrame:
     return out.reindex(columns=["a", "b", "token", "n", "pos"])
 
 
+def with_heads(lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) of the members of lists ``key, token, n, pos`` with the smallest member, which may link."""
+    heads = lists.groupBy("token").agg(F.min(F.struct("key", "n", "pos")).alias("head"))
+    met = lists.join(F.broadcast(heads), "token").filter("head.key < key")  # FREQUENT rows at most
+    return met.filter(possible(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"))).select(F.col("head.key").alias("a"), F.col("key").alias("b"))
+
+
 def segments(texts: DataFrame, wanted: DataFrame, fragments: range) -> DataFrame:
     """``of_cell, frag, key, n, tokens``: those fragments of the sets of the wanted ``_id, key, cells``, for each cell."""
 
@@ -270,10 +283,13 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = materialize(sigs.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_first")), "classes")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = min(65_536, max(16, ceil(size / FRAGMENT_BYTES)))
-    packed = prefixes(texts.filter("_id is not null"), frequent_shingles(texts), fragments)
-    found = materialize(packed.groupBy("frag").applyInPandas(candidates, "a long, b long, token long, n long, pos long"), "candidates", release=True)
-    pairs = materialize(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    frequent = frequent_shingles(texts)
+    packed = prefixes(texts.filter("_id is not null"), frequent, fragments)
+    found = packed.groupBy("frag").applyInPandas(lambda rows: candidates(rows, fragments), "a long, b long, token long, n long, pos long")
+    found = materialize(found, "candidates", release=True)
     lists = found.filter("token is not null").select(F.col("a").alias("key"), "token", "n", "pos")
+    heavy = lists.filter(F.col("token") > RARE + frequent[2])
+    pairs = materialize(found.filter("b is not null").select("a", "b").union(with_heads(heavy)).distinct(), "pairs")
 
     linked = links(pairs, texts, classes)
     inside = connected_components(linked).select(F.col("node").alias("key"), "component")

@@ -178,6 +178,17 @@ def test_ngram_join_pairs_components_as_a_plain_search_does(spark):
     assert want and sorted(map(tuple, got)) == sorted(want)
 
 
+def test_ngram_join_deals_a_large_group_to_many_tasks(spark):
+    # 300 near copies share all but the last words, so all their prefixes are lists of the whole group
+    texts = [(k, " ".join([f"w{j}" for j in range(60)] + [f"x{k}", f"y{k}"])) for k in range(300)]
+    docs = spark.createDataFrame(texts, "_id long, text string").selectExpr("_id", "CAST(text AS BINARY) AS text").repartition(2)
+    packed = ngram_join.prefixes(docs, ngram_join.frequent_shingles(docs), 16).toPandas()
+    entries = packed["pos"].map(len).groupby(packed["frag"]).sum() // 4
+    assert len(entries) >= 12 and entries.max() < 0.2 * entries.sum()
+    out = ngram_join.jaccard_components(docs, "_id").collect()
+    assert len(out) == 300 and {r.component_id for r in out} == {0}
+
+
 def removal_brute(rows_):
     seen, out = set(), {}
     for k, t in sorted(rows_):

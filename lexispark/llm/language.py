@@ -16,11 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from lexispark.functions.lineage import materialize
 from lexispark.llm.text import append
 
-#: Bounds of what is learned: documents a language, languages, words in the table.
+#: Bounds of what is learned: documents a language, languages, words (and trigrams) in the table, shared evenly by the languages.
 MAX_PER_LANG, MAX_LANGS, MAX_WORDS = 1000, 1000, 200_000
 PENALTY, FLOOR = 12.0, -6.0
 UNKNOWN = "und"
@@ -145,24 +146,48 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pd.DataFrame([(lang, w, n) for lang, c in seen.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
     by_word = picked.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found = by_word.orderBy(F.col("n").desc(), "word", "lang").limit(MAX_WORDS).toPandas()
-    return learned([r["lang"] for r in counts], found)
+    by_word = materialize(by_word, "words")
 
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            for lang, word, n in zip(b["lang"], b["word"], b["n"], strict=True):
+                seen[lang, True, script(word)] += n
+                for g in trigrams(word):
+                    seen[lang, False, g] += n
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "is_script", "part", "n"])
+
+    by_part = materialize(by_word.mapInPandas(parts, "lang string, is_script boolean, part string, n long").groupBy("lang", "is_script", "part").agg(F.sum("n").alias("n")), "word-parts")
+    scripts = by_part.filter("is_script").select("lang", F.col("part").alias("script"), "n").toPandas()
+    sums = by_part.filter("not is_script").groupBy("lang").agg(F.sum("n").alias("n")).toPandas()
+    grams = by_part.filter("not is_script").select("lang", F.col("part").alias("gram"), "n")
+    share = max(1, MAX_WORDS // len(counts))
+    return learned([r["lang"] for r in counts], most_frequent(by_word, "word", share).toPandas(), scripts, most_frequent(grams, "gram", share).toPandas(), sums)
+
+
+def most_frequent(rows: DataFrame, col: str, share: int) -> DataFrame:
+    """``lang, col, n`` of the values that are among the ``share`` most frequent ones of some language, for all languages."""
+    first = Window.partitionBy("lang").orderBy(F.col("n").desc(), col)
+    return rows.join(rows.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= share).select(col).distinct(), col).select("lang", col, "n").orderBy(F.col("n").desc(), col, "lang")
 
-def learned(langs: list[str], found: pd.DataFrame) -> Model:
+
+def learned(langs: list[str], words: pd.DataFrame, scripts: pd.DataFrame, trigrams_: pd.DataFrame, sums: pd.DataFrame) -> Model:
+    """The model of the kept words and trigrams; shares are taken of all sampled words and of the sums of all their trigrams."""
     langs = sorted(langs)
     at = {x: k for k, x in enumerate(langs)}
-    word_n: dict[str, np.ndarray] = {}
-    gram_n: dict[str, np.ndarray] = {}
-    script_n: dict[str, np.ndarray] = {}
-    for lang, word, n in zip(found["lang"], found["word"], found["n"], strict=True):
-        k = at[lang]
-        word_n.setdefault(word, np.zeros(len(langs)))[k] += n
-        script_n.setdefault(script(word), np.zeros(len(langs)))[k] += n
-        for g in trigrams(word):
-            gram_n.setdefault(g, np.zeros(len(langs)))[k] += n
-    total_w = sum(word_n.values(), np.zeros(len(langs))) + 1
-    total_g = sum(gram_n.values(), np.zeros(len(langs))) + len(gram_n) + 1
+
+    def by_value(rows: pd.DataFrame, col: str) -> dict[str, np.ndarray]:
+        out: dict[str, np.ndarray] = {}
+        for lang, x, n in zip(rows["lang"], rows[col], rows["n"], strict=True):
+            out.setdefault(x, np.zeros(len(langs)))[at[lang]] += n
+        return out
+
+    word_n, script_n, gram_n = by_value(words, "word"), by_value(scripts, "script"), by_value(trigrams_, "gram")
+    all_grams = np.zeros(len(langs))
+    for lang, n in zip(sums["lang"], sums["n"], strict=True):
+        all_grams[at[lang]] = n
+    total_w = sum(script_n.values(), np.zeros(len(langs))) + 1  # every word has one script
+    total_g = all_grams + len(gram_n) + 1
     allowed = {s: v / total_w >= 0.01 for s, v in script_n.items()}
     grams = {g: k for k, g in enumerate(gram_n, 1)}
     gram_table = np.log((np.vstack([np.zeros(len(langs)), *gram_n.values()]) + 0.5) / total_g).astype(np.float32)

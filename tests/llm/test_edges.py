@@ -280,6 +280,18 @@ def test_language_labels_spans(spark):
     assert [s[2] for s in spans] == ["en", "de"] and spans[0][1] == 14
 
 
+def test_language_keeps_small_languages_beside_a_full_table(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(language, "MAX_WORDS", 20)  # the large language alone has 25 words
+    draw = random.Random(2)
+    large = [(k, " ".join("b" + "".join(draw.choices("aeiou", k=2)) + "k" for _ in range(60)), "xx") for k in range(40)]
+    small = [(100, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6 \u03b7\u03b8\u03b9", "el"), (101, "wyz wyz zyw", "yy")]
+    docs = spark.createDataFrame(large * 3 + small, "doc_id long, text string, lang string")
+    out = language.identify(docs.filter("doc_id >= 100"), language.fit(docs)).collect()
+    assert {r.lang_pred for r in out if r.lang == "el"} == {"el"} and {r.lang_pred for r in out if r.lang == "yy"} == {"yy"}
+
+
 def test_best_path_against_plain_viterbi():
     import numpy as np
 

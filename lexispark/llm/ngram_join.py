@@ -1,59 +1,62 @@
 """N-gram Jaccard join with vertical partitioning.
 
 Texts with the same shingle set are one class. All shingles have one global order: by how
-frequent they were found to be, then by hash. The order is cut into fragments.
+frequent they are in the whole corpus, then by hash. The order is cut into fragments. Frequencies are
+logarithms of counts in a table of ``TABLE`` places, to which shingles go by hash, so the table has
+one size for every corpus.
 
 1. Candidates: two sets that link share a shingle among the first of each set's order (prefix
    filter). Each fragment gets its part of the prefixes and yields pairs of classes. Where more than
    ``SHORT`` classes share a shingle, all are paired with the smallest only; the list is kept. Lists
-   of shingles found ``HEAVY`` times are never in one task: their members are dealt by set.
+   of shingles counted ``HEAVY`` times are never in one task: their members are dealt by set.
 2. Overlaps: each fragment counts the common shingles of its segments of the candidate pairs; the
-   partial counts are summed per pair and give the exact similarity.
+   partial counts are summed per pair and give the exact similarity. A pair is dropped as soon as
+   it can't reach the threshold with all shingles not counted yet.
 3. Components of the links found. In the kept lists, only pairs that lie in different components
-   are still open; these are counted in the same way, and then the components are final. So the
-   members of a large group of near copies are never paired with each other.
+   are still open. Members of long lists first meet some others, in ``ROUNDS``, after each of which
+   there are fewer components; at last all pairs that are still open are counted, and then the
+   components are final. So the members of a large group of near copies are never all paired.
 
 The order only decides how many candidates there are, never which links exist.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
 from lexispark.llm.shingles import set_key, shingle_sets
-from lexispark.llm.text import append
+from lexispark.llm.text import append, slices
 from lexispark.operators.components import connected_components
 
 WORDS, PERCENT = 5, 75
 #: Lists of at most so many classes give all their pairs at once.
 SHORT = 8
-#: The most frequent shingles that have a place of their own in the order, and the copies in a batch of rows that make one a candidate for it.
-FREQUENT, FREQUENT_IN_BATCH = 1 << 17, 3
-#: Frequent shingles found at least so often have their lists dealt by set.
+#: Places of the table of counts, in how many slices tasks send it, and steps of the order for a doubled count.
+TABLE_BITS, TABLE_SLICES, STEPS = 24, 256, 8
+TABLE = 1 << TABLE_BITS
+#: Shingles counted at least so often, beyond twice what a place of the table holds on average, have their lists dealt by set.
 HEAVY = 64
-#: Places above this in the global order are those of frequent shingles.
-RARE = (1 << 63) - 1 - FREQUENT
 #: Bytes of text a fragment stands for, and fragments that count overlaps.
 FRAGMENT_BYTES, COUNT_FRAGMENTS = 16 << 20, 4
-#: Parts to which the members of a list are dealt.
-SALTS = 32
+#: About the bytes of text of a task that reads the table.
+TASK_BYTES = 64 << 20
+#: Parts to which the members of a list are dealt, and partners of a member in the rounds before all open pairs are taken.
+SALTS, ROUNDS = 32, (8, 32, 128)
 #: Pairs of a cell in which segments are compared.
 CELL_PAIRS = 2000
 
 
-def _sets(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    return enumerate(shingle_sets(b["text"].tolist(), WORDS))
-
-
-def _distinct_sets(b: pd.DataFrame) -> dict[int, np.ndarray]:
-    """The batch's sets by key, without empty ones."""
-    return {int(set_key(s)): s for _, s in _sets(b) if len(s)}
+def _distinct_sets(texts: list[bytes | None]) -> dict[int, np.ndarray]:
+    """The texts' sets by key, without empty ones."""
+    return {int(set_key(s)): s for s in shingle_sets(texts, WORDS) if len(s)}
 
 
 def _signature(texts: list[bytes | None]) -> tuple[list[int], np.ndarray]:
@@ -66,65 +69,97 @@ def signatures(texts: DataFrame) -> DataFrame:
     return append(texts, ["text"], "n long, key long", lambda: _signature).select("_id", "n", "key")
 
 
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent shingles, by value, their places in the order of frequency and the last place below ``HEAVY``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = list(_distinct_sets(b).values())
-            if sets:
-                token, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= FREQUENT_IN_BATCH
-                yield pd.DataFrame({"token": token[often].view(np.int64), "n": n[often]})
-
-    top = texts.mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(FREQUENT).toPandas()
-    tokens, n = top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
-    place = np.empty(len(n), dtype=np.int64)
-    place[np.lexsort((tokens, n))] = np.arange(1, len(n) + 1)
-    by = np.argsort(tokens)
-    return tokens[by], place[by], int(np.count_nonzero(n < HEAVY))
-
-
-def ordered(tokens: np.ndarray, of: np.ndarray, frequent: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sort order of the tokens within their sets, and their places among the frequent (0: rare)."""
-    known, place, _ = frequent
-    at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-    rank = np.where(known[at] == tokens, place[at], 0) if len(known) else np.zeros(len(tokens), dtype=np.int64)
-    return np.lexsort((tokens, rank, of)), rank
-
+def steps(count: np.ndarray) -> np.ndarray:
+    """The place of a count in the order."""
+    return np.minimum(255, np.round(STEPS * np.log2(1.0 + count))).astype(np.uint8)
 
-def places(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The tokens as integers in the global order: rare ones by hash, then the frequent by rank."""
-    return np.where(rank > 0, RARE + rank, (tokens ^ np.uint64(1 << 63)).view(np.int64))
 
+def shingle_counts(texts: DataFrame, tasks: int) -> tuple[np.ndarray, int]:
+    """:func:`steps` of the number of sets of the batches that hold a shingle, by its place in the table, and the first heavy one.
 
-def prefixes(texts: DataFrame, frequent, fragments: int) -> DataFrame:
+    A task counts into a table of its own and sends it in slices; ``tasks`` is about their number, by
+    which slices are first added up in several groups.
+    """
+    width, salts = TABLE // TABLE_SLICES, max(1, -(-tasks // 1000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, salt = np.zeros(TABLE, dtype=np.uint32), uuid.uuid4().int % salts
+        for b in (part for whole in batches for part in slices(whole)):
+            for s in _distinct_sets(b.column("text").to_pylist()).values():
+                np.add.at(table, (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.uint32(1))
+        for k in range(TABLE_SLICES):
+            part = table[k * width : (k + 1) * width]
+            at = np.flatnonzero(part)
+            if len(at) > width // 3:
+                yield pa.RecordBatch.from_pydict({"slice": [k], "salt": [salt], "at": [b""], "n": [part.tobytes()]}, schema=_COUNTS)
+            elif len(at):
+                yield pa.RecordBatch.from_pydict({"slice": [k], "salt": [salt], "at": [at.astype(np.uint32).tobytes()], "n": [part[at].tobytes()]}, schema=_COUNTS)
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(width, dtype=np.uint64)
+        for at, n in zip(rows["at"], rows["n"], strict=True):
+            counts = np.frombuffer(n, dtype=np.uint32)
+            total[np.frombuffer(at, dtype=np.uint32) if at else slice(None)] += counts
+        total = np.minimum(total, np.uint64((1 << 32) - 1)).astype(np.uint32)
+        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "salt": [0], "at": [b""], "n": [total.tobytes()]})
+
+    sent = texts.mapInArrow(run, "slice int, salt int, at binary, n binary")
+    for keys in (["slice", "salt"], ["slice"]) if salts > 1 else (["slice"],):
+        sent = sent.groupBy(*keys).applyInPandas(add, "slice int, salt int, at binary, n binary")
+    out, total = np.zeros(TABLE, dtype=np.uint8), 0
+    for r in sent.select("slice", "n").toLocalIterator():
+        counts = np.frombuffer(r["n"], dtype=np.uint32)
+        out[r["slice"] * width : (r["slice"] + 1) * width] = steps(counts)
+        total += int(counts.sum(dtype=np.uint64))
+    return out, int(steps(np.array(HEAVY + 2 * total / TABLE)))
+
+
+_COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+
+
+def places(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The tokens as integers in the global order, which keep 56 bits of them."""
+    step = table[(tokens >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.uint64)
+    return ((step << np.uint64(56) | tokens >> np.uint64(8)) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def heavy_from(step: int) -> int:
+    """The first place of heavy shingles."""
+    return (step << 56) - (1 << 63)
+
+
+def prefixes(texts: DataFrame, table: np.ndarray, heavy: int, fragments: int) -> DataFrame:
     """Per batch and fragment the prefix parts of its sets, as packed arrays; from ``fragments`` on those of heavy shingles, by set."""
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT entries
+    shared = texts.sparkSession.sparkContext.broadcast(table)  # TABLE bytes
     part_of = lambda x: ((x >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = _distinct_sets(b)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole)):
+            sets = _distinct_sets(b.column("text").to_pylist())
             if not sets:
                 continue
             keys = np.fromiter(sets, dtype=np.uint64, count=len(sets))
             sizes = np.array([len(s) for s in sets.values()])
             tokens, of = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
-            order, rank = ordered(tokens, of, shared.value)
-            tokens, rank = tokens[order], rank[order]
+            place = places(tokens, shared.value)
+            order = np.lexsort((place, of))
+            tokens, place = tokens[order], place[order]
             pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             lead = pos < (sizes - -(-sizes * PERCENT // 100) + 1)[of]
-            tokens, rank, of, pos = tokens[lead], rank[lead], of[lead], pos[lead]
-            frag = np.where(rank > shared.value[2], fragments + part_of(keys)[of], part_of(tokens))
-            by, place = np.argsort(frag, kind="stable"), places(tokens, rank)
-            out = []
+            tokens, place, of, pos = tokens[lead], place[lead], of[lead], pos[lead]
+            frag = np.where(place >= heavy, fragments + part_of(keys)[of], part_of(tokens))
+            by = np.argsort(frag, kind="stable")
+            out: dict[str, list] = {c: [] for c in _PREFIXES.names}
             for part in np.split(by, np.flatnonzero(np.diff(frag[by])) + 1):
-                d, first, count = np.unique(of[part], return_index=True, return_counts=True)
-                out.append((int(frag[part[0]]), keys[d].tobytes(), sizes[d].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), pos[part].astype(np.int32).tobytes(), place[part].tobytes()))
-            yield pd.DataFrame(out, columns=["frag", "keys", "sizes", "counts", "pos", "tokens"])
+                d, count = np.unique(of[part], return_counts=True)
+                for c, v in zip(_PREFIXES.names, (int(frag[part[0]]), keys[d].tobytes(), sizes[d].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), pos[part].astype(np.int32).tobytes(), place[part].tobytes()), strict=True):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=_PREFIXES)
+
+    return texts.mapInArrow(run, "frag int, keys binary, sizes binary, counts binary, pos binary, tokens binary")
 
-    return texts.mapInPandas(run, "frag int, keys binary, sizes binary, counts binary, pos binary, tokens binary")
+
+_PREFIXES = pa.schema([("frag", pa.int32()), *[(c, pa.binary()) for c in ("keys", "sizes", "counts", "pos", "tokens")]])
 
 
 def possible(na, nb, pa, pb):
@@ -171,32 +206,38 @@ def candidates(rows: pd.DataFrame, fragments: int) -> pd.DataFrame:
 
 def with_heads(lists: DataFrame) -> DataFrame:
     """The pairs (a, b) of the members of lists ``key, token, n, pos`` with the smallest member, which may link."""
-    heads = lists.groupBy("token").agg(F.min(F.struct("key", "n", "pos")).alias("head"))
-    met = lists.join(F.broadcast(heads), "token").filter("head.key < key")  # FREQUENT rows at most
+    heads = lists.groupBy("token").agg(F.min(F.struct("key", "n", "pos")).alias("head")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = lists.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(heads, ["token", "salt"]).filter("head.key < key")
     return met.filter(possible(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"))).select(F.col("head.key").alias("a"), F.col("key").alias("b"))
 
 
 def segments(texts: DataFrame, wanted: DataFrame, fragments: range) -> DataFrame:
     """``of_cell, frag, key, n, tokens``: those fragments of the sets of the wanted ``_id, key, cells``, for each cell."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, s in _sets(b):
-                key = int(np.array([set_key(s)], dtype=np.uint64).view(np.int64)[0]) if len(s) else None
-                if key == b["key"].iat[k]:  # an id may stand for several texts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole)):
+            out: dict[str, list] = {c: [] for c in _SEGMENTS.names}
+            for s, key, cells in zip(shingle_sets(b.column("text").to_pylist(), WORDS), b.column("key").to_pylist(), b.column("cells").to_pylist(), strict=True):
+                if len(s) and set_key(s).view(np.int64) == key:  # an id may stand for several texts
                     cuts = [0, *np.searchsorted(s, np.array([f << 62 for f in range(1, COUNT_FRAGMENTS)], dtype=np.uint64)).tolist(), len(s)]
-                    out += [(int(c), f, key, len(s), s[cuts[f] : cuts[f + 1]].tobytes()) for f in fragments for c in b["cells"].iat[k]]
-            yield pd.DataFrame(out, columns=["of_cell", "frag", "key", "n", "tokens"])
+                    for f in fragments:
+                        tokens = s[cuts[f] : cuts[f + 1]].tobytes()
+                        for c in cells:
+                            for name, v in zip(_SEGMENTS.names, (c, f, key, len(s), tokens), strict=True):
+                                out[name].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=_SEGMENTS)
+
+    return texts.join(wanted, "_id").select("key", "cells", "text").mapInArrow(run, "of_cell int, frag int, key long, n long, tokens binary")
 
-    return texts.join(wanted, "_id").select("key", "cells", "text").mapInPandas(run, "of_cell int, frag int, key long, n long, tokens binary")
+
+_SEGMENTS = pa.schema([("of_cell", pa.int32()), ("frag", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
 
 
 PARTIAL = "a long, b long, na long, nb long, sa long, sb long, common long"
 
 
 def partial_overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """Sizes and common shingles of one fragment's segments, per pair of one cell."""
+    """Sizes and common shingles of one fragment's segments, per pair of one cell that may still link."""
     by_key = {k: (n, np.frombuffer(t, dtype=np.uint64)) for k, n, t in zip(sets["key"], sets["n"], sets["tokens"], strict=True)}
     out = []
     for a, b in zip(pairs["a"], pairs["b"], strict=True):
@@ -205,12 +246,14 @@ def partial_overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
             small, large = (x, y) if len(x) < len(y) else (y, x)
             at = np.searchsorted(large, small)
             at[at == len(large)] = 0
-            out.append((a, b, na, nb, len(x), len(y), int(np.count_nonzero(large[at] == small)) if len(large) else 0))
+            common = int(np.count_nonzero(large[at] == small)) if len(large) else 0
+            if (100 + PERCENT) * (common + min(na - len(x), nb - len(y))) >= PERCENT * (na + nb):
+                out.append((a, b, na, nb, len(x), len(y), common))
     return pd.DataFrame(out, columns=["a", "b", "na", "nb", "sa", "sb", "common"])
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, fragments: range) -> DataFrame:
-    """``PARTIAL``, summed over those fragments, of the pairs.
+    """``PARTIAL`` of the distinct pairs and those fragments.
 
     Classes are dealt to blocks and pairs to cells of two blocks, so a class goes to no more cells
     than there are blocks, whatever the number of its partners, and a cell is bounded too.
@@ -221,41 +264,59 @@ def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, fragments:
     members = placed.select(F.col("cell").alias("of_cell"), F.col("a").alias("key")).union(placed.select("cell", "b")).distinct()
     wanted = members.join(classes, "key").groupBy(F.col("_first").alias("_id"), "key").agg(F.collect_set("of_cell").alias("cells"))
     wide = placed.withColumn("frag", F.explode(F.array(*[F.lit(f) for f in fragments])))
-    parts = wide.groupBy("cell", "frag").cogroup(segments(texts, wanted, fragments).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, PARTIAL)
-    summed = parts.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), *[F.sum(c).alias(c) for c in ("sa", "sb", "common")])
-    return materialize(summed, "overlaps", release=True)
+    return wide.groupBy("cell", "frag").cogroup(segments(texts, wanted, fragments).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, PARTIAL)
 
 
 def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose partial overlaps sum up to the threshold.
 
-    The first fragment is counted for all pairs. A pair goes on only if it could still link with
-    all of its other shingles in common.
+    The first fragment is counted for all pairs, the others for those that go on. A pair that a
+    fragment ends has no partial overlap there, so it does not have ``COUNT_FRAGMENTS`` of them.
     """
-    first = overlaps(pairs, texts, classes, range(1))
-    need = PERCENT * (F.col("na") + F.col("nb"))
-    rest = F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
-    open_ = first.filter((100 + PERCENT) * (F.col("common") + rest) >= need)
-    others = overlaps(open_.select("a", "b"), texts, classes, range(1, COUNT_FRAGMENTS))
-    both = open_.select("a", "b", "na", "nb", "common").union(others.select("a", "b", "na", "nb", "common"))
-    summed = both.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"))
-    return materialize(summed.filter((100 + PERCENT) * F.col("common") >= need).select("a", "b"), "links")
+    first = materialize(overlaps(pairs, texts, classes, range(1)), "overlaps")
+    others = overlaps(first.select("a", "b"), texts, classes, range(1, COUNT_FRAGMENTS))
+    summed = first.union(others).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"), F.count(F.lit(1)).alias("_counted"))
+    linked = (F.col("_counted") == COUNT_FRAGMENTS) & ((100 + PERCENT) * F.col("common") >= PERCENT * (F.col("na") + F.col("nb")))
+    return materialize(summed.filter(linked).select("a", "b"), "links")
 
 
-def across(lists: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of different components that share a list of ``key, token, n, pos, component`` and may link.
+def mixed_lists(lists: DataFrame, heavy: int) -> DataFrame:
+    """The rows of the lists ``key, token, n, pos, component`` that hold several components, a written table.
 
-    Lists are first reduced to their components, so members of one component never meet. Only the
-    pairs of components are expanded, in cells of ``SALTS`` parts of either side.
+    With ``salt``, to which members of heavy lists (tokens from ``heavy`` on) are dealt, ``members`` of the
+    list and all such ``tokens`` of the key.
     """
-    mixed = lists.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi")
-    often = F.col("token") > RARE
+    mixed = lists.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("members")).filter("_lo < _hi")
+    often = F.col("token") >= heavy
     salted = lists.withColumn("salt", F.when(often, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
-    some = salted.join(mixed.select("token", F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))).alias("salt")), ["token", "salt"])
-    some = materialize(some.join(some.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "key"), "mixed-lists")
-    # a pair that shares several lists is taken from the first common shingle, whose places tell whether it may link
-    first = lambda x, y, token: F.array_min(F.array_intersect(x, y)) == token
+    some = salted.join(mixed.select("token", "members", F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))).alias("salt")), ["token", "salt"])
+    return materialize(some.join(some.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "key"), "mixed-lists")
 
+
+def first_shared(x: Column | str, y: Column | str, token: Column) -> Column:
+    """Whether a list is the first that both keys are in: a pair is taken there only, and its places there tell whether it may link."""
+    return F.array_min(F.array_intersect(x, y)) == token
+
+
+def sampled(some: DataFrame, partners: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components, about ``partners`` for each member, from :func:`mixed_lists` with four times as many members.
+
+    Members of a list are dealt to groups by hash, differently for each ``partners``, and meet in their group.
+    """
+    groups = F.ceil(F.col("members") / partners)
+    dealt = some.filter(F.col("members") > 4 * partners).withColumn("_group", F.pmod(F.xxhash64("key", F.lit(partners)), groups))
+    x, y = dealt.alias("x"), dealt.alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x._group") == F.col("y._group")) & (F.col("x.component") < F.col("y.component"))
+    ok = first_shared("x.tokens", "y.tokens", F.col("x.token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))
+    return x.join(y, met & ok).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
+def across(some: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of different components that share a list of :func:`mixed_lists` and may link.
+
+    Lists are first reduced to their components, so members of one component never meet. Only the
+    pairs of components are expanded, in cells of ``SALTS`` parts of either side.
+    """
     one = F.count(F.lit(1)) == 1
     per = some.groupBy("token", "component").agg(
         F.collect_set("salt").alias("salts"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.when(one, F.min("key")).alias("key"), F.when(one, F.min("tokens")).alias("tokens")
@@ -263,7 +324,7 @@ def across(lists: DataFrame) -> DataFrame:
     x, y = per.alias("x"), per.alias("y")
     need = PERCENT * (F.col("x.least") + F.col("y.least"))
     sized = (100 * F.col("x.most") >= PERCENT * F.col("y.least")) & (100 * F.col("y.most") >= PERCENT * F.col("x.least")) & ((100 + PERCENT) * F.least("x.rest", "y.rest") >= need)
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & sized & F.coalesce(first("x.tokens", "y.tokens", F.col("x.token")), F.lit(True))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & sized & F.coalesce(first_shared("x.tokens", "y.tokens", F.col("x.token")), F.lit(True))
     sides = x.join(y, met).select(F.col("x.token").alias("token"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("component", "key", "salts")])
     sides = materialize(sides, "component-pairs")
     single = F.col("x_key").isNotNull() & F.col("y_key").isNotNull()
@@ -272,7 +333,7 @@ def across(lists: DataFrame) -> DataFrame:
     cell = ["token", "x_component", "x_salt", "y_component", "y_salt"]
     cells = sides.filter(~single).withColumn("x_salt", F.explode("x_salts")).withColumn("y_salt", F.explode("y_salts")).select(*cell)
     side = lambda s: cells.join(some.select("token", F.col("component").alias(f"{s}_component"), F.col("salt").alias(f"{s}_salt"), F.struct("key", "n", "pos", "tokens").alias(s)), ["token", f"{s}_component", f"{s}_salt"])
-    wide = side("x").join(side("y"), cell).filter(first("x.tokens", "y.tokens", F.col("token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
+    wide = side("x").join(side("y"), cell).filter(first_shared("x.tokens", "y.tokens", F.col("token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
     return direct.union(wide.select(F.least("x.key", "y.key"), F.greatest("x.key", "y.key"))).distinct()
 
 
@@ -283,21 +344,24 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = materialize(sigs.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_first")), "classes")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = min(65_536, max(16, ceil(size / FRAGMENT_BYTES)))
-    frequent = frequent_shingles(texts)
-    packed = prefixes(texts.filter("_id is not null"), frequent, fragments)
+    table, step = shingle_counts(texts, ceil(size / TASK_BYTES))
+    heavy = heavy_from(step)
+    packed = prefixes(texts.filter("_id is not null"), table, heavy, fragments)
     found = packed.groupBy("frag").applyInPandas(lambda rows: candidates(rows, fragments), "a long, b long, token long, n long, pos long")
-    found = materialize(found, "candidates", release=True)
+    found = materialize(found, "candidates")
     lists = found.filter("token is not null").select(F.col("a").alias("key"), "token", "n", "pos")
-    heavy = lists.filter(F.col("token") > RARE + frequent[2])
-    pairs = materialize(found.filter("b is not null").select("a", "b").union(with_heads(heavy)).distinct(), "pairs")
-
-    linked = links(pairs, texts, classes)
-    inside = connected_components(linked).select(F.col("node").alias("key"), "component")
-
-    labelled = materialize(lists.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key")), "lists")
-    open_pairs = materialize(across(labelled).join(pairs, ["a", "b"], "left_anti"), "open-pairs")
-    if not open_pairs.isEmpty():
-        inside = connected_components(linked.union(links(open_pairs, texts, classes))).select(F.col("node").alias("key"), "component")
+    pairs = materialize(found.filter("b is not null").select("a", "b").union(with_heads(lists.filter(F.col("token") >= heavy))).distinct(), "pairs")
+
+    linked, some = links(pairs, texts, classes), None
+    for partners in (*ROUNDS, None):
+        if some is None:
+            inside = connected_components(linked).select(F.col("node").alias("key"), "component")
+            some = mixed_lists(lists.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key")), heavy)
+        found = materialize((sampled(some, partners) if partners else across(some)).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        if not found.isEmpty():
+            linked, pairs, some = linked.union(links(found, texts, classes)), pairs.union(found), None
+    if some is None:
+        inside = connected_components(linked).select(F.col("node").alias("key"), "component")
     member = classes.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key"))
     firsts = member.groupBy("component").agg(F.min("_first").alias("component_id"))
     resolved = materialize(member.join(firsts, "component").select("key", "component_id"), "components")

@@ -156,8 +156,7 @@ def test_ngram_join_never_pairs_members_of_one_component(spark):
     # 30 lists of one component of 20,000 members and an outsider: a self-join would try 12 billion pairs
     lists = spark.range(20_000).selectExpr("id AS key", "explode(sequence(1L, 30L)) AS token", "100L AS n", "token - 1 AS pos", "0L AS component")
     outsider = spark.range(20_000, 20_001).selectExpr("id AS key", "explode(array(7L, 9L)) AS token", "100L AS n", "token - 1 AS pos", "id AS component")
-    near = lists.union(outsider).withColumn("token", F.col("token") + ngram_join.RARE)
-    got = ngram_join.across(near).collect()
+    got = ngram_join.across(ngram_join.mixed_lists(lists.union(outsider), 0)).collect()
     assert {r.b for r in got} == {20_000} and sorted(r.a for r in got) == list(range(20_000))
 
 
@@ -166,7 +165,7 @@ def test_ngram_join_pairs_components_as_a_plain_search_does(spark):
 
     draw = random.Random(5)
     sets = {k: (draw.randint(0, 9) if k % 3 else k, draw.randint(60, 120), sorted(draw.sample(range(40), 12))) for k in range(20, 120)}
-    rows_ = [(k, t if t % 2 else t + ngram_join.RARE, n, pos, c) for k, (c, n, ts) in sets.items() for pos, t in enumerate(sorted(ts, key=lambda t: (t % 2 == 0, t)))]
+    rows_ = [(k, t if t % 2 else t + 1000, n, pos, c) for k, (c, n, ts) in sets.items() for pos, t in enumerate(sorted(ts, key=lambda t: (t % 2 == 0, t)))]
     places = {k: {t: pos for key, t, _, pos, _ in rows_ if key == k} for k in sets}
     want = set()
     for a in sets:
@@ -174,7 +173,7 @@ def test_ngram_join_pairs_components_as_a_plain_search_does(spark):
             both = sorted(set(places[a]) & set(places[b]))
             if a < b and sets[a][0] != sets[b][0] and both and ngram_join.possible(sets[a][1], sets[b][1], places[a][both[0]], places[b][both[0]]):
                 want.add((a, b))
-    got = ngram_join.across(spark.createDataFrame(rows_, "key long, token long, n long, pos long, component long")).collect()
+    got = ngram_join.across(ngram_join.mixed_lists(spark.createDataFrame(rows_, "key long, token long, n long, pos long, component long"), 1000)).collect()
     assert want and sorted(map(tuple, got)) == sorted(want)
 
 
@@ -182,7 +181,8 @@ def test_ngram_join_deals_a_large_group_to_many_tasks(spark):
     # 300 near copies share all but the last words, so all their prefixes are lists of the whole group
     texts = [(k, " ".join([f"w{j}" for j in range(60)] + [f"x{k}", f"y{k}"])) for k in range(300)]
     docs = spark.createDataFrame(texts, "_id long, text string").selectExpr("_id", "CAST(text AS BINARY) AS text").repartition(2)
-    packed = ngram_join.prefixes(docs, ngram_join.frequent_shingles(docs), 16).toPandas()
+    table, step = ngram_join.shingle_counts(docs, 2)
+    packed = ngram_join.prefixes(docs, table, ngram_join.heavy_from(step), 16).toPandas()
     entries = packed["pos"].map(len).groupby(packed["frag"]).sum() // 4
     assert len(entries) >= 12 and entries.max() < 0.2 * entries.sum()
     out = ngram_join.jaccard_components(docs, "_id").collect()
@@ -280,30 +280,58 @@ def test_language_labels_spans(spark):
     assert [s[2] for s in spans] == ["en", "de"] and spans[0][1] == 14
 
 
-def test_language_keeps_small_languages_beside_a_full_table(spark, monkeypatch):
+def test_language_keeps_small_languages_beside_a_large_one(spark):
     import random
 
-    monkeypatch.setattr(language, "MAX_WORDS", 20)  # the large language alone has 25 words
     draw = random.Random(2)
-    large = [(k, " ".join("b" + "".join(draw.choices("aeiou", k=2)) + "k" for _ in range(60)), "xx") for k in range(40)]
-    small = [(100, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6 \u03b7\u03b8\u03b9", "el"), (101, "wyz wyz zyw", "yy")]
+    large = [(k, " ".join("b" + "".join(draw.choices("aeiou", k=2)) + "k" for _ in range(60)), "xx") for k in range(400)]
+    small = [(1000, "\u03b1\u03b2\u03b3 \u03b4\u03b5\u03b6 \u03b7\u03b8\u03b9", "el"), (1001, "wyz wyz zyw", "yy")]
     docs = spark.createDataFrame(large * 3 + small, "doc_id long, text string, lang string")
-    out = language.identify(docs.filter("doc_id >= 100"), language.fit(docs)).collect()
+    model = language.fit(docs, per_lang=50)
+    assert model.langs == ["el", "xx", "yy"]
+    out = language.identify(docs.filter("doc_id >= 1000"), model).collect()
     assert {r.lang_pred for r in out if r.lang == "el"} == {"el"} and {r.lang_pred for r in out if r.lang == "yy"} == {"yy"}
 
 
+def test_language_model_of_many_languages_keeps_each(spark):
+    name = [f"q{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(120)]
+    rows_ = [(k * 30 + j, f"{name[k]} {name[k]}{'xyz'[j % 3]} zz", f"l{k}") for k in range(120) for j in range(30)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string")
+    model = language.fit(docs, max_docs=100)  # 20 each all the same
+    assert len(model.langs) == 120 and set(name) <= set(model.words)
+    assert language.identify(docs, model).filter("lang_pred = lang").count() > 3500
+
+
+def plain_viterbi(s, penalty):
+    import numpy as np
+
+    value, back = s[0].astype(float), []
+    for t in range(1, len(s)):
+        top = int(value.argmax())
+        back.append(np.where(value < value[top] - penalty, top, np.arange(s.shape[1])))
+        value = np.maximum(value, value[top] - penalty) + s[t]
+    return value.max()
+
+
 def test_best_path_against_plain_viterbi():
     import numpy as np
 
     draw = np.random.default_rng(0)
-    for _ in range(100):
-        s = draw.normal(0, 2, (12, 3)).astype(np.float32)
-        got = language.best_path(s, 3.0)
-        value = s[0].astype(float)
-        for t in range(1, 12):
-            value = np.maximum(value, value.max() - 3.0) + s[t]
-        mine = sum(float(s[t, got[t]]) for t in range(12)) - 3.0 * np.count_nonzero(np.diff(got))
-        assert mine == pytest.approx(value.max(), abs=1e-4)
+    cases = [(draw.normal(0, 2, (12, 3)), 3.0) for _ in range(100)]
+    for _ in range(600):  # scores from 0 to FLOOR, half of the texts change language in the middle
+        n, langs = int(draw.integers(2, 40)), int(draw.integers(2, 5))
+        s = np.maximum(draw.normal(-3, 3, (n, langs)), language.FLOOR).clip(max=0)
+        if draw.random() < 0.5:
+            x, y = draw.choice(langs, 2, replace=False)
+            s[: n // 2, x], s[n // 2 :, x], s[: n // 2, y], s[n // 2 :, y] = 0, language.FLOOR, language.FLOOR, 0
+        cases.append((s, language.PENALTY))
+    a, b, c = [0] * 4 + [-6] * 4, [-6] * 4 + [0] * 4, [-2] * 8  # two halves, and a third language in between
+    cases.append((np.array([a, b, c]).T, 12.0))
+    for s, penalty in cases:
+        s = s.astype(np.float32)
+        got = language.best_path(s, penalty)
+        mine = sum(float(s[t, got[t]]) for t in range(len(s))) - penalty * np.count_nonzero(np.diff(got))
+        assert mine == pytest.approx(plain_viterbi(s, penalty), abs=1e-4)
 
 
 def test_warc_round_trip(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -20,16 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "table", release: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Later jobs start from the written files, so a lost executor costs a re-read and not a
-    recomputation, and iterative plans do not grow. ``release`` lets Spark delete the shuffle files
-    of the finished job now; otherwise they stay until the driver happens to collect its garbage.
+    recomputation, and iterative plans do not grow.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
-        gc.collect()
-        df.sparkSession._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

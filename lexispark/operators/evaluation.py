@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from hashlib import blake2b
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexispark.functions.scores import classify_domain
 from lexispark.functions.text import extract_marked
 
 
-@F.pandas_udf(T.DoubleType())
-def _unit_hash(keys: pd.Series) -> pd.Series:
-    return keys.map(lambda k: int.from_bytes(blake2b(k.encode(), digest_size=8).digest(), "big") / 2.0**64 if k else 0.0)
+def _unit_hash(key: Column) -> Column:
+    """A number in [0, 1) for a text: 52 bits of its md5; 0 for no text."""
+    return F.when(key == "", 0.0).otherwise(F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -97,15 +95,26 @@ def aptness_eval(scored: DataFrame, scoring: str, percentile: float = 95) -> Dat
     return sweep(scored, [(scoring, percentile)]).drop("rank", "status")
 
 
-def resolve_pairs(pairs: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """``pair_id, source, target, tier, source_synsets, target_synsets, reason``; the reason is null for testable pairs."""
+def resolve_pairs(pairs: DataFrame, lemmas: DataFrame, subset: DataFrame | None = None, sides: tuple[str, ...] = ("source", "target")) -> DataFrame:
+    """``pair_id, source, target, tier, source_synsets, target_synsets, reason``; the reason is null for testable pairs.
+
+    ``subset`` (pair_id) keeps only its pairs; only the words of ``sides`` have to be known.
+    """
+    pairs = pairs if subset is None else pairs.join(subset.select("pair_id").distinct(), "pair_id", "left_semi")
     sets = lemmas.groupBy("lemma").agg(F.array_sort(F.collect_set("synset_id")).alias("s"))
     side = lambda w, o: sets.select(F.col("lemma").alias(w), F.col("s").alias(o))
     found = pairs.join(side("source", "source_synsets"), "source", "left").join(side("target", "target_synsets"), "target", "left")
-    reason = F.when(F.col("source_synsets").isNull(), "source not found").when(F.col("target_synsets").isNull(), "target not found")
+    reason = F.coalesce(*[F.when(F.col(f"{s}_synsets").isNull(), f"{s} not found") for s in sides])
     return found.select("pair_id", "source", "target", "tier", "source_synsets", "target_synsets", reason.alias("reason"))
 
 
+def needed_synsets(resolved: DataFrame) -> DataFrame:
+    """``synset_id`` of all synsets of the testable pairs of :func:`resolve_pairs`."""
+    ok = resolved.filter("reason is null")
+    side = lambda c: ok.select(F.explode(c).alias("synset_id"))
+    return side("source_synsets").union(side("target_synsets")).distinct()
+
+
 def match_rank(pairs: DataFrame, suggestions: DataFrame, lemmas: DataFrame) -> DataFrame:
     """``pair_id, rank, reciprocal_rank``: the first suggestion for the source that is the target or one of its synsets."""
     mine = pairs.select("pair_id", F.col("source").alias("word"), "target").join(suggestions.select("word", "rank", "synset_id", "lemma"), "word")

@@ -7,6 +7,8 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
@@ -49,6 +51,23 @@ def similar_pairs(vectors: DataFrame, threshold: float = 0.8, id_col: str = "id"
     return dealt.groupBy("_i", "_j").applyInPandas(compare, "a long, b long, similarity double")
 
 
+def similar_pairs_lsh(vectors: DataFrame, threshold: float = 0.8, id_col: str = "id", tables: int = 8, bucket: float = 0.5, seed: int = 42) -> DataFrame:
+    """As :func:`similar_pairs` by locality-sensitive hashing, for numbers of vectors whose blocks are too many.
+
+    Pairs that share no bucket in any of the ``tables`` are missed; those found are exact. On unit vectors a
+    cosine of t is a distance of sqrt(2 - 2t). Zero vectors have no partners.
+    """
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    rows = vectors.filter(F.size("embedding") > 0).select(F.col(id_col).cast("long").alias("id"), "embedding", norm.alias("_n")).filter("id is not null and _n > 0")
+    units = rows.select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.col("_n"))).alias("v"))
+    if units.isEmpty():
+        return units.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=seed).fit(units)
+    near = model.approxSimilarityJoin(units, units, max(0.0, 2 - 2 * threshold) ** 0.5 + 1e-9, "_d").filter("datasetA.id < datasetB.id")
+    cosine = F.least(F.lit(1.0), 1 - F.col("_d") * F.col("_d") / 2)
+    return near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), cosine.alias("similarity"))
+
+
 def cluster_vocab(vocab: DataFrame, vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``vocab_id, cluster_id, is_representative, is_singleton``: components of the similar pairs, named by their smallest member."""
     known = vocab.select("vocab_id", "lemma").join(vectors, "lemma").select("vocab_id", "embedding")
@@ -119,6 +138,13 @@ def snap_properties(links: DataFrame, properties: DataFrame, vocab: DataFrame, c
     return snapped.groupBy("synset_id", "cluster_id").agg(best, F.sum("salience").alias("salience_sum")).select("synset_id", "m.vocab_id", "cluster_id", "m.snap_method", "m.snap_score", "salience_sum")
 
 
+def snap_counts(links: DataFrame, snapped: DataFrame) -> DataFrame:
+    """``stage, n``: links that snapped by each method, and those that were dropped."""
+    by = snapped.groupBy(F.col("snap_method").alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+    dropped = links.join(snapped.select("property_id").distinct(), "property_id", "left_anti").agg(F.lit("dropped").alias("stage"), F.count(F.lit(1)).alias("n"))
+    return by.unionByName(dropped)
+
+
 def snap_rejects(links: DataFrame, snapped: DataFrame, properties: DataFrame, vocab: DataFrame) -> DataFrame:
     """``synset_id, text, salience, reason, best_score`` of the links that did not snap."""
     left = links.join(snapped.select("property_id").distinct(), "property_id", "left_anti").join(properties.select("property_id", "embedding"), "property_id", "left")
@@ -130,11 +156,10 @@ def snap_rejects(links: DataFrame, snapped: DataFrame, properties: DataFrame, vo
     return left.join(score.select(F.col("query_id").alias("property_id"), F.col("score").alias("best_score")), "property_id", "left").select("synset_id", "text", "salience", reason.alias("reason"), "best_score")
 
 
-def knn_regress(train: DataFrame, query: DataFrame, k: int = 10, weights: str = "distance", block: int = BLOCK) -> DataFrame:
-    """``id, prediction``: mean of the k nearest training scores by Euclidean distance, plain or by inverse distance; exact matches decide alone.
+def nearest_rows(train: DataFrame, query: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """``id, d, score, train_id, nth``: the k nearest of ``train`` (id, embedding, score) to each of ``query`` (id, embedding) by Euclidean distance, in order.
 
-    ``train`` (id, embedding, score) and ``query`` (id, embedding) meet in pairs of blocks; each
-    gives its k nearest, and these are merged.
+    Both meet in pairs of blocks; each gives its k nearest, and these are merged. Ties go by training id.
     """
     nq, nt = max(1, ceil(query.count() / block)), max(1, ceil(train.count() / block))
     q = query.select("id", "embedding").withColumn("_q", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
@@ -144,15 +169,32 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int = 10, weights: str =
     def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"id": [], "d": [], "score": [], "train_id": []})
+        y = y.sort_values("train_id")
         a, b = (np.stack([np.asarray(v, dtype=np.float64) for v in z]) for z in (x["embedding"], y["train_embedding"]))
         d = np.sqrt(np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T))
         d[d < 1e-7] = 0
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        n = top.shape[1]
-        return pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), n), "d": np.take_along_axis(d, top, 1).ravel(), "score": y["score"].to_numpy()[top].ravel(), "train_id": y["train_id"].to_numpy()[top].ravel()})
+        if d.shape[1] > k:  # all that are as near as the k-th, of which the first k are kept
+            kth = np.partition(np.round(d, 9), k - 1, axis=1)[:, k - 1 : k]
+            i, j = np.nonzero(np.round(d, 9) <= kth)
+        else:
+            i, j = np.nonzero(np.ones_like(d, dtype=bool))
+        by = np.lexsort((j, np.round(d[i, j], 9), i))
+        i, j = i[by], j[by]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[first], j[first]
+        return pd.DataFrame({"id": x["id"].to_numpy()[i], "d": d[i, j], "score": y["score"].to_numpy()[j], "train_id": y["train_id"].to_numpy()[j]})
 
     found = q.groupBy("_q", "_t").cogroup(t.groupBy("_q", "_t")).applyInPandas(near, f"id {kind}, d double, score double, train_id {train.schema['id'].dataType.simpleString()}")
-    kept = found.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.round("d", 9), "train_id"))).filter(F.col("_k") <= k)
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.round("d", 9), "train_id"))).filter(F.col("nth") <= k)
+
+
+def mean_of_nearest(rows: DataFrame, k: int, weights: str = "distance") -> DataFrame:
+    """``id, prediction`` from :func:`nearest_rows`: mean of the first k scores, plain ("uniform") or by inverse distance; exact matches decide alone."""
     exact = F.avg(F.when(F.col("d") == 0, F.col("score")))
     mean = F.avg("score") if weights == "uniform" else F.coalesce(exact, F.sum(F.col("score") / F.nullif("d", F.lit(0.0))) / F.sum(1 / F.nullif("d", F.lit(0.0))))
-    return kept.groupBy("id").agg(mean.alias("prediction"))
+    return rows.filter(F.col("nth") <= k).groupBy("id").agg(mean.alias("prediction"))
+
+
+def knn_regress(train: DataFrame, query: DataFrame, k: int = 10, weights: str = "distance", block: int = BLOCK) -> DataFrame:
+    """``id, prediction``: mean of the k nearest training scores, see :func:`nearest_rows` and :func:`mean_of_nearest`."""
+    return mean_of_nearest(nearest_rows(train, query, k, block), k, weights)

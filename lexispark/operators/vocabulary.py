@@ -43,11 +43,18 @@ def build_vocabulary(synsets: DataFrame, lemmas: DataFrame, frequencies: DataFra
         at = after.select("vocab_id", "k")
         if after.filter("_moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"claims did not settle in {max_rounds} rounds")
     own = held.join(cand, ["lemma", "vocab_id"]).select("vocab_id", "lemma", "polysemy", F.lit(False).alias("is_shared"))
     shared = cand.filter("k = 1").join(held.select("vocab_id"), "vocab_id", "left_anti").select("vocab_id", "lemma", "polysemy", F.lit(True).alias("is_shared"))
     return ranked.join(own.unionByName(shared), "vocab_id").select("vocab_id", "synset_id", "lemma", "pos", "polysemy", "is_shared")
 
 
+def embedding_lookup(words: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``word, embedding`` of the distinct words that have a vector (lemma, embedding)."""
+    return words.select("word").distinct().join(vectors.select(F.col("lemma").alias("word"), "embedding"), "word")
+
+
 def attach_lemma_embeddings(lemmas: DataFrame, vectors: DataFrame) -> DataFrame:
     return lemmas.select("lemma").distinct().join(vectors, "lemma")
 

@@ -111,10 +111,19 @@ def expand_graph(v):
     return expanded(v)[0].select("word", "node_id", "node_order")
 
 
-@query(f"WITH {GRAPH} SELECT word, word AS source, node_id AS target, relation_type, 1 AS link_order FROM kept")
+LINKS = "SELECT word, word AS source, node_id AS target, relation_type, 1 AS link_order FROM kept UNION ALL SELECT word, selected, node_id, relation_type, 2 FROM used"
+
+
+@query(f"WITH {EXPAND} {LINKS}")
+def expand_links(v):
+    return expanded(v)[1]
+
+
+@query(f"WITH {EXPAND} {LINKS} WHERE fresh = 0 UNION ALL SELECT word, node_id, '', relation_type, -node_order FROM nodes")
 def strip_second_order(v):
-    # a second-order link between first-order nodes stays; it is no second-order node's
-    return T.strip_second_order(*expanded(v))[1].filter("link_order = 1")
+    """The links that stay, second-order ones between nodes that stay among them, and the nodes that stay."""
+    nodes, links = T.strip_second_order(*expanded(v))
+    return links.union(nodes.select("word", "node_id", F.lit(""), "relation_type", -F.col("node_order")))
 
 
 @query(f"WITH {GRAPH} SELECT DISTINCT x.word, x.node_id AS a, y.node_id AS b FROM kept x JOIN lx_lexicon p ON p.lemma = x.node_id JOIN lx_lexicon q ON q.synset_id = p.synset_id JOIN kept y ON y.word = x.word AND y.node_id = q.lemma WHERE x.node_id < y.node_id")
@@ -144,7 +153,8 @@ def score_pairs(v):
     return scored(v, ["jaccard_salience", "jaccard_raw", "cosine_salience"])
 
 
-@query()
+@query(f"""WITH {SCORES}, h AS (SELECT pair_id, round(('0x' || substr(md5(string_agg(cluster_id::VARCHAR, ',' ORDER BY cluster_id)), 1, 13))::BIGINT / (1::BIGINT << 52)::DOUBLE, 6) AS h FROM b GROUP BY 1)
+    SELECT st.pair_id, class, word_a, word_b, status, h AS "null" FROM st LEFT JOIN h ON h.pair_id = st.pair_id""")
 def null_scores(v):
     return scored(v, ["null"])
 
@@ -241,20 +251,22 @@ def munch_apt(v):
     return E.munch_apt(v["lx_marked"])[0]
 
 
-@query("SELECT turn AS s0_idx, text AS paraphrase, coalesce(genre, '') AS genre, 'inapt' AS label FROM conversations LEFT JOIN lx_marked ON idx = turn WHERE role = 'user'")
+@query("""SELECT turn AS s0_idx, CASE WHEN role = 'user' THEN text ELSE 'first of ' || conv_id END AS paraphrase, coalesce(g, '') AS genre, 'inapt' AS label
+    FROM conversations LEFT JOIN (SELECT idx // 3 AS i, arg_max(coalesce(genre, ''), idx) AS g FROM lx_marked GROUP BY 1) ON i = turn WHERE role = 'user' OR turn % 3 = 1""")
 def munch_inapt(v):
     c = v["conversations"]
-    judged = c.select(F.col("turn").alias("s0_idx"), F.lit("other").alias("s1"), F.lit("apt").alias("s1_label"), F.col("text").alias("s2"), F.when(F.col("role") == "user", " Inapt ").otherwise("apt").alias("s2_label"))
-    return E.munch_inapt(judged, v["lx_marked"].withColumn("row_no", F.lit(0)))
+    judged = c.select(F.col("turn").alias("s0_idx"), F.concat(F.lit("first of "), F.col("conv_id").cast("string")).alias("s1"), F.when(F.col("turn") % 3 == 1, "INAPT").otherwise("apt").alias("s1_label"), F.col("text").alias("s2"), F.when(F.col("role") == "user", " Inapt ").otherwise("apt").alias("s2_label"))
+    marked = v["lx_marked"].select(F.floor(F.col("idx") / 3).alias("idx"), F.coalesce("genre", F.lit("")).alias("genre"), F.col("idx").alias("row_no"))  # three rows an index
+    return E.munch_inapt(judged, marked)
 
 
-@query("""WITH g AS (SELECT item_id AS index, source, target FROM lx_gold), o AS (SELECT lower(tok) AS t FROM lx_ranked_tokens WHERE k <= 50), f AS (SELECT index, source, target, list_filter([CASE WHEN v.tok IS NULL THEN 'target not in vocab' END, CASE WHEN w.tok IS NULL THEN 'source not in vocab' END, CASE WHEN source LIKE '% %' THEN 'multi-word source' END, CASE WHEN target LIKE '% %' THEN 'multi-word target' END,
+@query("""WITH g AS (SELECT item_id AS index, source, target FROM lx_gold), o AS (SELECT tok AS t FROM lx_spoken), f AS (SELECT index, source, target, list_filter([CASE WHEN v.tok IS NULL THEN 'target not in vocab' END, CASE WHEN w.tok IS NULL THEN 'source not in vocab' END, CASE WHEN source LIKE '% %' THEN 'multi-word source' END, CASE WHEN target LIKE '% %' THEN 'multi-word target' END,
       CASE WHEN target IN (SELECT t FROM o) THEN 'target in existing' END, CASE WHEN source = target AND target IN (SELECT t FROM o) THEN 'pair in existing' END, 'target repeats ' || (lag(index) OVER (PARTITION BY lower(target) ORDER BY index))::VARCHAR], lambda x: x IS NOT NULL) AS flags
       FROM g LEFT JOIN lx_counts v ON v.tok = target LEFT JOIN lx_counts w ON w.tok = source)
     SELECT index, source, target, array_to_string(flags, '|') AS flags, len(flags) = 0 AS is_clean FROM f""")
 def filter_pairs(v):
     gold_ = v["lx_gold"].select(F.col("item_id").alias("index"), "source", "target")
-    old = v["lx_ranked_tokens"].filter("k <= 50").select(F.col("tok").alias("source"), F.col("tok").alias("target"))  # the table of existing pairs
+    old = v["lx_spoken"].select(F.col("tok").alias("source"), F.col("tok").alias("target"))
     return E.filter_pairs(gold_, old, v["lx_counts"].withColumnRenamed("tok", "word")).withColumn("flags", F.array_join("flags", "|"))
 
 
@@ -328,9 +340,11 @@ def trailing_failures(v):
     return P.trailing_failures(metrics(v))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT prompt_name AS prompt, mrr::DOUBLE AS x, row_number() OVER (PARTITION BY prompt_name ORDER BY generation, mrr) AS k, count(*) OVER (PARTITION BY prompt_name) AS n FROM lx_trials),
+    e(prompt, k, n, r) AS (SELECT DISTINCT prompt, 0::BIGINT, n, 1500.0::DOUBLE FROM s UNION ALL SELECT e.prompt, e.k + 1, e.n, e.r + 32 * (s.x - 1 / (1 + power(10.0, (1500 - e.r) / 400))) FROM e JOIN s ON s.prompt = e.prompt AND s.k = e.k + 1)
+    SELECT prompt, round(r, 5) AS rating, n AS trials FROM e WHERE k = n""")
 def elo_ratings(v):
-    return P.elo_ratings(v["lx_trials"].select("prompt_name", F.col("generation").alias("order"), F.col("mrr").cast("double").alias("score")))
+    return P.elo_ratings(v["lx_trials"].select("prompt_name", F.col("generation").alias("order"), F.col("mrr").cast("double").alias("score"))).withColumn("rating", F.round("rating", 5))
 
 
 @query("SELECT round(count(c.synset_id) / count(*), 6) AS coverage, count(c.synset_id) / count(*) >= 0.9 AS valid, CASE WHEN count(c.synset_id) / count(*) < 0.9 THEN 'coverage is below 0.9' END AS reason FROM lx_part_synsets p LEFT JOIN (SELECT DISTINCT synset_id FROM lx_curated WHERE snap_method <> 'embedding') c ON c.synset_id = p.synset_id")

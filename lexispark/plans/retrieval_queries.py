@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import scores
 from lexispark.operators import retrieval as R
+from lexispark.operators.vocabulary import embedding_lookup as embeddings_of
 from lexispark.plans.catalog import query
 
-SHARED = """SELECT s.synset_id AS source_id, t.synset_id AS target_id, sum(t.salience_sum) AS sal, string_agg(v.lemma, '|' ORDER BY v.lemma) AS props
+SHARED = """SELECT s.synset_id AS source_id, t.synset_id AS target_id, round(sum(t.salience_sum), 6) AS sal, string_agg(v.lemma, '|' ORDER BY v.lemma) AS props
     FROM lx_curated s JOIN lx_curated t ON s.cluster_id = t.cluster_id AND s.synset_id <> t.synset_id JOIN lx_vocab v ON v.vocab_id = s.cluster_id GROUP BY 1, 2"""
 CONTRAST = """SELECT s.synset_id AS source_id, t.synset_id AS target_id, count(*) AS con
     FROM lx_curated s JOIN lx_cluster_antonyms x ON x.a = s.cluster_id JOIN lx_curated t ON t.cluster_id = x.b AND s.synset_id <> t.synset_id GROUP BY 1, 2"""
 SENSES = "SELECT DISTINCT w.lemma AS word, w.synset_id AS source_id FROM lx_words w WHERE w.synset_id IN (SELECT synset_id FROM lx_curated)"
-PER_SENSE = """SELECT z.word, z.source_id, t.synset_id AS target_id, sum(t.salience_sum) AS sal, string_agg(v.lemma, '|' ORDER BY v.lemma) AS props
+PER_SENSE = """SELECT z.word, z.source_id, t.synset_id AS target_id, round(sum(t.salience_sum), 6) AS sal, string_agg(v.lemma, '|' ORDER BY v.lemma) AS props
     FROM senses z JOIN lx_curated s ON s.synset_id = z.source_id JOIN lx_vocab v ON v.vocab_id = s.cluster_id JOIN lx_curated t ON t.cluster_id = s.cluster_id
     WHERE NOT EXISTS (SELECT 1 FROM senses q WHERE q.word = z.word AND q.source_id = t.synset_id) GROUP BY 1, 2, 3"""
 OPPOSED = """SELECT word, target_id, max(n) AS con FROM (SELECT z.word, z.source_id, t.synset_id AS target_id, count(*) AS n
@@ -140,5 +141,4 @@ def concreteness_gate(v):
 
 @query("SELECT w.word, embedding[1]::DOUBLE AS first_value, len(embedding) AS dim FROM lx_lexicon_words w JOIN lx_word_vectors x ON x.lemma = w.word")
 def embedding_lookup(v):
-    found = v["lx_lexicon_words"].join(v["lx_word_vectors"].withColumnRenamed("lemma", "word"), "word")
-    return found.select("word", F.col("embedding")[0].cast("double").alias("first_value"), F.size("embedding").alias("dim"))
+    return embeddings_of(v["lx_lexicon_words"], v["lx_word_vectors"]).select("word", F.col("embedding")[0].cast("double").alias("first_value"), F.size("embedding").alias("dim"))

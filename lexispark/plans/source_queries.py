@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as TX
@@ -35,17 +37,17 @@ def import_relations(v):
     return senses(v)[2]
 
 
-@query("SELECT syntagm_id, synset1id, synset2id FROM (SELECT l_orderkey * 10 + l_linenumber AS syntagm_id, CASE WHEN l_quantity > 2 THEN l_partkey::VARCHAR END AS synset1id, CASE WHEN l_quantity < 49 THEN l_suppkey::VARCHAR END AS synset2id FROM lineitem) WHERE synset1id IS NOT NULL AND synset2id IS NOT NULL")
+@query("SELECT syntagm_id, synset1id, synset2id, sensekey1, sensekey2, word1id, word2id FROM (SELECT l_orderkey * 10 + l_linenumber AS syntagm_id, l_returnflag AS sensekey1, l_linestatus AS sensekey2, l_linenumber::INT AS word1id, l_quantity::INT AS word2id, CASE WHEN l_quantity > 2 THEN l_partkey::VARCHAR END AS synset1id, CASE WHEN l_quantity < 49 THEN l_suppkey::VARCHAR END AS synset2id FROM lineitem) WHERE synset1id IS NOT NULL AND synset2id IS NOT NULL")
 def import_collocations(v):
     li = v["lineitem"]
-    return S.import_collocations(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("syntagm_id"), F.when(F.col("l_quantity") > 2, F.col("l_partkey")).alias("synset1id"), F.when(F.col("l_quantity") < 49, F.col("l_suppkey")).alias("synset2id")))
+    return S.import_collocations(li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("syntagm_id"), F.when(F.col("l_quantity") > 2, F.col("l_partkey")).alias("synset1id"), F.when(F.col("l_quantity") < 49, F.col("l_suppkey")).alias("synset2id"), F.col("l_returnflag").alias("sensekey1"), F.col("l_linestatus").alias("sensekey2"), F.col("l_linenumber").alias("word1id"), F.col("l_quantity").alias("word2id")))
 
 
 def verbs(v):
     li, o = v["lineitem"], v["orders"]
     return S.import_verb_classes(
-        v["supplier"].select(F.col("s_suppkey").alias("class_id"), F.col("s_name").alias("class_name")),
-        li.select(F.col("l_suppkey").alias("class_id"), F.when(F.col("l_returnflag") != "N", F.col("l_partkey")).alias("synset_id")),
+        v["supplier"].select((F.col("s_suppkey") % 40).alias("class_id"), F.col("s_name").alias("class_name")),
+        li.select(F.col("l_suppkey").alias("class_id"), F.when(F.col("l_returnflag") != "N", F.col("l_partkey")).alias("synset_id"), F.col("l_linenumber").alias("wordid"), F.col("l_orderkey").alias("vnwordid")),
         li.select(F.col("l_suppkey").alias("class_id"), F.col("l_linenumber").alias("role_type_id")),
         v["nation"].select(F.col("n_nationkey").alias("role_type_id"), F.col("n_name").alias("role_type")),
         o.select(F.col("o_orderkey").alias("example_id"), F.col("o_orderpriority").alias("example")),
@@ -54,11 +56,16 @@ def verbs(v):
     )
 
 
-@query("SELECT DISTINCT l_suppkey AS class_id, l_partkey AS synset_id FROM lineitem WHERE l_returnflag <> 'N'")
+@query("SELECT DISTINCT l_suppkey AS class_id, l_partkey AS synset_id, l_linenumber AS wordid, l_orderkey AS vnwordid FROM lineitem WHERE l_returnflag <> 'N'")
 def verb_class_members(v):
     return verbs(v)["members"]
 
 
+@query("SELECT s_suppkey % 40 AS class_id, min(s_name) AS class_name FROM supplier GROUP BY 1")
+def verb_classes(v):
+    return verbs(v)["classes"]
+
+
 @query("SELECT l_suppkey AS class_id, n_name AS role_type FROM lineitem JOIN nation ON n_nationkey = l_linenumber")
 def verb_class_roles(v):
     return verbs(v)["roles"]
@@ -96,15 +103,28 @@ def load_concreteness(v):
     return S.load_concreteness(raw_events(v).select("row_no", F.col("w").alias("Word"), F.when(F.col("et") == "M", "1").otherwise("0").alias("Bigram"), F.col("fam").alias("Conc.M")))
 
 
-VEC_LINES = "SELECT vec_id, CASE WHEN label = 3 THEN 'dup' ELSE 'w' || vec_id::VARCHAR END AS word, array_to_string(list_transform(embedding, lambda x: x::VARCHAR), ' ') || CASE WHEN label = 5 THEN ' oops' ELSE '' END AS vals, label FROM embeddings"
+VEC_LINES = "SELECT CASE WHEN label = 3 THEN 'dup' ELSE 'w' || vec_id::VARCHAR END AS word, array_to_string(list_transform(embedding, lambda x: x::VARCHAR), ' ') || CASE WHEN label = 5 THEN ' oops' ELSE '' END AS vals, label, embedding, vec_id FROM embeddings"
 
 
-@query(f"SELECT word, count(*) AS dim_sum FROM (SELECT word FROM ({VEC_LINES}) WHERE label <> 5 GROUP BY 1) GROUP BY 1")
+@query(f"SELECT word, len(e) AS dim, round(list_sum(list_transform(e, lambda x: x::DOUBLE)), 4) + 0.0 AS total, round(e[7]::DOUBLE, 5) + 0.0 AS seventh FROM (SELECT word, arg_min(embedding, vec_id) AS e FROM ({VEC_LINES}) WHERE label <> 5 GROUP BY 1)")
 def load_vectors(v):
     word = F.when(F.col("label") == 3, "dup").otherwise(F.concat(F.lit("w"), F.col("vec_id").cast("string")))
     values = F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")
     lines = v["embeddings"].select("vec_id", F.concat(word, F.lit(" "), values, F.when(F.col("label") == 5, " oops").otherwise("")).alias("value"))
-    return S.parse_vectors(lines, 64, ["vec_id"])[0].select("word", (F.size("embedding") / 64).cast("long").alias("dim_sum"))
+    return S.parse_vectors(lines, 64, ["vec_id"])[0].select(
+        "word", F.size("embedding").cast("long").alias("dim"), (F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4) + 0.0).alias("total"), (F.round(F.col("embedding")[6].cast("double"), 5) + 0.0).alias("seventh")
+    )
+
+
+@query("SELECT vec_id, label, CASE WHEN label <> 5 THEN round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) + 0.0 END AS total, CASE WHEN label <> 5 THEN round(embedding[7]::DOUBLE, 5) + 0.0 END AS seventh FROM embeddings")
+def decode_vectors(v):
+    """Every vector as a blob of its bytes, those of one label cut short, and back."""
+    blob = lambda batches: (pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array([np.asarray(x, dtype="<f4").tobytes() for x in b.column("embedding").to_pylist()], type=pa.binary())], names=["vec_id", "label", "embedding"]) for b in batches)
+    e = v["embeddings"].select("vec_id", "label", "embedding")
+    blobs = e.mapInArrow(blob, f"vec_id {e.schema['vec_id'].dataType.simpleString()}, label {e.schema['label'].dataType.simpleString()}, embedding binary")
+    blobs = blobs.withColumn("embedding", F.when(F.col("label") == 5, F.expr("substring(embedding, 1, 9)")).otherwise(F.col("embedding")))
+    out = S.decode_vectors(blobs, 64)
+    return out.select("vec_id", "label", (F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4) + 0.0).alias("total"), (F.round(F.col("embedding")[6].cast("double"), 5) + 0.0).alias("seventh"))
 
 
 @query("SELECT 'documents' AS table_name, count(*) AS n_rows FROM documents UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'part', count(*) FROM part")
@@ -141,10 +161,10 @@ def polysemy_coverage(v):
     return K.polysemy_coverage(v["lx_synsets"], v["lx_lemmas"], v["lx_frequencies_raw"].withColumnRenamed("word", "lemma"), (100, 500, 5000))
 
 
-@query("SELECT synset_id, cluster_id, (CASE WHEN snap_score IS NULL OR snap_score <= 0.85 THEN [] ELSE ['score'] END || CASE WHEN salience_sum >= 1.4 THEN [] ELSE ['salience'] END) AS broken FROM lx_curated WHERE snap_score > 0.85 OR salience_sum < 1.4")
+@query("SELECT synset_id, cluster_id, concat_ws('|', CASE WHEN snap_score > 0.85 THEN 'score' END, CASE WHEN salience_sum < 1.4 THEN 'salience' END) AS broken FROM lx_curated")
 def validate_rows(v):
-    bad = K.validate_rows(v["lx_curated"], {"score": F.col("snap_score") <= 0.85, "salience": F.col("salience_sum") >= 1.4})[1]
-    return bad.select("synset_id", "cluster_id", "broken")
+    good, bad = K.validate_rows(v["lx_curated"], {"score": F.col("snap_score") <= 0.85, "salience": F.col("salience_sum") >= 1.4})
+    return good.select("synset_id", "cluster_id", F.lit("").alias("broken")).union(bad.select("synset_id", "cluster_id", F.array_join("broken", "|")))
 
 
 @query(f"SELECT word, {RARITY.format(f='familiarity', z='zipf')} AS rarity FROM lx_frequencies_raw")

@@ -23,15 +23,15 @@ VIEWS: dict[str, str] = {
     "lx_ranked_tokens": "SELECT tok, n, row_number() OVER (ORDER BY n DESC, tok) AS k FROM lx_counts",
     "lx_vectors": "SELECT tok AS lemma, embedding FROM lx_ranked_tokens JOIN embeddings ON k = vec_id + 1",
     "lx_relations": "SELECT DISTINCT CAST(l_partkey AS STRING) AS source_synset, CAST(l_suppkey AS STRING) AS target_synset, CASE l_linenumber % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '11' WHEN 3 THEN '40' ELSE '60' END AS relation_type FROM lineitem",
-    "lx_syntagms": "SELECT DISTINCT (l_orderkey % 1000) * 1000 + l_partkey % 1000 AS syntagm_id, CAST(l_orderkey % 1000 AS STRING) AS synset1id, CAST(l_partkey % 1000 AS STRING) AS synset2id FROM lineitem",
-    "lx_curated": "SELECT CAST(l_partkey AS STRING) AS synset_id, l_suppkey AS vocab_id, l_suppkey AS cluster_id, CASE min(l_returnflag) WHEN 'A' THEN 'exact' WHEN 'N' THEN 'morphological' ELSE 'embedding' END AS snap_method, CASE WHEN min(l_returnflag) = 'R' THEN round(0.7 + 3 * avg(l_discount), 6) END AS snap_score, round(1.5 * sum(1 - l_discount), 6) AS salience_sum FROM lineitem WHERE l_quantity >= 35 GROUP BY l_partkey, l_suppkey",
+    "lx_syntagms": "SELECT DISTINCT CAST(l_partkey AS BIGINT) * 100000000 + l_suppkey AS syntagm_id, CAST(l_partkey AS STRING) AS synset1id, CAST(l_suppkey AS STRING) AS synset2id FROM lineitem",
+    "lx_curated": "SELECT CAST(l_partkey AS STRING) AS synset_id, l_suppkey AS vocab_id, l_suppkey AS cluster_id, CASE min(l_returnflag) WHEN 'A' THEN 'exact' WHEN 'N' THEN 'morphological' ELSE 'embedding' END AS snap_method, CASE WHEN min(l_returnflag) = 'R' THEN round(0.7 + 3 * avg(l_discount), 6) END AS snap_score, round(1.5 * sum(1 - l_discount), 6) AS salience_sum FROM lineitem GROUP BY l_partkey, l_suppkey",
     "lx_vocab": f"SELECT s_suppkey AS vocab_id, CAST(s_suppkey AS STRING) AS synset_id, lower(s_name) AS lemma, {POS.format('s_suppkey')} AS pos, s_nationkey + 1 AS polysemy FROM supplier",
     "lx_words": "SELECT DISTINCT lower(p_brand || ' ' || p_type) AS lemma, CAST(p_partkey AS STRING) AS synset_id FROM part",
     "lx_word_list": "SELECT DISTINCT lemma AS word FROM lx_words",
     "lx_lexicon": "SELECT lemma, synset_id FROM lx_words UNION SELECT {explode}(split(p_name, ' ')) AS lemma, CAST(p_partkey AS STRING) AS synset_id FROM part UNION SELECT lower(p_brand) AS lemma, CAST(p_partkey AS STRING) AS synset_id FROM part",
     "lx_lexicon_words": "SELECT DISTINCT lemma AS word FROM lx_lexicon",
     "lx_part_synsets": f"SELECT CAST(p_partkey AS STRING) AS synset_id, {POS.format('p_partkey')} AS pos, p_name AS definition FROM part",
-    "lx_part_relations": "SELECT DISTINCT CAST(l_partkey AS STRING) AS source_synset, CAST(l_orderkey % 1000 AS STRING) AS target_synset, CASE l_linenumber % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '11' WHEN 3 THEN '40' ELSE '60' END AS relation_type FROM lineitem WHERE l_returnflag = 'R'",
+    "lx_part_relations": "SELECT * FROM lx_relations",
     "lx_numbered_suppliers": "SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier",
     "lx_cluster_antonyms": "SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM lx_numbered_suppliers x JOIN lx_numbered_suppliers y ON x.s_nationkey = y.s_nationkey AND (x.k = y.k + 1 AND y.k % 2 = 1 OR y.k = x.k + 1 AND x.k % 2 = 1)",
     "lx_word_vectors": "SELECT lemma, embedding FROM (SELECT word AS lemma, row_number() OVER (ORDER BY word) AS k FROM lx_word_list) w JOIN embeddings ON k = vec_id + 1",
@@ -47,6 +47,7 @@ VIEWS: dict[str, str] = {
     "lx_snap_properties": "SELECT k AS property_id, tok AS text, embedding FROM lx_ranked_tokens LEFT JOIN embeddings ON k = vec_id + 1",
     "lx_snap_links": "SELECT synset_id, k AS property_id, text, salience FROM lx_properties JOIN lx_ranked_tokens ON tok = text",
     "lx_snap_clusters": "SELECT vocab_id, CAST(floor((vocab_id + 1) / 2) AS BIGINT) AS cluster_id FROM lx_snap_vocab",
+    "lx_spoken": f"SELECT DISTINCT {{explode}}({TOKENS}) AS tok FROM conversations",
     "lx_titles": "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, html FROM pages",
     "lx_marked": "SELECT page_id AS idx, 'see <b>' || title || '</b> here' AS s0, title AS human_ans, CASE page_id % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'fiction' ELSE NULL END AS genre FROM lx_titles",
 }

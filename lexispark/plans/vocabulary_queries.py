@@ -74,9 +74,13 @@ def property_distribution(v):
     return E.property_distribution(v["lx_properties"])
 
 
-@query(f"SELECT metric, value AS a, value AS b, 0.0 AS delta FROM ({DIST})")
+SPOKEN = "(SELECT CAST(turn AS STRING) AS synset_id, role AS text, CASE WHEN turn % 2 = 0 THEN 'physical' END AS property_type FROM conversations)"
+
+
+@query(f"SELECT metric, a.value AS a, b.value AS b, round(coalesce(b.value, 0) - coalesce(a.value, 0), 6) AS delta FROM ({DIST}) a FULL JOIN ({DIST.replace('lx_properties', SPOKEN)}) b USING (metric)")
 def compare_distributions(v):
-    return E.compare_distributions(v["lx_properties"], v["lx_properties"])
+    spoken = v["conversations"].select(F.col("turn").cast("string").alias("synset_id"), F.col("role").alias("text"), F.when(F.col("turn") % 2 == 0, "physical").alias("property_type"))
+    return E.compare_distributions(v["lx_properties"], spoken)
 
 
 AUDIT = "SELECT s.synset_id, pos, coalesce(k, 0) AS n_physical, coalesce(k, 0) < CASE pos WHEN 'n' THEN 4 ELSE 2 END AS flagged FROM lx_synsets s LEFT JOIN (SELECT synset_id, count(*) AS k FROM lx_properties WHERE property_type = 'physical' GROUP BY 1) p ON p.synset_id = s.synset_id"
@@ -104,11 +108,19 @@ def format_batches(v):
     return E.format_batches(v["lx_part_synsets"], v["lx_lexicon"]).withColumn("synset_ids", F.array_join("synset_ids", "|"))
 
 
-@query("SELECT p.synset_id, min(l.lemma) AS lemma, any_value(p.definition) AS definition, any_value(p.pos) AS pos, count(DISTINCT c.cluster_id) AS n FROM lx_part_synsets p JOIN lx_words l ON l.synset_id = p.synset_id JOIN lx_curated c ON c.synset_id = p.synset_id GROUP BY 1")
+BATCH = "(SELECT synset_id, min(lemma) AS lemma FROM lx_words WHERE lemma NOT LIKE 'brand#1 %' GROUP BY 1)"
+
+
+@query(f"""WITH r AS (SELECT synset_id, count(DISTINCT cluster_id) AS n FROM lx_curated GROUP BY 1)
+    SELECT r.synset_id, lemma, definition, pos, n, false AS rejected FROM r JOIN lx_part_synsets p ON p.synset_id = r.synset_id JOIN {BATCH} l ON l.synset_id = r.synset_id
+    UNION ALL SELECT synset_id, NULL, NULL, NULL, NULL, true FROM r WHERE synset_id NOT IN (SELECT synset_id FROM {BATCH} l)""")
 def merge_batch_results(v):
-    batch = v["lx_part_synsets"].join(v["lx_words"].groupBy("synset_id").agg(F.min("lemma").alias("lemma")), "synset_id")
+    known = v["lx_words"].filter("lemma NOT LIKE 'brand#1 %'")  # results of one brand are not of this batch
+    batch = v["lx_part_synsets"].join(known.groupBy("synset_id").agg(F.min("lemma").alias("lemma")), "synset_id")
     results = v["lx_curated"].groupBy(F.col("synset_id").alias("id")).agg(F.collect_list(F.struct(F.col("cluster_id").cast("string").alias("text"), F.lit("x").alias("type"))).alias("properties"))
-    return E.merge_batch_results(batch, results, "physical")[0].select("synset_id", "lemma", "definition", "pos", F.size(F.filter("properties", lambda p: p["type"] == "physical")).cast("long").alias("n"))
+    merged, unknown = E.merge_batch_results(batch, results, "physical")
+    merged = merged.select("synset_id", "lemma", "definition", "pos", F.size(F.filter("properties", lambda p: p["type"] == "physical")).cast("long").alias("n"), F.lit(False).alias("rejected"))
+    return merged.unionByName(unknown.select(F.col("id").alias("synset_id"), F.lit(True).alias("rejected")), allowMissingColumns=True)
 
 
 @query("SELECT synset_id, pos FROM lx_part_synsets WHERE synset_id NOT IN (SELECT synset_id FROM lx_vocab)")
@@ -238,6 +250,11 @@ def snap_rejects(v):
     return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("best_score"), 5).alias("best"))
 
 
+@query(f"WITH {SNAP} SELECT coalesce(m, 'dropped') AS stage, count(*) AS n FROM lx_snap_links l LEFT JOIN hit ON hit.property_id = l.property_id GROUP BY 1")
+def snap_counts(v):
+    return M.snap_counts(v["lx_snap_links"], snapped(v))
+
+
 def vectors(v):
     return v["embeddings"].select(F.col("vec_id").cast("string").alias("synset_id"), "embedding")
 
@@ -281,7 +298,7 @@ def revert_predictions(v):
 
 @query()
 def model_shootout(v):
-    return C.model_shootout(C.concreteness_training(vectors(v), v["lx_ratings"]), alphas=(0.1, 10.0), trees=(50,), depths=(10,), ks=(5, 10))
+    return C.model_shootout(C.concreteness_training(vectors(v), v["lx_ratings"]))
 
 
 @query("""WITH t AS (SELECT DISTINCT source || '/' || target AS text, source, target FROM lx_gold), p AS (SELECT text, source AS lemma FROM t UNION ALL SELECT text, target FROM t)

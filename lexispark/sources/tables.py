@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,25 +22,30 @@ def first_wins(df: DataFrame, keys: Sequence[str], *order: Column | str) -> Data
     return df.withColumn("_nth", F.row_number().over(by)).filter("_nth = 1").drop("_nth")
 
 
-def import_senses(words: DataFrame, senses: DataFrame, synsets: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(synsets, lemmas, relations); duplicate edges stay."""
-    s = synsets.select(F.col("synsetid").cast("string").alias("synset_id"), F.col("posid").alias("pos"), "definition").dropDuplicates(["synset_id"])
+def import_senses(words: DataFrame, senses: DataFrame, synsets: DataFrame, relations: DataFrame, order: Sequence[str] = ("posid", "definition")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(synsets, lemmas, relations); duplicate edges stay. Of a synset's rows the first in ``order`` stays."""
+    s = first_wins(synsets, ["synsetid"], *order).select(F.col("synsetid").cast("string").alias("synset_id"), F.col("posid").alias("pos"), "definition")
     lemmas = words.join(senses, "wordid").select(F.col("word").alias("lemma"), F.col("synsetid").cast("string").alias("synset_id")).distinct()
     edges = relations.select(F.col("synset1id").cast("string").alias("source_synset"), F.col("synset2id").cast("string").alias("target_synset"), F.col("relationid").cast("string").alias("relation_type"))
     return s, lemmas, edges
 
 
 def import_collocations(raw: DataFrame) -> DataFrame:
-    keep = raw.filter("synset1id is not null and synset2id is not null")
-    return keep.select(F.col("syntagm_id").cast("long"), F.col("synset1id").cast("string"), F.col("synset2id").cast("string"))
+    """``syntagm_id, synset1id, synset2id, sensekey1, sensekey2, word1id, word2id`` of the rows with both synsets."""
+    text, number = ("synset1id", "synset2id", "sensekey1", "sensekey2"), ("word1id", "word2id")
+    return raw.filter("synset1id is not null and synset2id is not null").select(F.col("syntagm_id").cast("long"), *[F.col(c).cast("string") for c in text], *[F.col(c).cast("int") for c in number])
 
 
 def import_verb_classes(classes: DataFrame, members: DataFrame, roles: DataFrame, role_types: DataFrame, examples: DataFrame, example_frames: DataFrame, class_frames: DataFrame) -> dict[str, DataFrame]:
-    """``classes, members, roles, examples``; one row per example id (lowest class wins)."""
+    """``classes, members, roles, examples``.
+
+    Classes: one row per id, the lowest name wins. Members: ``class_id, synset_id, wordid, vnwordid`` with a
+    synset. Examples: one row per id, the lowest class wins.
+    """
     joined = examples.join(example_frames, "example_id").join(class_frames, "frame_id").select("example_id", "class_id", "example").distinct()
     return {
-        "classes": classes.dropDuplicates(["class_id"]),
-        "members": members.filter("synset_id is not null").distinct(),
+        "classes": first_wins(classes, ["class_id"], "class_name"),
+        "members": members.filter("synset_id is not null").select("class_id", "synset_id", "wordid", "vnwordid").distinct(),
         "roles": roles.join(role_types, "role_type_id").select("class_id", "role_type"),
         "examples": first_wins(joined, ["example_id"], "class_id", "example"),
     }
@@ -91,18 +97,22 @@ def decode_vectors(blobs: DataFrame, dim: int, blob_col: str = "embedding") -> D
 
     @F.pandas_udf("array<float>")
     def decode(column: pd.Series) -> pd.Series:
-        return column.map(lambda b: np.frombuffer(b, dtype="<f4") if b is not None and len(b) == 4 * dim else None)
+        rows = np.frombuffer(b"".join(column), dtype="<f4").reshape(len(column), dim)
+        return pd.Series(list(rows), dtype=object)
 
-    return blobs.withColumn(blob_col, decode(blob_col))
+    whole = F.octet_length(blob_col) == 4 * dim
+    padded = F.when(whole, F.col(blob_col)).otherwise(F.lit(bytes(4 * dim)))
+    return blobs.withColumn(blob_col, F.when(whole, decode(padded)))
 
 
 def parse_enrichment(documents: DataFrame, json_col: str = "json") -> DataFrame:
-    """One row per (synset, property) of enrichment documents in either form and under either key.
+    """One row per synset of enrichment documents in either form and under either key.
 
     A property is text (v1) or an object (v2). Documents without ``synsets`` or ``results`` raise
-    when the rows are read.
+    when the rows are read. ``doc_no`` orders the documents; without such a column it is made up.
     """
-    doc = documents.select(F.monotonically_increasing_id().alias("doc_no"), F.from_json(json_col, ENRICHED).alias("d"))
+    number = F.col("doc_no") if "doc_no" in documents.columns else F.monotonically_increasing_id()
+    doc = documents.select(number.alias("doc_no"), F.from_json(json_col, ENRICHED).alias("d"))
     rows = F.coalesce("d.synsets", "d.results")
     checked = doc.select("doc_no", F.coalesce("d.config.model", F.lit("unknown")).alias("model_used"), F.when(rows.isNull(), F.raise_error(F.lit("an enrichment document has neither synsets nor results")).cast(SYNSETS)).otherwise(rows).alias("s"))
     one = checked.select("doc_no", "model_used", F.posexplode("s").alias("row_no", "s"))
@@ -110,7 +120,17 @@ def parse_enrichment(documents: DataFrame, json_col: str = "json") -> DataFrame:
 
 
 def load_enrichment(spark: SparkSession, *paths: str) -> DataFrame:
-    return parse_enrichment(spark.read.text(list(paths), wholetext=True).withColumnRenamed("value", "json"))
+    """The documents of the files, in the order of the paths and, within a folder, of the file names.
+
+    All files are checked before any row is returned; a file that is no such document raises.
+    """
+    each = [spark.read.text(p, wholetext=True).select(F.col("value").alias("json"), F.struct(F.lit(k).alias("k"), F.col("_metadata.file_path").alias("file")).alias("doc_no")) for k, p in enumerate(paths)]
+    files = reduce(DataFrame.union, each)
+    parsed = F.from_json("json", ENRICHED)
+    bad = files.filter(F.coalesce(parsed["synsets"], parsed["results"]).isNull()).select("doc_no.file").limit(5).collect()
+    if bad:
+        raise ValueError(f"neither synsets nor results in {', '.join(r['file'] for r in bad)}")
+    return parse_enrichment(files)
 
 
 def explode_properties(enriched: DataFrame, cap: int = 15) -> DataFrame:
@@ -134,7 +154,10 @@ def parse_controls(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def load_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs with ``pair_id`` "source:target" and the pool's version; a null source or target raises when rows are read."""
+    """Pairs with ``pair_id`` "source:target" and the pool's version; a null source or target raises when rows are read.
+
+    The version is a hash of the content of all rows, whatever their order.
+    """
     checked = pairs.withColumn("pair_id", F.when(F.col("source").isNull() | F.col("target").isNull(), F.raise_error(F.lit("a pair lacks its source or target")).cast("string")).otherwise(F.concat_ws(":", "source", "target")))
-    digest = checked.agg(F.sum(F.conv(F.substring(F.sha2("pair_id", 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("s"))
+    digest = checked.agg(F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct("pair_id", *sorted(pairs.columns))), 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("s"))
     return checked.crossJoin(F.broadcast(digest.select(F.substring(F.sha2(F.col("s").cast("string"), 256), 1, 16).alias("version"))))  # one row

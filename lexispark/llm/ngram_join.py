@@ -49,7 +49,7 @@ FRAGMENT_BYTES, COUNT_FRAGMENTS = 16 << 20, 4
 #: About the bytes of text of a task that reads the table.
 TASK_BYTES = 64 << 20
 #: Parts to which the members of a list are dealt, and partners of a member in the rounds before all open pairs are taken.
-SALTS, ROUNDS = 32, (8, 32, 128)
+SALTS, ROUNDS = 32, (16, 128)
 #: Pairs of a cell in which segments are compared.
 CELL_PAIRS = 2000
 
@@ -89,32 +89,36 @@ def shingle_counts(texts: DataFrame, tasks: int) -> tuple[np.ndarray, int]:
                 np.add.at(table, (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.uint32(1))
         for k in range(TABLE_SLICES):
             part = table[k * width : (k + 1) * width]
-            at = np.flatnonzero(part)
-            if len(at) > width // 3:
-                yield pa.RecordBatch.from_pydict({"slice": [k], "salt": [salt], "at": [b""], "n": [part.tobytes()]}, schema=_COUNTS)
-            elif len(at):
-                yield pa.RecordBatch.from_pydict({"slice": [k], "salt": [salt], "at": [at.astype(np.uint32).tobytes()], "n": [part[at].tobytes()]}, schema=_COUNTS)
+            if part.any():
+                yield pa.RecordBatch.from_pylist([slice_row(k, salt, part)], schema=_COUNTS)
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
+    def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(width, dtype=np.uint64)
-        for at, n in zip(rows["at"], rows["n"], strict=True):
-            counts = np.frombuffer(n, dtype=np.uint32)
-            total[np.frombuffer(at, dtype=np.uint32) if at else slice(None)] += counts
-        total = np.minimum(total, np.uint64((1 << 32) - 1)).astype(np.uint32)
-        return pd.DataFrame({"slice": rows["slice"].iloc[:1], "salt": [0], "at": [b""], "n": [total.tobytes()]})
+        for r in rows.to_pylist():
+            total += np.frombuffer(pa.decompress(r["low"], width, "zstd"), dtype=np.uint8)
+            total[np.frombuffer(r["at"], dtype=np.uint32)] += np.frombuffer(r["more"], dtype=np.uint32)
+        return pa.Table.from_pylist([slice_row(rows["slice"][0].as_py(), 0, np.minimum(total, np.uint64((1 << 32) - 1)).astype(np.uint32))], schema=_COUNTS)
 
-    sent = texts.mapInArrow(run, "slice int, salt int, at binary, n binary")
+    sent = texts.mapInArrow(run, COUNTS)
     for keys in (["slice", "salt"], ["slice"]) if salts > 1 else (["slice"],):
-        sent = sent.groupBy(*keys).applyInPandas(add, "slice int, salt int, at binary, n binary")
+        sent = sent.groupBy(*keys).applyInArrow(add, COUNTS)
     out, total = np.zeros(TABLE, dtype=np.uint8), 0
-    for r in sent.select("slice", "n").toLocalIterator():
-        counts = np.frombuffer(r["n"], dtype=np.uint32)
+    for r in sent.toLocalIterator():
+        counts = np.frombuffer(pa.decompress(bytes(r["low"]), width, "zstd"), dtype=np.uint8).astype(np.uint32)
+        counts[np.frombuffer(r["at"], dtype=np.uint32)] += np.frombuffer(r["more"], dtype=np.uint32)
         out[r["slice"] * width : (r["slice"] + 1) * width] = steps(counts)
         total += int(counts.sum(dtype=np.uint64))
     return out, int(steps(np.array(HEAVY + 2 * total / TABLE)))
 
 
-_COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("at", pa.binary()), ("n", pa.binary())])
+COUNTS = "slice int, salt int, low binary, at binary, more binary"
+_COUNTS = pa.schema([("slice", pa.int32()), ("salt", pa.int32()), ("low", pa.binary()), ("at", pa.binary()), ("more", pa.binary())])
+
+
+def slice_row(k: int, salt: int, counts: np.ndarray) -> dict:
+    """A slice of the table: counts up to 255 as compressed bytes, and what exceeds them with its places."""
+    at = np.flatnonzero(counts > 255).astype(np.uint32)
+    return {"slice": k, "salt": salt, "low": pa.compress(np.minimum(counts, 255).astype(np.uint8).tobytes(), "zstd", asbytes=True), "at": at.tobytes(), "more": (counts[at] - np.uint32(255)).astype(np.uint32).tobytes()}
 
 
 def places(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -211,8 +215,8 @@ def with_heads(lists: DataFrame) -> DataFrame:
     return met.filter(possible(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"))).select(F.col("head.key").alias("a"), F.col("key").alias("b"))
 
 
-def segments(texts: DataFrame, wanted: DataFrame, fragments: range) -> DataFrame:
-    """``of_cell, frag, key, n, tokens``: those fragments of the sets of the wanted ``_id, key, cells``, for each cell."""
+def segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``of_cell, frag, key, n, tokens``: the fragments of the sets of the wanted ``_id, key, cells``, for each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole)):
@@ -220,7 +224,7 @@ def segments(texts: DataFrame, wanted: DataFrame, fragments: range) -> DataFrame
             for s, key, cells in zip(shingle_sets(b.column("text").to_pylist(), WORDS), b.column("key").to_pylist(), b.column("cells").to_pylist(), strict=True):
                 if len(s) and set_key(s).view(np.int64) == key:  # an id may stand for several texts
                     cuts = [0, *np.searchsorted(s, np.array([f << 62 for f in range(1, COUNT_FRAGMENTS)], dtype=np.uint64)).tolist(), len(s)]
-                    for f in fragments:
+                    for f in range(COUNT_FRAGMENTS):
                         tokens = s[cuts[f] : cuts[f + 1]].tobytes()
                         for c in cells:
                             for name, v in zip(_SEGMENTS.names, (c, f, key, len(s), tokens), strict=True):
@@ -252,8 +256,8 @@ def partial_overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "na", "nb", "sa", "sb", "common"])
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, fragments: range) -> DataFrame:
-    """``PARTIAL`` of the distinct pairs and those fragments.
+def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``PARTIAL`` of the distinct pairs, by fragment.
 
     Classes are dealt to blocks and pairs to cells of two blocks, so a class goes to no more cells
     than there are blocks, whatever the number of its partners, and a cell is bounded too.
@@ -263,30 +267,27 @@ def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, fragments:
     placed = materialize(pairs.select("a", "b", (F.least(place("a"), place("b")) * blocks + F.greatest(place("a"), place("b"))).alias("cell")), "cells")
     members = placed.select(F.col("cell").alias("of_cell"), F.col("a").alias("key")).union(placed.select("cell", "b")).distinct()
     wanted = members.join(classes, "key").groupBy(F.col("_first").alias("_id"), "key").agg(F.collect_set("of_cell").alias("cells"))
-    wide = placed.withColumn("frag", F.explode(F.array(*[F.lit(f) for f in fragments])))
-    return wide.groupBy("cell", "frag").cogroup(segments(texts, wanted, fragments).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, PARTIAL)
+    wide = placed.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))))
+    return wide.groupBy("cell", "frag").cogroup(segments(texts, wanted).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, PARTIAL)
 
 
 def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose partial overlaps sum up to the threshold.
 
-    The first fragment is counted for all pairs, the others for those that go on. A pair that a
-    fragment ends has no partial overlap there, so it does not have ``COUNT_FRAGMENTS`` of them.
+    A pair that a fragment ends has no partial overlap there, so it does not have ``COUNT_FRAGMENTS`` of them.
     """
-    first = materialize(overlaps(pairs, texts, classes, range(1)), "overlaps")
-    others = overlaps(first.select("a", "b"), texts, classes, range(1, COUNT_FRAGMENTS))
-    summed = first.union(others).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"), F.count(F.lit(1)).alias("_counted"))
+    summed = overlaps(pairs, texts, classes).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"), F.count(F.lit(1)).alias("_counted"))
     linked = (F.col("_counted") == COUNT_FRAGMENTS) & ((100 + PERCENT) * F.col("common") >= PERCENT * (F.col("na") + F.col("nb")))
     return materialize(summed.filter(linked).select("a", "b"), "links")
 
 
-def mixed_lists(lists: DataFrame, heavy: int) -> DataFrame:
-    """The rows of the lists ``key, token, n, pos, component`` that hold several components, a written table.
+def mixed_lists(lists: DataFrame, heavy: int, least: int = 1) -> DataFrame:
+    """The rows of the lists ``key, token, n, pos, component`` of more than ``least`` members that hold several components, a written table.
 
     With ``salt``, to which members of heavy lists (tokens from ``heavy`` on) are dealt, ``members`` of the
     list and all such ``tokens`` of the key.
     """
-    mixed = lists.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("members")).filter("_lo < _hi")
+    mixed = lists.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("members")).filter((F.col("_lo") < F.col("_hi")) & (F.col("members") > least))
     often = F.col("token") >= heavy
     salted = lists.withColumn("salt", F.when(often, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
     some = salted.join(mixed.select("token", "members", F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))).alias("salt")), ["token", "salt"])
@@ -299,12 +300,12 @@ def first_shared(x: Column | str, y: Column | str, token: Column) -> Column:
 
 
 def sampled(some: DataFrame, partners: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components, about ``partners`` for each member, from :func:`mixed_lists` with four times as many members.
+    """Distinct pairs (a, b) of different components, about ``partners`` for each member, from :func:`mixed_lists`.
 
     Members of a list are dealt to groups by hash, differently for each ``partners``, and meet in their group.
     """
     groups = F.ceil(F.col("members") / partners)
-    dealt = some.filter(F.col("members") > 4 * partners).withColumn("_group", F.pmod(F.xxhash64("key", F.lit(partners)), groups))
+    dealt = some.withColumn("_group", F.pmod(F.xxhash64("key", F.lit(partners)), groups))
     x, y = dealt.alias("x"), dealt.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x._group") == F.col("y._group")) & (F.col("x.component") < F.col("y.component"))
     ok = first_shared("x.tokens", "y.tokens", F.col("x.token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))
@@ -319,21 +320,24 @@ def across(some: DataFrame) -> DataFrame:
     """
     one = F.count(F.lit(1)) == 1
     per = some.groupBy("token", "component").agg(
-        F.collect_set("salt").alias("salts"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.when(one, F.min("key")).alias("key"), F.when(one, F.min("tokens")).alias("tokens")
+        F.count(F.lit(1)).alias("amount"), F.collect_set("salt").alias("salts"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.when(one, F.min("key")).alias("key"), F.when(one, F.min("tokens")).alias("tokens")
     )
     x, y = per.alias("x"), per.alias("y")
     need = PERCENT * (F.col("x.least") + F.col("y.least"))
     sized = (100 * F.col("x.most") >= PERCENT * F.col("y.least")) & (100 * F.col("y.most") >= PERCENT * F.col("x.least")) & ((100 + PERCENT) * F.least("x.rest", "y.rest") >= need)
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & sized & F.coalesce(first_shared("x.tokens", "y.tokens", F.col("x.token")), F.lit(True))
-    sides = x.join(y, met).select(F.col("x.token").alias("token"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("component", "key", "salts")])
-    sides = materialize(sides, "component-pairs")
+    # the side with fewer members is expanded first and meets the other's members one by one
+    column = lambda c: [F.when(F.col("x.amount") >= F.col("y.amount"), F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{o}_{c}") for o, p, q in (("x", "x", "y"), ("y", "y", "x"))]
+    sides = materialize(x.join(y, met).select(F.col("x.token").alias("token"), *column("component"), *column("key"), *column("salts")), "component-pairs")
     single = F.col("x_key").isNotNull() & F.col("y_key").isNotNull()
     direct = sides.filter(single).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"))
 
-    cell = ["token", "x_component", "x_salt", "y_component", "y_salt"]
-    cells = sides.filter(~single).withColumn("x_salt", F.explode("x_salts")).withColumn("y_salt", F.explode("y_salts")).select(*cell)
-    side = lambda s: cells.join(some.select("token", F.col("component").alias(f"{s}_component"), F.col("salt").alias(f"{s}_salt"), F.struct("key", "n", "pos", "tokens").alias(s)), ["token", f"{s}_component", f"{s}_salt"])
-    wide = side("x").join(side("y"), cell).filter(first_shared("x.tokens", "y.tokens", F.col("token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
+    members = lambda s: some.select("token", F.col("component").alias(f"{s}_component"), F.col("salt").alias(f"{s}_salt"), F.struct("key", "n", "pos", "tokens").alias(s))
+    few = sides.filter(~single).withColumn("y_salt", F.explode("y_salts")).join(members("y"), ["token", "y_component", "y_salt"]).withColumn("x_salt", F.explode("x_salts")).alias("few")
+    many = members("x").alias("many")
+    meet = (F.col("few.token") == F.col("many.token")) & (F.col("few.x_component") == F.col("many.x_component")) & (F.col("few.x_salt") == F.col("many.x_salt"))
+    ok = first_shared("x.tokens", "y.tokens", F.col("few.token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))
+    wide = few.join(many, meet & ok)
     return direct.union(wide.select(F.least("x.key", "y.key"), F.greatest("x.key", "y.key"))).distinct()
 
 
@@ -352,15 +356,19 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = found.filter("token is not null").select(F.col("a").alias("key"), "token", "n", "pos")
     pairs = materialize(found.filter("b is not null").select("a", "b").union(with_heads(lists.filter(F.col("token") >= heavy))).distinct(), "pairs")
 
-    linked, some = links(pairs, texts, classes), None
+    linked, labelled = links(pairs, texts, classes), None
     for partners in (*ROUNDS, None):
-        if some is None:
+        if labelled is None:
             inside = connected_components(linked).select(F.col("node").alias("key"), "component")
-            some = mixed_lists(lists.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key")), heavy)
-        found = materialize((sampled(some, partners) if partners else across(some)).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+            labelled = lists.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        if partners:  # lists too long for all their pairs
+            found = sampled(mixed_lists(labelled, heavy, 4 * partners), partners)
+        else:
+            found = across(mixed_lists(labelled, heavy))
+        found = materialize(found.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not found.isEmpty():
-            linked, pairs, some = linked.union(links(found, texts, classes)), pairs.union(found), None
-    if some is None:
+            linked, pairs, labelled = linked.union(links(found, texts, classes)), pairs.union(found), None
+    if labelled is None:
         inside = connected_components(linked).select(F.col("node").alias("key"), "component")
     member = classes.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key"))
     firsts = member.groupBy("component").agg(F.min("_first").alias("component_id"))

@@ -19,12 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's own setting to delete the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Later jobs start from the written files, so a lost executor costs a re-read and not a
-    recomputation, and iterative plans do not grow.
+    recomputation, and iterative plans do not grow. The shuffle files of the job go when it is done.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path, conf = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
 from lexispark.functions.text import filter_mwe, normalise_text
@@ -11,13 +13,14 @@ from lexispark.sources.tables import first_wins
 PHYSICAL_FLOORS = {"n": 4, "v": 2, "a": 2, "s": 2}
 
 
-def dense_ids(df: DataFrame, order: str, id_col: str) -> DataFrame:
-    """Ids from 1 in the order of a unique column: range-partitioned, counted per partition, offset."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+def dense_ids(df: DataFrame, order: str | Sequence[Column | str], id_col: str) -> DataFrame:
+    """Ids from 1 in a unique order, of one column or several: range-partitioned, counted per partition, offset."""
+    order = [order] if isinstance(order, str) else list(order)
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     parts = materialize(parts, "ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return parts.join(offsets, "_part").withColumn(id_col, F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order))).drop("_part", "_before")
+    return parts.join(offsets, "_part").withColumn(id_col, F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).drop("_part", "_before")
 
 
 def compound_embedding(texts: DataFrame, vectors: DataFrame, text_col: str = "text") -> DataFrame:

@@ -122,12 +122,15 @@ def snap_embedding(residue: DataFrame, properties: DataFrame, vocab: DataFrame,
 
 def snap_links(links: DataFrame, properties: DataFrame, vocab: DataFrame, threshold: float = 0.7, forms: DataFrame | None = None) -> DataFrame:
     """Every link (synset_id, property_id, text, salience) that snaps, with vocab_id, method and score: exact, else morphological, else embedding."""
-    cols = ["synset_id", "property_id", "text", "salience", "vocab_id", "snap_method", "snap_score"]
-    a = snap_exact(links, vocab).select(cols)
-    rest = links.join(a.select("property_id").distinct(), "property_id", "left_anti")
-    b = snap_morphological(rest, vocab, forms).select(cols)
-    rest = rest.join(b.select("property_id").distinct(), "property_id", "left_anti")
-    return a.unionByName(b).unionByName(snap_embedding(rest, properties, vocab, threshold).select(cols))
+    found = ["property_id", "text", "vocab_id", "snap_method", "snap_score"]
+    links = materialize(links.select("synset_id", "property_id", "text", "salience"), "links")
+    each = materialize(links.select("property_id", "text").distinct(), "linked-properties")  # a property is snapped once, whatever its links
+    a = snap_exact(each, vocab).select(found)
+    rest = each.join(a.select("property_id"), "property_id", "left_anti")
+    b = snap_morphological(rest, vocab, forms).select(found)
+    rest = rest.join(b.select("property_id"), "property_id", "left_anti")
+    hits = materialize(a.unionByName(b).unionByName(snap_embedding(rest, properties, vocab, threshold).select(found)), "hits")
+    return links.join(hits, ["property_id", "text"]).select("synset_id", "property_id", "text", "salience", "vocab_id", "snap_method", "snap_score")
 
 
 def snap_properties(links: DataFrame, properties: DataFrame, vocab: DataFrame, clusters: DataFrame, threshold: float = 0.7, forms: DataFrame | None = None) -> DataFrame:

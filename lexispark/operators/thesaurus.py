@@ -89,11 +89,12 @@ def related_words(words: DataFrame, lemmas: DataFrame, synsets: DataFrame, relat
 
 
 def word_graph(related: DataFrame, most: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of each word: the word itself and related words, one node per word in its first tier, at most ``most``."""
+    """(nodes, links) of each word: the word itself and related words, one node per word in its first tier, at most ``most``. ``val`` is a node's size."""
     first = related.filter("node_id <> word").groupBy("word", "node_id").agg(F.min(F.struct(_tier("relation_type").alias("t"), "synset_id", "relation_type")).alias("m")).select("word", "node_id", "m.t", "m.synset_id", "m.relation_type")
     kept = first.withColumn("_k", F.row_number().over(Window.partitionBy("word").orderBy("t", "node_id"))).filter(F.col("_k") < most)
-    centre = related.select("word").distinct().select("word", F.col("word").alias("node_id"), F.lit(None).cast("string").alias("synset_id"), F.lit("central").alias("relation_type"), F.lit(0).alias("node_order"))
-    nodes = centre.unionByName(kept.select("word", "node_id", "synset_id", "relation_type", F.lit(1).alias("node_order")))
+    centre = related.select("word").distinct().select("word", F.col("word").alias("node_id"), F.lit(None).cast("string").alias("synset_id"), F.lit("central").alias("relation_type"), F.lit(8).alias("val"), F.lit(0).alias("node_order"))
+    size = F.when(F.col("relation_type") == "synonym", 4).otherwise(2)
+    nodes = centre.unionByName(kept.select("word", "node_id", "synset_id", "relation_type", size.alias("val"), F.lit(1).alias("node_order")))
     return nodes, kept.select("word", F.col("word").alias("source"), F.col("node_id").alias("target"), "relation_type", F.lit(1).alias("link_order"))
 
 
@@ -105,10 +106,15 @@ def expand_graph(nodes: DataFrame, links: DataFrame, selected: DataFrame, relate
     flagged = first.join(known, ["word", "node_id"], "left").withColumn("_new", F.col("_known").isNull().cast("int"))
     before = Window.partitionBy("word", "selected").orderBy("t", "node_id").rowsBetween(Window.unboundedPreceding, -1)
     used = flagged.withColumn("_n", F.coalesce(F.sum("_new").over(before), F.lit(0))).filter(F.col("_n") < most)
-    fresh = used.filter("_new = 1").select("word", "node_id", "synset_id", "relation_type", F.lit(2).alias("node_order"))
+    fresh = used.filter("_new = 1").select("word", "node_id", "synset_id", "relation_type", F.lit(1).alias("val"), F.lit(2).alias("node_order"))
     return nodes.unionByName(fresh), links.unionByName(used.select("word", F.col("selected").alias("source"), F.col("node_id").alias("target"), "relation_type", F.lit(2).alias("link_order")))
 
 
+def with_rarity(nodes: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """The nodes with the ``rarity`` of their word, null where it is not known."""
+    return nodes.join(frequencies.select(F.col("lemma").alias("node_id"), "rarity"), "node_id", "left")
+
+
 def strip_second_order(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     gone = nodes.filter("node_order = 2").select("word", "node_id")
     end = lambda c: gone.withColumnRenamed("node_id", c)

@@ -53,13 +53,17 @@ def attach_enrichment(v):
     return T.attach_enrichment(T.lookup_senses(v["lx_lexicon_words"], v["lx_lexicon"], v["lx_part_synsets"]), enrichment(v)).select("word", "synset_id", "connotation", "register")
 
 
-@query(f"""WITH {FREQ}, z AS ({SENSES}), rel AS (SELECT synset_id, count(*) AS n FROM ({REL}) GROUP BY 1), col AS (SELECT synset_id, count(*) AS n FROM ({COLL}) GROUP BY 1)
-    SELECT word, any_value(coalesce(rarity, 'unusual')) AS rarity, string_agg(z.synset_id, '|' ORDER BY pos, z.synset_id) AS senses, sum(len(synonyms))::BIGINT AS n_synonyms, sum(coalesce(rel.n, 0))::BIGINT AS n_related, sum(coalesce(col.n, 0))::BIGINT AS n_collocations
-    FROM z LEFT JOIN fr ON fr.lemma = word LEFT JOIN rel ON rel.synset_id = z.synset_id LEFT JOIN col ON col.synset_id = z.synset_id GROUP BY 1""")
+@query(f"""WITH {FREQ}, z AS ({SENSES}), rel AS (SELECT synset_id, string_agg(relation || '/' || partner || '/' || partner_synset_id || '/' || coalesce(rarity, 'unusual'), ',' ORDER BY relation, partner, partner_synset_id) AS s FROM ({REL}) LEFT JOIN fr ON fr.lemma = partner GROUP BY 1),
+    col AS (SELECT synset_id, string_agg(partner, ',' ORDER BY partner) AS s FROM ({COLL}) GROUP BY 1)
+    SELECT word, any_value(coalesce(rarity, 'unusual')) AS rarity, count(*) AS n_senses, md5(string_agg(z.pos || ' ' || z.synset_id || ' ' || z.definition || ' ' || coalesce(o.lemma, '') || ' ' || coalesce(o.pos, '') || '(' || array_to_string(synonyms, ',') || ';' || coalesce(rel.s, '') || ';' || coalesce(col.s, '') || ')', '|' ORDER BY z.pos, z.synset_id)) AS senses_md5
+    FROM z LEFT JOIN fr ON fr.lemma = word LEFT JOIN rel ON rel.synset_id = z.synset_id LEFT JOIN col ON col.synset_id = z.synset_id LEFT JOIN lx_vocab o ON o.synset_id = z.synset_id GROUP BY 1""")
 def lookup(v):
+    """Every nested list, written out and hashed."""
     out = T.lookup(v["lx_lexicon_words"], v["lx_lexicon"], v["lx_part_synsets"], v["lx_part_relations"], v["lx_syntagms"], frequencies(v), enrichment(v))
-    total = lambda c: F.aggregate("senses", F.lit(0).cast("long"), lambda a, s: a + F.when(s[c].isNull(), 0).otherwise(F.size(s[c])).cast("long"))
-    return out.select("word", "rarity", F.array_join("senses.synset_id", "|").alias("senses"), total("synonyms").alias("n_synonyms"), total("related").alias("n_related"), total("collocations").alias("n_collocations"))
+    listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    of = lambda c: F.coalesce(c, F.lit(""))
+    text = lambda s: F.concat(s["pos"], F.lit(" "), s["synset_id"], F.lit(" "), s["definition"], F.lit(" "), of(s["connotation"]), F.lit(" "), of(s["register"]), F.lit("("), listed(s["synonyms"]), F.lit(";"), listed(F.transform(s["related"], lambda r: F.concat_ws("/", r["relation"], r["partner"], r["partner_synset_id"], r["rarity"]))), F.lit(";"), listed(s["collocations"]), F.lit(")"))
+    return out.select("word", "rarity", F.size("senses").cast("long").alias("n_senses"), F.md5(F.array_join(F.transform("senses", text), "|")).alias("senses_md5"))
 
 
 @query(f"""WITH {FREQ}, p AS (SELECT DISTINCT substr(word, 1, 3) AS prefix FROM lx_lexicon_words), h AS (SELECT prefix, word FROM p JOIN lx_lexicon_words ON starts_with(word, lower(prefix)) WHERE length(prefix) >= 2),
@@ -79,14 +83,14 @@ def related(v):
 TIER = "list_position(['synonym', 'hyponym', 'hypernym', 'similar'], relation_type)"
 GRAPH = f"""sen AS MATERIALIZED ({SENSES}), rl AS MATERIALIZED ({REL}),
     related AS MATERIALIZED (SELECT word, unnest(synonyms) AS node_id, synset_id, 'synonym' AS relation_type FROM sen UNION ALL SELECT word, partner, partner_synset_id, relation FROM sen JOIN rl ON rl.synset_id = sen.synset_id),
-    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, node_id ORDER BY {TIER}, synset_id) AS q FROM related WHERE node_id <> word) WHERE q = 1),
-    kept AS MATERIALIZED (SELECT word, node_id, synset_id, relation_type FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY {TIER}, node_id) AS k FROM f) WHERE k < 80),
+    fst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, node_id ORDER BY {TIER}, synset_id) AS q FROM related WHERE node_id <> word) WHERE q = 1),
+    kept AS MATERIALIZED (SELECT word, node_id, synset_id, relation_type FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY {TIER}, node_id) AS k FROM fst) WHERE k < 80),
     nodes AS (SELECT word, node_id, synset_id, relation_type, 1 AS node_order FROM kept UNION ALL SELECT DISTINCT word, word, NULL, 'central', 0 FROM related)"""
 
 
-@query(f"WITH {GRAPH} SELECT * FROM nodes")
+@query(f"WITH {FREQ}, {GRAPH} SELECT word, node_id, synset_id, relation_type, CASE node_order WHEN 0 THEN 8 ELSE CASE relation_type WHEN 'synonym' THEN 4 ELSE 2 END END AS val, rarity, node_order FROM nodes LEFT JOIN fr ON fr.lemma = node_id")
 def word_graph(v):
-    return T.word_graph(related(v))[0]
+    return T.with_rarity(T.word_graph(related(v))[0], frequencies(v))
 
 
 @query(f"WITH {GRAPH} SELECT word, word AS source, node_id AS target, relation_type, 1 AS link_order FROM kept")

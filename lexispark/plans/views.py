@@ -6,8 +6,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lexispark.functions.lineage import materialize
+from lexispark.operators.enrichment import dense_ids
 
 TABLES = ("supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations", "customer", "nation")
 TOKENS = "regexp_extract_all(lower(text), '[a-z]+', 0)"
@@ -34,7 +38,8 @@ VIEWS: dict[str, str] = {
     "lx_part_relations": "SELECT * FROM lx_relations",
     "lx_numbered_suppliers": "SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier",
     "lx_cluster_antonyms": "SELECT x.s_suppkey AS a, y.s_suppkey AS b FROM lx_numbered_suppliers x JOIN lx_numbered_suppliers y ON x.s_nationkey = y.s_nationkey AND (x.k = y.k + 1 AND y.k % 2 = 1 OR y.k = x.k + 1 AND x.k % 2 = 1)",
-    "lx_word_vectors": "SELECT lemma, embedding FROM (SELECT word AS lemma, row_number() OVER (ORDER BY word) AS k FROM lx_word_list) w JOIN embeddings ON k = vec_id + 1",
+    "lx_numbered_words": "SELECT word, row_number() OVER (ORDER BY word) AS k FROM lx_word_list",
+    "lx_word_vectors": "SELECT word AS lemma, embedding FROM lx_numbered_words JOIN embeddings ON k = vec_id + 1",
     "lx_properties": "SELECT CAST(doc_id AS STRING) AS synset_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, tok) AS pos_in_list, tok AS text, round(n / max(n) OVER (PARTITION BY doc_id), 6) AS salience, CASE length(tok) % 4 WHEN 0 THEN 'physical' WHEN 1 THEN 'social' WHEN 2 THEN 'emotional' ELSE NULL END AS property_type, CAST(NULL AS STRING) AS relation FROM lx_doc_tokens",
     "lx_ratings": "SELECT CAST(vec_id AS STRING) AS synset_id, 1 + 4.0 * label / (SELECT max(label) FROM embeddings) AS score, 'brysbaert' AS source FROM embeddings WHERE vec_id % 2 = 0",
     "lx_pairs": "SELECT CAST(doc_id AS STRING) AS word_b, lag(CAST(doc_id AS STRING)) OVER (PARTITION BY quality ORDER BY doc_id) AS word_a, CASE WHEN quality = 1 THEN 'apt' ELSE 'inapt' END AS class, doc_id FROM labels",
@@ -52,18 +57,22 @@ VIEWS: dict[str, str] = {
     "lx_marked": "SELECT page_id AS idx, 'see <b>' || title || '</b> here' AS s0, title AS human_ans, CASE page_id % 3 WHEN 0 THEN 'news' WHEN 1 THEN 'fiction' ELSE NULL END AS genre FROM lx_titles",
 }
 
+#: Views that Spark writes out when a query first asks for them, and those whose ``k`` it numbers by ranges of an order instead of one window.
+WRITTEN = {"lx_doc_tokens"}
+NUMBERED: dict[str, tuple[str, list[str]]] = {"lx_ranked_tokens": ("lx_counts", ["n desc", "tok"]), "lx_numbered_words": ("lx_word_list", ["word"])}
+
 DUCKDB = {"explode": "unnest", "first": "1", "last": "-1"}
 
 
-def needed(names: list[str]) -> list[str]:
-    """The views that these use, themselves included, in order of definition."""
+def needed(names: list[str], stop: Collection[str] = ()) -> list[str]:
+    """The views that these use, themselves included, in order of definition; what only those in ``stop`` use is left out."""
     found: set[str] = set()
     todo = [n for n in names if n in VIEWS]
     while todo:
         n = todo.pop()
         if n not in found:
             found.add(n)
-            todo += [m for m in re.findall(r"\blx_\w+", VIEWS[n]) if m in VIEWS]
+            todo += [m for m in re.findall(r"\blx_\w+", VIEWS[n]) if m in VIEWS and n not in stop]
     return [n for n in VIEWS if n in found]
 
 
@@ -83,11 +92,28 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        ctes = needed([name])
+        if name not in WRITTEN and name not in NUMBERED:
+            return self.select(name)
+        if name not in self.made:
+            if name in WRITTEN:
+                self.made[name] = materialize(self.select(name), name)
+            else:
+                source, order = NUMBERED[name]
+                rows = self[source]
+                self.made[name] = materialize(dense_ids(rows, [F.expr(c.removesuffix(" desc")).desc() if c.endswith(" desc") else F.col(c) for c in order], "k").select(*rows.columns, F.col("k").cast("int").alias("k")), name)
+        return self.made[name]
+
+    def select(self, name: str) -> DataFrame:
+        made = {*WRITTEN, *NUMBERED} - {name}
+        ctes = needed([name], made)
+        for n in made.intersection(ctes):
+            self[n].createOrReplaceTempView(n)
+        ctes = [n for n in ctes if n not in made]
         used = {t for t in TABLES if re.search(rf"\b{t}\b", " ".join(VIEWS[n] for n in ctes))}
         for t in used:
             self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)

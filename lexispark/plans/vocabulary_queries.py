@@ -167,7 +167,13 @@ def synset_familiarity(v):
     return V.synset_familiarity(v["lx_lemmas"], freqs(v))
 
 
-@query()
+@query("""WITH RECURSIVE pol AS (SELECT lemma, count(DISTINCT synset_id) AS p FROM lx_lemmas GROUP BY 1),
+    fam AS (SELECT synset_id, max(coalesce(familiarity, 0)) AS m FROM lx_lemmas LEFT JOIN lx_frequencies_raw ON word = lemma GROUP BY 1),
+    ranked AS (SELECT synset_id, pos, row_number() OVER (ORDER BY m DESC, synset_id) AS vocab_id FROM lx_synsets JOIN fam USING (synset_id)),
+    lists AS (SELECT vocab_id, list(l.lemma ORDER BY p, length(l.lemma), l.lemma) AS ls FROM ranked r JOIN lx_lemmas l ON l.synset_id = r.synset_id JOIN pol ON pol.lemma = l.lemma GROUP BY 1),
+    w(vocab_id, pick, shared, taken) AS (SELECT 0::BIGINT, ''::VARCHAR, false, []::VARCHAR[]
+      UNION ALL SELECT vocab_id, coalesce(pick, ls[1]), pick IS NULL, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END FROM (SELECT l.vocab_id, ls, taken, list_filter(ls, lambda x: NOT list_contains(taken, x))[1] AS pick FROM w JOIN lists l ON l.vocab_id = w.vocab_id + 1))
+    SELECT w.vocab_id, synset_id, pick AS lemma, pos, p AS polysemy, shared AS is_shared FROM w JOIN ranked r ON r.vocab_id = w.vocab_id JOIN pol ON pol.lemma = pick""")
 def build_vocabulary(v):
     return V.build_vocabulary(v["lx_synsets"], v["lx_lemmas"], freqs(v))
 

@@ -19,15 +19,25 @@ def one(spark, column, **values):
 
 @pytest.fixture(scope="module")
 def lexicon(spark):
-    synsets = spark.createDataFrame([("s1", "n", "d1"), ("s2", "a", "d2"), ("s3", "n", "d3")], "synset_id string, pos string, definition string")
-    lemmas = spark.createDataFrame([("warm", "s1"), ("warm", "s2"), ("toasty", "s1"), ("tepid", "s2"), ("cold", "s3"), ("frigid", "s3")], "lemma string, synset_id string")
-    freq = spark.createDataFrame([("warm", 5.0), ("toasty", 6.0), ("tepid", 3.0), ("cold", 5.5), ("frigid", 3.5)], "lemma string, familiarity double")
+    synsets = spark.createDataFrame([("k1", "n", "a"), ("k2", "v", "b"), ("k3", "r", "c"), ("k4", "n", "d")], "synset_id string, pos string, definition string")
+    lemmas = spark.createDataFrame([("plod", "k1"), ("plod", "k2"), ("plod", "k3"), ("trudge", "k1"), ("trudge", "k4"), ("slog", "k2"), ("slog", "k4"), ("amble", "k3")], "lemma string, synset_id string")
+    freq = spark.createDataFrame([("plod", 2.5), ("trudge", 4.0), ("slog", 4.5), ("amble", 1.0)], "lemma string, familiarity double")
     return synsets, lemmas, freq
 
 
 def test_vocabulary_takes_the_least_polysemous_free_lemma(lexicon):
+    # familiarity ranks k2 and k4 (4.5), k1 (4.0), k3 (2.5); polysemy is amble 1, slog 2, trudge 2, plod 3
     got = {r.synset_id: (r.vocab_id, r.lemma, r.is_shared) for r in vocabulary.build_vocabulary(*lexicon).collect()}
-    assert got == {"s1": (1, "toasty", False), "s3": (2, "cold", False), "s2": (3, "tepid", False)}
+    assert got == {"k2": (1, "slog", False), "k4": (2, "trudge", False), "k1": (3, "plod", False), "k3": (4, "amble", False)}
+
+
+def test_vocabulary_shares_a_lemma_when_all_are_taken(spark):
+    synsets = spark.createDataFrame([("x", "n"), ("y", "n")], "synset_id string, pos string")
+    lemmas = spark.createDataFrame([("only", "x"), ("only", "y")], "lemma string, synset_id string")
+    freq = spark.createDataFrame([("only", 3.0)], "lemma string, familiarity double")
+    assert [(r.synset_id, r.lemma, r.is_shared) for r in vocabulary.build_vocabulary(synsets, lemmas, freq).orderBy("vocab_id").collect()] == [("x", "only", False), ("y", "only", True)]
+    with pytest.raises(RuntimeError, match="did not settle"):
+        vocabulary.build_vocabulary(synsets, lemmas, freq, max_rounds=0)
 
 
 def test_vocabulary_equals_serial_claiming(spark):
@@ -50,47 +60,80 @@ def test_vocabulary_equals_serial_claiming(spark):
 
 
 def test_antonyms(spark):
-    rel = spark.createDataFrame([("a1", "t1", "60"), ("a2", "t1", "60"), ("a3", "t1", "60")], "source_synset string, target_synset string, relation_type string")
-    vocab = spark.createDataFrame([(1, "a1", "hot"), (2, "a2", "cold")], "vocab_id long, synset_id string, lemma string")
+    rel = spark.createDataFrame([("p", "size", "60"), ("q", "size", "60"), ("r", "size", "60"), ("p", "hue", "60"), ("s", "hue", "11")], "source_synset string, target_synset string, relation_type string")
+    vocab = spark.createDataFrame([(4, "p", "vast"), (7, "q", "tiny"), (9, "s", "pale")], "vocab_id long, synset_id string, lemma string")
     pairs = vocabulary.antonym_pairs(rel, vocab)
-    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (2, 1)]
-    same = spark.createDataFrame([(1, 7), (2, 7)], "vocab_id long, cluster_id long")
+    assert sorted(map(tuple, pairs.collect())) == [(4, 7), (7, 4)]
+    apart = spark.createDataFrame([(4, 2)], "vocab_id long, cluster_id long")
+    assert sorted(map(tuple, vocabulary.cluster_antonyms(pairs, apart).collect())) == [(2, 7), (7, 2)]
+    same = spark.createDataFrame([(4, 3), (7, 3)], "vocab_id long, cluster_id long")
     assert vocabulary.cluster_antonyms(pairs, same).count() == 0
 
 
 def test_clusters(spark):
-    vec = lambda seed: [seed + i * 0.001 for i in range(30)]
-    vocab = spark.createDataFrame([(1, "heavy"), (2, "weighty"), (3, "bright"), (4, "unseen")], "vocab_id long, lemma string")
-    vectors = spark.createDataFrame([("heavy", vec(1.0)), ("weighty", vec(1.001)), ("bright", vec(-1.0))], "lemma string, embedding array<float>")
-    got = {r.vocab_id: (r.cluster_id, r.is_representative, r.is_singleton) for r in similarity.cluster_vocab(vocab, vectors).collect()}
-    assert got == {1: (1, True, False), 2: (1, False, False), 3: (3, True, True), 4: (4, True, True)}
+    # cosines: oak-elm 0.96, elm-ash 0.8, oak-ash 0.6, so oak and ash meet through elm only
+    vectors = spark.createDataFrame([("oak", [5.0, 0.0, 0.0]), ("elm", [24.0, 7.0, 0.0]), ("ash", [3.0, 4.0, 0.0]), ("sea", [0.0, 0.0, 2.0])], "lemma string, embedding array<float>")
+    vocab = spark.createDataFrame([(11, "ash"), (12, "oak"), (13, "elm"), (14, "sea"), (15, "absent")], "vocab_id long, lemma string")
+    got = {r.vocab_id: (r.cluster_id, r.is_representative, r.is_singleton) for r in similarity.cluster_vocab(vocab, vectors, 0.79).collect()}
+    assert got == {11: (11, True, False), 12: (11, False, False), 13: (11, False, False), 14: (14, True, True), 15: (15, True, True)}
+    exact = similarity.similar_pairs(vectors.select(F.hash("lemma").cast("long").alias("id"), "embedding"), 0.79)
+    near = similarity.similar_pairs_lsh(vectors.select(F.hash("lemma").cast("long").alias("id"), "embedding"), 0.79)
+    show = lambda df: sorted((r.a, r.b, round(r.similarity, 4)) for r in df.collect())
+    assert len(show(exact)) == 2 and show(near) == show(exact)
     chain = components.connected_components(spark.createDataFrame([(k, k + 1) for k in range(40)] + [(99, 99)], "a long, b long"))
     assert {r.node: r.component for r in chain.collect()} == {**dict.fromkeys(range(41), 0), 99: 99}
 
 
 def test_snapping(spark):
-    vocab = spark.createDataFrame([(1, "warm"), (2, "cold"), (3, "flicker"), (9, "warm")], "vocab_id long, lemma string")
-    props = spark.createDataFrame([(1, "warm", [1.0, 0.0]), (2, "flickering", None), (3, "hot", [0.9, 0.1]), (4, "xyz", None), (5, "nil", [0.0, 0.0]), (6, "cold", [0.0, 1.0])], "property_id long, text string, embedding array<float>")
-    links = spark.createDataFrame([("s", 1, "Warm ", 0.5), ("s", 2, "flickering", 1.0), ("s", 3, "hot", 0.25), ("s", 4, "xyz", 1.0), ("s", 5, "nil", 1.0)], "synset_id string, property_id long, text string, salience double")
-    clusters = spark.createDataFrame([(1, 1)], "vocab_id long, cluster_id long")
-    got = {r.cluster_id: (r.vocab_id, r.snap_method, r.salience_sum) for r in similarity.snap_properties(links, props, vocab, clusters).collect()}
-    assert got == {1: (1, "exact", 0.75), 3: (3, "morphological", 1.0)}
+    vocab = spark.createDataFrame([(2, "damp"), (5, "hoot"), (6, "damp"), (8, "blaze")], "vocab_id long, lemma string")
+    props = spark.createDataFrame([(1, "damp", [0.0, 3.0]), (2, "hooted", None), (3, "moist", [1.0, 7.0]), (4, "qq", None), (5, "null", [0.0, 0.0]), (6, "dry", [4.0, -3.0]), (7, "blazing", None)], "property_id long, text string, embedding array<float>")
+    links = spark.createDataFrame([("u", 1, " DAMP", 0.125), ("u", 2, "hooted", 1.0), ("u", 3, "moist", 0.5), ("u", 4, "qq", 1.0), ("u", 5, "null", 1.0), ("u", 6, "dry", 0.25), ("w", 3, "moist", 0.75), ("w", 7, "blazing", 1.0)], "synset_id string, property_id long, text string, salience double")
+    clusters = spark.createDataFrame([(2, 40)], "vocab_id long, cluster_id long")
+    got = {(r.synset_id, r.cluster_id): (r.vocab_id, r.snap_method, r.salience_sum) for r in similarity.snap_properties(links, props, vocab, clusters).collect()}
+    assert got == {("u", 40): (2, "exact", 0.625), ("u", 5): (5, "morphological", 1.0), ("w", 40): (2, "embedding", 0.75), ("w", 8): (8, "morphological", 1.0)}
     snapped = similarity.snap_links(links, props, vocab)
-    assert {r.text: r.reason for r in similarity.snap_rejects(links, snapped, props, vocab).collect()} == {"xyz": "no_embedding", "nil": "zero_norm"}
+    rejects = {r.text: (r.reason, r.best_score) for r in similarity.snap_rejects(links, snapped, props, vocab).collect()}
+    assert rejects == {"qq": ("no_embedding", None), "null": ("zero_norm", None), "dry": ("below_threshold", pytest.approx(-0.6))}
+    assert {r.stage: r.n for r in similarity.snap_counts(links, snapped).collect()} == {"exact": 1, "morphological": 2, "embedding": 2, "dropped": 3}
+    irregular = spark.createDataFrame([("went", "go")], "form string, lemma string")
+    forms = similarity.snap_morphological(spark.createDataFrame([(1, "went", "z")], "property_id long, text string, synset_id string"), spark.createDataFrame([(3, "go")], "vocab_id long, lemma string"), irregular)
+    assert [r.vocab_id for r in forms.collect()] == [3]
 
 
 def test_retrieval(spark):
-    curated = spark.createDataFrame([("src1", 1, 1.0), ("src1", 2, 1.0), ("src1", 3, 1.0), ("tgt1", 1, 1.0), ("tgt1", 3, 1.0), ("tgt2", 4, 1.0)], "synset_id string, cluster_id long, salience_sum double")
-    vocab = spark.createDataFrame([(1, "heavy"), (2, "isolating"), (3, "waves"), (4, "light")], "vocab_id long, lemma string")
-    ant = spark.createDataFrame([(1, 4), (4, 1)], "a long, b long")
-    synsets = spark.createDataFrame([(s, "n", s) for s in ("src1", "tgt1", "tgt2")], "synset_id string, pos string, definition string")
-    lemmas = spark.createDataFrame([("grief", "src1"), ("anchor", "tgt1"), ("balloon", "tgt2")], "lemma string, synset_id string")
-    src = spark.createDataFrame([("src1",)], "source_id string")
-    got = {r.lemma: (r.salience_sum, r.contrast_count, r.shared_properties) for r in retrieval.forge_by_synset(src, curated, vocab, ant, synsets, lemmas).collect()}
-    assert got == {"anchor": (2.0, 0, ["heavy", "waves"]), "balloon": (0.0, 1, [])}
-    words = spark.createDataFrame([("grief",)], "word string")
-    (match,) = retrieval.suggest(words, lemmas, curated, vocab, ant, synsets, spark.createDataFrame([], "lemma string, embedding array<float>")).collect()
-    assert (match.lemma, match.rank, match.tier, match.domain_distance) == ("anchor", 1, "strong", 0.0)
+    curated = spark.createDataFrame([("hub", 1, 2.0), ("hub", 2, 1.0), ("rim", 1, 0.5), ("rim", 3, 4.0), ("cog", 1, 1.5), ("cog", 2, 0.25), ("axle", 5, 1.0), ("alt", 3, 1.0)], "synset_id string, cluster_id long, salience_sum double")
+    vocab = spark.createDataFrame([(1, "round"), (2, "central"), (3, "outer"), (4, "flat")], "vocab_id long, lemma string")
+    ant = spark.createDataFrame([(2, 3), (3, 2), (1, 5), (5, 1)], "a long, b long")
+    synsets = spark.createDataFrame([(s, "n", f"the {s}") for s in ("hub", "rim", "cog", "axle", "alt")], "synset_id string, pos string, definition string")
+    lemmas = spark.createDataFrame([("wheel", "hub"), ("wheel", "alt"), ("edge", "rim"), ("tooth", "cog"), ("rod", "axle")], "lemma string, synset_id string")
+    src = spark.createDataFrame([("hub",)], "source_id string")
+    got = {r.lemma: (r.rank, r.salience_sum, r.contrast_count, r.shared_properties) for r in retrieval.forge_by_synset(src, curated, vocab, ant, synsets, lemmas).collect()}
+    # hub shares 1 with rim and 1, 2 with cog; 2 opposes 3 (rim, alt) and 1 opposes 5 (axle)
+    assert got == {"tooth": (1, 1.75, 0, ["central", "round"]), "edge": (2, 0.5, 1, ["round"]), "wheel": (3, 0.0, 1, []), "rod": (4, 0.0, 1, [])}
+    words = spark.createDataFrame([("wheel",)], "word string")
+    found = {r.lemma: r for r in retrieval.suggest(words, lemmas, curated, vocab, ant, synsets, spark.createDataFrame([("wheel", [1.0, 0.0]), ("tooth", [0.0, 1.0])], "lemma string, embedding array<float>")).collect()}
+    assert set(found) == {"edge", "tooth"}  # the word's own senses and what only contrasts are out
+    # edge shares 0.5 with the sense hub, 4.0 with alt; its contrast is 1 over hub (2-3) and none over alt
+    assert (found["edge"].source_synset_id, found["edge"].salience_sum, found["edge"].contrast_count, found["edge"].tier) == ("alt", 4.0, 1, "legendary")
+    assert (found["tooth"].source_synset_id, found["tooth"].salience_sum, found["tooth"].domain_distance) == ("hub", 1.75, 1.0)
+    assert found["tooth"].composite_score == pytest.approx(2 * 1.75**0.5) and (found["edge"].rank, found["tooth"].rank) == (1, 2)
+
+
+def test_retrieval_does_not_depend_on_how_the_join_is_dealt(spark, monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    curated = spark.createDataFrame([(f"s{k}", c, draw.randint(1, 40) / 8) for k in range(60) for c in draw.sample(range(12), 4)], "synset_id string, cluster_id long, salience_sum double")
+    vocab = spark.createDataFrame([(k, f"p{k}") for k in range(11)], "vocab_id long, lemma string")
+    ant = spark.createDataFrame([(0, 1), (1, 0), (4, 7), (7, 4)], "a long, b long")
+    synsets = spark.createDataFrame([(f"s{k}", "n", "d") for k in range(60)], "synset_id string, pos string, definition string")
+    lemmas = spark.createDataFrame([(f"w{k % 3}", f"s{k}") for k in range(60)], "lemma string, synset_id string")
+    words = lemmas.select(F.col("lemma").alias("word")).distinct()
+    run = lambda: sorted(map(str, retrieval.forge_by_lemma(words, lemmas, curated, vocab, ant, synsets, 7).collect()))
+    whole = run()
+    monkeypatch.setattr(retrieval, "JOIN_ROWS", 100)
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    assert len(whole) == 21 and run() == whole
 
 
 def test_formulas(spark):
@@ -122,17 +165,29 @@ def test_enrichment_documents(spark):
 
 
 def test_pair_scores(spark):
-    words = spark.createDataFrame([("anger", "S1"), ("fire", "S2"), ("approach", "S3"), ("coming", "S4"), ("orphan", "S9")], "word string, synset_id string")
-    bags = spark.createDataFrame([("S1", 1, 0.9), ("S1", 2, 0.6), ("S2", 1, 0.85), ("S2", 3, 0.7), ("S3", 4, 0.5), ("S4", 5, 0.5)], "synset_id string, cluster_id long, salience_sum double")
-    pairs = spark.createDataFrame([("a", "apt", "anger", "fire"), ("b", "inapt", "approach", "coming"), ("c", "apt", "anger", "orphan"), ("d", "apt", "anger", "who")], "pair_id string, class string, word_a string, word_b string")
+    words = spark.createDataFrame([("tide", "T"), ("crowd", "C"), ("ledger", "L"), ("moth", "M"), ("bare", "B")], "word string, synset_id string")
+    bags = spark.createDataFrame([("T", 10, 2.0), ("T", 20, 1.0), ("T", 30, 3.0), ("C", 10, 0.5), ("C", 30, 4.0), ("L", 40, 1.0), ("M", 50, 2.0)], "synset_id string, cluster_id long, salience_sum double")
+    pairs = spark.createDataFrame([("a", "apt", "tide", "crowd"), ("b", "inapt", "ledger", "moth"), ("c", "apt", "tide", "bare"), ("d", "apt", "tide", "who")], "pair_id string, class string, word_a string, word_b string")
     got = {r.pair_id: r for r in evaluation.score_pairs(pairs, words, bags).collect()}
-    assert got["a"]["jaccard_salience"] == round(0.85 / (0.9 + 0.6 + 0.7), 6) and got["a"]["jaccard_raw"] == round(1 / 3, 6)
+    # common 10 and 30: least 0.5 + 3, greatest 2 + 1 + 4
+    assert got["a"]["jaccard_salience"] == 0.5 and got["a"]["jaccard_raw"] == round(2 / 3, 6)
+    assert got["a"]["cosine_salience"] == pytest.approx(13 / (14 * 16.25) ** 0.5, abs=1e-6)
     assert got["b"]["status"] == "scored" and got["b"]["jaccard_salience"] == 0 and 0 <= got["b"]["null"] < 1
     assert [got[k]["status"] for k in "cd"] == ["no_properties", "unresolved"] and got["c"]["jaccard_raw"] is None
     with pytest.raises(ValueError, match="jaccard_raw"):
         evaluation.check_scorings(["nope"])
 
 
+def test_pairs_are_resolved(spark):
+    pairs = spark.createDataFrame([("1", "sun", "lamp", "strong"), ("2", "sun", "nil", "weak"), ("3", "nil", "none", "weak")], "pair_id string, source string, target string, tier string")
+    lemmas = spark.createDataFrame([("sun", "s2"), ("sun", "s1"), ("lamp", "s9")], "lemma string, synset_id string")
+    full = evaluation.resolve_pairs(pairs, lemmas)
+    assert {r.pair_id: r.reason for r in full.collect()} == {"1": None, "2": "target not found", "3": "source not found"}
+    assert sorted(r.synset_id for r in evaluation.needed_synsets(full).collect()) == ["s1", "s2", "s9"]
+    assert {r.pair_id: r.reason for r in evaluation.resolve_pairs(pairs, lemmas, sides=("source",)).collect()} == {"1": None, "2": None, "3": "source not found"}
+    assert [r.pair_id for r in evaluation.resolve_pairs(pairs, lemmas, pairs.filter("pair_id = '2'")).collect()] == ["2"]
+
+
 def test_auc_and_ranks(spark):
     rows = lambda w, *d: [(w, k, x) for k, x in enumerate(d, 1)]
     df = spark.createDataFrame(rows("best", "cross", "cross", "same") + rows("worst", "same", "cross") + rows("half", "cross", None), "word string, rank long, domain string")
@@ -170,6 +225,9 @@ def test_loaders(spark):
     assert good.count() == 1 and bad.first().n == 2
     with pytest.raises(ValueError, match="Bigram"):
         tables.load_concreteness(spark.createDataFrame([("a",)], "Word string"))
+    version = lambda *rows: tables.load_pairs(spark.createDataFrame(rows, "source string, target string, tier string")).first().version
+    assert version(("a", "b", "x"), ("c", "d", "x")) == version(("c", "d", "x"), ("a", "b", "x")) != version(("a", "b", "y"), ("c", "d", "x"))
+    assert len(version(("a", "b", "x"))) == 16
     with pytest.raises(Exception, match="lacks"):
         tables.load_pairs(spark.createDataFrame([("a", None)], "source string, target string")).collect()
 
@@ -179,6 +237,14 @@ def test_load_files(spark, tmp_path):
     assert [tuple(r) for r in tables.load_vectors(spark, str(tmp_path / "v.vec"), 2)[0].collect()] == [("w", [0.5, 1.0])]
     (tmp_path / "e.json").write_text(json.dumps({"synsets": [{"id": "s", "properties": ["a"]}]}))
     assert tables.load_enrichment(spark, str(tmp_path / "e.json")).count() == 1
+    (tmp_path / "more").mkdir()
+    for name, text_ in (("b.json", "second"), ("a.json", "first " * 4000)):  # the larger file would come first by size
+        (tmp_path / "more" / name).write_text(json.dumps({"results": [{"id": "t", "properties": [text_.split()[0]], "usage_example": text_}]}))
+    docs = tables.load_enrichment(spark, str(tmp_path / "more"), str(tmp_path / "e.json"))
+    assert [r.properties[0] for r in docs.orderBy("doc_no").collect()] == ["first", "second", "a"]
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(ValueError, match="bad.json"):
+        tables.load_enrichment(spark, str(tmp_path / "more"), str(tmp_path / "bad.json"))
     sinks.write_table(spark.range(3), str(tmp_path / "t"))
     sinks.write_table(spark.range(2), str(tmp_path / "t"))
     sinks.write_jsonl(spark.range(2), str(tmp_path / "j"))
@@ -205,6 +271,31 @@ def test_regression(spark):
     assert filled.count() == 4 and kept.count() == 2 and tuple(counts.first()) == (2, 2)
 
 
+def test_model_shootout(spark):
+    import random
+
+    draw = random.Random(0)
+    rows = []
+    for k in range(120):
+        x = [draw.gauss(0, 1) * scale for scale in (1.0, 10.0, 0.1)]
+        rows.append((f"s{k}", x, 3 + 0.5 * x[0] - 0.02 * x[1] + draw.gauss(0, 0.05), "brysbaert"))
+    training = spark.createDataFrame(rows, "synset_id string, embedding array<double>, score double, source string")
+    out = {r.model: r for r in concreteness.model_shootout(training, alphas=(5.0,), trees=(5,), depths=(4,), ks=(3, 5)).collect()}
+    # the same split and the ridge solution by hand, with a free intercept and a penalty on the raw weights
+    import numpy as np
+
+    split = {r.synset_id: r.d for r in training.select("synset_id", F.pmod(F.xxhash64("synset_id", F.lit(42)), F.lit(100)).alias("d")).collect()}
+    part = lambda test: [r for r in rows if (split[r[0]] >= 80) == test]
+    x, y = np.array([r[1] for r in part(False)]), np.array([r[2] for r in part(False)])
+    w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + 5.0 * np.eye(3), (x - x.mean(0)).T @ (y - y.mean()))
+    tx, ty = np.array([r[1] for r in part(True)]), np.array([r[2] for r in part(True)])
+    rmse = float(np.sqrt(np.mean((ty - (tx - x.mean(0)) @ w - y.mean()) ** 2)))
+    assert out["ridge"].rmse == pytest.approx(rmse, abs=2e-3) and out["ridge"].train_samples == len(y)
+    assert set(out) == {"ridge", "random_forest", "knn"} and out["ridge"].pearson_r > 0.95
+    with pytest.raises(ValueError, match="at least 50"):
+        concreteness.model_shootout(training.limit(20))
+
+
 def test_graphs(spark):
     rel = spark.createDataFrame([("w", "a", "1", "synonym"), ("w", "a", "1", "hypernym"), ("w", "b", "2", "similar"), ("a", "c", "3", "synonym"), ("a", "b", "2", "synonym"), ("a", "w", "1", "synonym")], "word string, node_id string, synset_id string, relation_type string")
     nodes, links = thesaurus.word_graph(rel.filter("word = 'w'"))

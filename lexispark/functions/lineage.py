@@ -9,16 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``. Only a local master may leave it unset; it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(found)
+        if known.isDefined():
+            return known.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's tables go."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; results that still read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Spark's own setting to delete the shuffle files of a query when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -29,7 +43,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     Later jobs start from the written files, so a lost executor costs a re-read and not a
     recomputation, and iterative plans do not grow. The shuffle files of the job go when it is done.
     """
-    path, conf = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
+    path, conf = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:

@@ -110,6 +110,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
             yield pd.DataFrame({"y": b["y"], "b": [distinct(t).astype(np.uint32).tobytes() for t in b["text"]]})
 
     rows = sample_labelled(docs, labels, label_col, per_class, id_col, text_col).mapInPandas(extract, "y int, b binary").toArrow()
+    model = solve(rows, alpha, l2, steps)
+    del rows
+    pa.default_memory_pool().release_unused()  # the n-grams' memory goes back before the driver goes on
+    return model
+
+
+def solve(rows: pa.Table, alpha: float, l2: float, steps: int) -> Model:
+    """The model of rows ``y, b`` (label, packed distinct buckets)."""
     y = rows["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexispark.llm import decontaminate, exact_dedup, language, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity, warc
+from lexispark.functions.lineage import tables_dir
+from lexispark.llm import centroids, decontaminate, divergence, exact_dedup, language, mixing, ngram_join, quality, sharding, suffix_dedup, token_counts, toxicity, warc
 from lexispark.llm.text import fold
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -68,8 +71,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroids.centroid_digest().alias("centroid_sha256"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begins with a cache of its own, so every distinct text is encoded."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), f"{tables_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_kd_sharding, op4_language, op5_mixing, op6_warc, op7_quality, op8_exact_dedup, op9_decontaminate, op10_suffix_dedup)
+    f.__name__: f
+    for f in (op1_ngram_join, op2_toxicity, op3_kd_sharding, op4_language, op5_mixing, op6_warc, op7_quality, op8_exact_dedup, op9_decontaminate, op10_suffix_dedup, op11_centroids, op12_divergence, op13_token_counts)
 }
 
 SQL: dict[str, str] = {
@@ -149,3 +169,43 @@ SQL["op1_ngram_join"] = rf"""
     comp AS (SELECT node, min(low) AS low FROM walk GROUP BY node)
     SELECT sh.doc_id, len(sh.s)::BIGINT AS n_shingles, coalesce(comp.low, sh.doc_id) AS component_id
     FROM sh LEFT JOIN cls ON sh.s = cls.s AND len(sh.s) > 0 LEFT JOIN comp ON comp.node = cls.rep"""
+
+
+def centroids_sql(k: int = 8, rounds: int = 10, seed: int = 3, dim: int = 64, scale: int = 1024) -> str:
+    """Rounds unrolled over one row for each component."""
+    parts = [
+        f"""good AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS v FROM embeddings
+              WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"vec AS MATERIALIZED (SELECT r, unnest(range(1, {dim + 1})) AS i, unnest(v) AS x FROM good)",
+        f"c0 AS MATERIALIZED (SELECT c, unnest(range(1, {dim + 1})) AS i, unnest(v) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM good) WHERE c < {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, sum((vec.x - c{n}.x) * (vec.x - c{n}.x))::BIGINT AS d FROM vec JOIN c{n} USING (i) GROUP BY r, c) GROUP BY r)")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce(m, x) AS x FROM c{n} LEFT JOIN (SELECT a.c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS m
+                FROM a{n} a JOIN vec USING (r) GROUP BY a.c, i) USING (c, i))""")
+    return f"""WITH {", ".join(parts)}, digests AS (SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+        SELECT vec_id, a.c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+        FROM a{rounds} a JOIN good USING (r) JOIN digests ON digests.c = a.c"""
+
+
+SQL["op11_centroids"] = centroids_sql()
+
+# all kept terms against all groups of the language, counts of 0 included
+SQL["op12_divergence"] = rf"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+              regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+    t AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(ts) AS term FROM d) GROUP BY ALL),
+    kept AS MATERIALIZED (SELECT lang, term, sum(n)::BIGINT AS n_lang FROM t GROUP BY lang, term HAVING sum(docs) >= 3),
+    grp AS MATERIALIZED (SELECT lang, source FROM d GROUP BY ALL),
+    cells AS MATERIALIZED (SELECT lang, source, term, n_lang, coalesce(n, 0)::BIGINT AS n FROM grp JOIN kept USING (lang) LEFT JOIN t USING (lang, source, term)),
+    tot AS MATERIALIZED (SELECT lang, source, sum(n)::HUGEINT AS n_all, sum(n_lang)::HUGEINT AS l_all, count(*)::HUGEINT AS v FROM cells GROUP BY lang, source),
+    p AS MATERIALIZED (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 1) // (n_all + v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (n_lang + 1) // (l_all + v))::BIGINT AS q
+              FROM cells JOIN tot USING (lang, source)),
+    pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+              FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q)
+    SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+    UNION ALL SELECT *, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms
+    QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 200"""

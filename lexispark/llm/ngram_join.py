@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
-from lexispark.llm.shingles import set_key, shingle_sets
+from lexispark.llm.shingles import Hashing
 from lexispark.llm.text import append, slices
 from lexispark.operators.components import connected_components
 
@@ -54,19 +54,38 @@ SALTS, ROUNDS = 32, (16, 128)
 CELL_PAIRS = 2000
 
 
-def _distinct_sets(texts: list[bytes | None]) -> dict[int, np.ndarray]:
+def _distinct_sets(texts: list[bytes | None], hashing: Hashing) -> dict[int, np.ndarray]:
     """The texts' sets by key, without empty ones."""
-    return {int(set_key(s)): s for s in shingle_sets(texts, WORDS) if len(s)}
+    return {hashing.key(s): s for s in hashing.sets(texts, WORDS) if len(s)}
 
 
-def _signature(texts: list[bytes | None]) -> tuple[list[int], np.ndarray]:
-    sets = list(shingle_sets(texts, WORDS))
-    return [len(s) for s in sets], np.array([set_key(s) for s in sets], dtype=np.uint64).view(np.int64)
+def signed(numbers: list[int]) -> np.ndarray:
+    return np.array(numbers, dtype=np.uint64).view(np.int64)
 
 
-def signatures(texts: DataFrame) -> DataFrame:
-    """``_id, n, key`` of every row."""
-    return append(texts, ["text"], "n long, key long", lambda: _signature).select("_id", "n", "key")
+def _signature(texts: list[bytes | None], hashing: Hashing) -> tuple[list[int], np.ndarray, np.ndarray]:
+    sets = list(hashing.sets(texts, WORDS))
+    return [len(s) for s in sets], signed([hashing.key(s) for s in sets]), signed([hashing.second(s) for s in sets])
+
+
+def signatures(texts: DataFrame, hashing: Hashing) -> DataFrame:
+    """``_id, n, key, second`` of every row."""
+    return append(texts, ["text"], "n long, key long, second long", lambda: lambda t: _signature(t, hashing)).select("_id", "n", "key", "second")
+
+
+def identified(texts: DataFrame, hashing: Hashing) -> tuple[DataFrame, Hashing]:
+    """:func:`signatures` as a written table, by keys of which each stands for one set as far as 128 bits tell, and their hashing.
+
+    Sets that share 64 bits by chance are told apart by the second hash. There are fewer than a
+    thousand of them among 10^11 sets; they go to all tasks.
+    """
+    sigs = materialize(signatures(texts, hashing), "signatures")
+    same = sigs.filter("n > 0").groupBy("key").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).filter("lo <> hi").collect()
+    if not same:
+        return sigs, hashing
+    unsigned = lambda x: x % (1 << 64)
+    hashing = Hashing(hashing.seed, {unsigned(r.key): unsigned(r.lo) for r in same})
+    return materialize(signatures(texts, hashing), "signatures"), hashing
 
 
 def steps(count: np.ndarray) -> np.ndarray:
@@ -74,7 +93,7 @@ def steps(count: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.round(STEPS * np.log2(1.0 + count))).astype(np.uint8)
 
 
-def shingle_counts(texts: DataFrame, tasks: int) -> tuple[np.ndarray, int]:
+def shingle_counts(texts: DataFrame, tasks: int, hashing: Hashing) -> tuple[np.ndarray, int]:
     """:func:`steps` of the number of sets of the batches that hold a shingle, by its place in the table, and the first heavy one.
 
     A task counts into a table of its own and sends it in slices; ``tasks`` is about their number, by
@@ -85,7 +104,7 @@ def shingle_counts(texts: DataFrame, tasks: int) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, salt = np.zeros(TABLE, dtype=np.uint32), uuid.uuid4().int % salts
         for b in (part for whole in batches for part in slices(whole)):
-            for s in _distinct_sets(b.column("text").to_pylist()).values():
+            for s in _distinct_sets(b.column("text").to_pylist(), hashing).values():
                 np.add.at(table, (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.uint32(1))
         for k in range(TABLE_SLICES):
             part = table[k * width : (k + 1) * width]
@@ -132,14 +151,14 @@ def heavy_from(step: int) -> int:
     return (step << 56) - (1 << 63)
 
 
-def prefixes(texts: DataFrame, table: np.ndarray, heavy: int, fragments: int) -> DataFrame:
+def prefixes(texts: DataFrame, table: np.ndarray, heavy: int, fragments: int, hashing: Hashing) -> DataFrame:
     """Per batch and fragment the prefix parts of its sets, as packed arrays; from ``fragments`` on those of heavy shingles, by set."""
     shared = texts.sparkSession.sparkContext.broadcast(table)  # TABLE bytes
     part_of = lambda x: ((x >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole)):
-            sets = _distinct_sets(b.column("text").to_pylist())
+            sets = _distinct_sets(b.column("text").to_pylist(), hashing)
             if not sets:
                 continue
             keys = np.fromiter(sets, dtype=np.uint64, count=len(sets))
@@ -215,14 +234,14 @@ def with_heads(lists: DataFrame) -> DataFrame:
     return met.filter(possible(F.col("n"), F.col("head.n"), F.col("pos"), F.col("head.pos"))).select(F.col("head.key").alias("a"), F.col("key").alias("b"))
 
 
-def segments(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def segments(texts: DataFrame, wanted: DataFrame, hashing: Hashing) -> DataFrame:
     """``of_cell, frag, key, n, tokens``: the fragments of the sets of the wanted ``_id, key, cells``, for each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole)):
             out: dict[str, list] = {c: [] for c in _SEGMENTS.names}
-            for s, key, cells in zip(shingle_sets(b.column("text").to_pylist(), WORDS), b.column("key").to_pylist(), b.column("cells").to_pylist(), strict=True):
-                if len(s) and set_key(s).view(np.int64) == key:  # an id may stand for several texts
+            for s, key, cells in zip(hashing.sets(b.column("text").to_pylist(), WORDS), b.column("key").to_pylist(), b.column("cells").to_pylist(), strict=True):
+                if len(s) and hashing.key(s) == key % (1 << 64):  # an id may stand for several texts
                     cuts = [0, *np.searchsorted(s, np.array([f << 62 for f in range(1, COUNT_FRAGMENTS)], dtype=np.uint64)).tolist(), len(s)]
                     for f in range(COUNT_FRAGMENTS):
                         tokens = s[cuts[f] : cuts[f + 1]].tobytes()
@@ -256,7 +275,7 @@ def partial_overlaps(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "na", "nb", "sa", "sb", "common"])
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, hashing: Hashing) -> DataFrame:
     """``PARTIAL`` of the distinct pairs, by fragment.
 
     Classes are dealt to blocks and pairs to cells of two blocks, so a class goes to no more cells
@@ -268,15 +287,15 @@ def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFram
     members = placed.select(F.col("cell").alias("of_cell"), F.col("a").alias("key")).union(placed.select("cell", "b")).distinct()
     wanted = members.join(classes, "key").groupBy(F.col("_first").alias("_id"), "key").agg(F.collect_set("of_cell").alias("cells"))
     wide = placed.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))))
-    return wide.groupBy("cell", "frag").cogroup(segments(texts, wanted).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, PARTIAL)
+    return wide.groupBy("cell", "frag").cogroup(segments(texts, wanted, hashing).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, PARTIAL)
 
 
-def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, hashing: Hashing) -> DataFrame:
     """The pairs (a, b) whose partial overlaps sum up to the threshold.
 
     A pair that a fragment ends has no partial overlap there, so it does not have ``COUNT_FRAGMENTS`` of them.
     """
-    summed = overlaps(pairs, texts, classes).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"), F.count(F.lit(1)).alias("_counted"))
+    summed = overlaps(pairs, texts, classes, hashing).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("common").alias("common"), F.count(F.lit(1)).alias("_counted"))
     linked = (F.col("_counted") == COUNT_FRAGMENTS) & ((100 + PERCENT) * F.col("common") >= PERCENT * (F.col("na") + F.col("nb")))
     return materialize(summed.filter(linked).select("a", "b"), "links")
 
@@ -341,22 +360,22 @@ def across(some: DataFrame) -> DataFrame:
     return direct.union(wide.select(F.least("x.key", "y.key"), F.greatest("x.key", "y.key"))).distinct()
 
 
-def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, n, key, component_id`` per row; see :func:`jaccard_components`."""
+def classified(docs: DataFrame, hashing: Hashing, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Hashing]:
+    """``_id, n, key, component_id`` per row, see :func:`jaccard_components`, and the hashing that gives the keys."""
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").cast("binary").alias("text"))
-    sigs = materialize(signatures(texts), "signatures")
+    sigs, hashing = identified(texts, hashing)
     classes = materialize(sigs.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_first")), "classes")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = min(65_536, max(16, ceil(size / FRAGMENT_BYTES)))
-    table, step = shingle_counts(texts, ceil(size / TASK_BYTES))
+    table, step = shingle_counts(texts, ceil(size / TASK_BYTES), hashing)
     heavy = heavy_from(step)
-    packed = prefixes(texts.filter("_id is not null"), table, heavy, fragments)
+    packed = prefixes(texts.filter("_id is not null"), table, heavy, fragments, hashing)
     found = packed.groupBy("frag").applyInPandas(lambda rows: candidates(rows, fragments), "a long, b long, token long, n long, pos long")
     found = materialize(found, "candidates")
     lists = found.filter("token is not null").select(F.col("a").alias("key"), "token", "n", "pos")
     pairs = materialize(found.filter("b is not null").select("a", "b").union(with_heads(lists.filter(F.col("token") >= heavy))).distinct(), "pairs")
 
-    linked, labelled = links(pairs, texts, classes), None
+    linked, labelled = links(pairs, texts, classes, hashing), None
     for partners in (*ROUNDS, None):
         if labelled is None:
             inside = connected_components(linked).select(F.col("node").alias("key"), "component")
@@ -367,14 +386,14 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = across(mixed_lists(labelled, heavy))
         found = materialize(found.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not found.isEmpty():
-            linked, pairs, labelled = linked.union(links(found, texts, classes)), pairs.union(found), None
+            linked, pairs, labelled = linked.union(links(found, texts, classes, hashing)), pairs.union(found), None
     if labelled is None:
         inside = connected_components(linked).select(F.col("node").alias("key"), "component")
     member = classes.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key"))
     firsts = member.groupBy("component").agg(F.min("_first").alias("component_id"))
     resolved = materialize(member.join(firsts, "component").select("key", "component_id"), "components")
     own = F.when((F.col("n") == 0) | F.col("_id").isNull(), F.col("_id")).otherwise(F.col("component_id"))
-    return sigs.join(resolved, "key", "left").select("_id", "n", "key", own.alias("component_id"))
+    return sigs.join(resolved, "key", "left").select("_id", "n", "key", own.alias("component_id")), hashing
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,7 +406,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with other texts each is compared. A row without id gets a null component and links nothing
     else. An empty table gives an empty result. Other columns are ignored.
     """
-    return classified(docs, id_col, text_col).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return classified(docs, Hashing.fresh(), id_col, text_col)[0].select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,9 +414,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows without shingles or id stay. Of rows that repeat that id within the group one stays.
     """
-    groups = classified(docs, id_col, text_col)
+    groups, hashing = classified(docs, Hashing.fresh(), id_col, text_col)
     loses = groups.filter("n > 0 and _id <> component_id").select("_id", F.col("key").alias("_key")).distinct()
-    keyed = append(docs.withColumns({"_own_id": F.col(id_col), "_bytes": F.col(text_col).cast("binary")}), ["_bytes"], "_n long, _key long", lambda: _signature).drop("_bytes")
+    keyed = append(docs.withColumns({"_own_id": F.col(id_col), "_bytes": F.col(text_col).cast("binary")}), ["_bytes"], "_n long, _key long, _second long", lambda: lambda t: _signature(t, hashing)).drop("_bytes", "_second")
     first = Window.partitionBy("_own_id", "_key").orderBy(F.lit(0))
     left = keyed.join(loses.withColumnRenamed("_id", "_own_id"), ["_own_id", "_key"], "left_anti").withColumn("_nth", F.row_number().over(first))
     return left.filter("_nth = 1 or _n = 0 or _own_id is null").select(*docs.columns)

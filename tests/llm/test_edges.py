@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexispark.llm import decontaminate, exact_dedup, language, mixing, ngram_join, quality, sharding, suffix_dedup, toxicity, warc
+from lexispark.llm.shingles import Hashing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, hits string, key long, shard int, tokens long, items int, kept string"
 LONG = "word%d and another of the kind. " * 4000
@@ -181,8 +182,9 @@ def test_ngram_join_deals_a_large_group_to_many_tasks(spark):
     # 300 near copies share all but the last words, so all their prefixes are lists of the whole group
     texts = [(k, " ".join([f"w{j}" for j in range(60)] + [f"x{k}", f"y{k}"])) for k in range(300)]
     docs = spark.createDataFrame(texts, "_id long, text string").selectExpr("_id", "CAST(text AS BINARY) AS text").repartition(2)
-    table, step = ngram_join.shingle_counts(docs, 2)
-    packed = ngram_join.prefixes(docs, table, ngram_join.heavy_from(step), 16).toPandas()
+    hashing = Hashing(5)
+    table, step = ngram_join.shingle_counts(docs, 2, hashing)
+    packed = ngram_join.prefixes(docs, table, ngram_join.heavy_from(step), 16, hashing).toPandas()
     entries = packed["pos"].map(len).groupby(packed["frag"]).sum() // 4
     assert len(entries) >= 12 and entries.max() < 0.2 * entries.sum()
     out = ngram_join.jaccard_components(docs, "_id").collect()

@@ -2,19 +2,22 @@
 
 Fitting reads a bounded sample of labelled rows (``MAX_PER_CLASS`` of each label, those with the
 smallest hash of the id). The driver gets their hashed n-grams, computes the log-count ratios and
-minimises the regularised logistic loss. Scoring runs over whole texts in map tasks, without a shuffle.
+minimises the regularised logistic loss. Margins of rows that a fit has not seen, from ``FOLDS`` fits
+on the others, then say which share of rows at a margin is labelled 1 where both labels are equally
+frequent, as in the loss: an isotonic map. Scoring runs over whole texts in map tasks, without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lexispark.llm.quality import pool
 from lexispark.llm.text import append
 
 #: Bound of the sample that the classifier is fitted on, for each of the two labels.
@@ -25,6 +28,8 @@ BITS = 18
 BLOCK = 128
 #: Scale of a feature's value, so that margins start near 0.
 UNIT = 1 / 30
+#: Fits that give margins of unseen rows, their steps, and the share of the plain logistic score in a calibrated one, which keeps scores apart that the map joins.
+FOLDS, FOLD_STEPS, PLAIN = 3, 100, 0.02
 #: Characters that are hashed at once; longer texts are read in overlapping pieces.
 PIECE = 1 << 20
 
@@ -72,22 +77,27 @@ class Distinct:
 class Model:
     weights: np.ndarray
     bias: float
+    knots: np.ndarray = field(default_factory=lambda: np.zeros(0))  # margins of unseen rows, ascending
+    levels: np.ndarray = field(default_factory=lambda: np.zeros(0))  # shares of label 1 there, not falling
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         distinct = Distinct()
-        margin = np.array([self.weights[distinct(t)].sum() for t in texts])
-        return 1 / (1 + np.exp(-np.clip(margin + self.bias, -35, 35)))
+        return self.calibrated(np.array([self.weights[distinct(t)].sum() for t in texts]) + self.bias)
+
+    def calibrated(self, margin: np.ndarray) -> np.ndarray:
+        plain = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+        return PLAIN * plain + (1 - PLAIN) * np.interp(margin, self.knots, self.levels) if len(self.knots) else plain
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str, text_col: str) -> DataFrame:
-    """``y, text`` of at most ``per_class`` labelled rows of either label, by the hash of the id."""
+    """``y, text, fold`` of at most ``per_class`` labelled rows of either label, by the hash of the id."""
     known = labels.filter(labels[label_col].isin(0, 1) & labels[id_col].isNotNull()).select(labels[id_col].alias("_id"), labels[label_col].cast("int").alias("y"))
     picked = None
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * per_class rows of 12 bytes
-    return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(picked), "_id").select("y", "text")
+    return docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("text")).join(F.broadcast(picked), "_id").select("y", "text", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 def packed(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -102,22 +112,43 @@ def packed(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", alpha: float = 1.0, l2: float = 1e-5, steps: int = 150) -> Model:
-    """Fit on the labelled rows; without rows of both labels the score is the share of label 1, or 0."""
+    """Fit on the labelled rows; without rows of both labels the score is the share of label 1, or 0.
+
+    Labels other than 0 and 1 and rows without id are not used. A label or document that repeats counts
+    each time, so an id labelled both ways counts for both. With fewer than ``FOLDS`` rows of either
+    label in any fold's complement the score is the plain logistic one.
+    """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         distinct = Distinct()
         for b in batches:
-            yield pd.DataFrame({"y": b["y"], "b": [distinct(t).astype(np.uint32).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"y": b["y"], "fold": b["fold"], "b": [distinct(t).astype(np.uint32).tobytes() for t in b["text"]]})
 
-    rows = sample_labelled(docs, labels, label_col, per_class, id_col, text_col).mapInPandas(extract, "y int, b binary").toArrow()
+    rows = sample_labelled(docs, labels, label_col, per_class, id_col, text_col).mapInPandas(extract, "y int, fold int, b binary").toArrow()
     model = solve(rows, alpha, l2, steps)
+    model.knots, model.levels = calibration(rows, alpha, l2)
     del rows
     pa.default_memory_pool().release_unused()  # the n-grams' memory goes back before the driver goes on
     return model
 
 
+def calibration(rows: pa.Table, alpha: float, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots and levels of the isotonic map from margins of unseen rows to shares of label 1; both labels weigh the same."""
+    y, fold = rows["y"].to_numpy(), rows["fold"].to_numpy()
+    if any(np.count_nonzero((fold != f) & (y == label)) < FOLDS for f in range(FOLDS) for label in (0, 1)):
+        return np.zeros(0), np.zeros(0)
+    margin = np.zeros(len(y))
+    for f in range(FOLDS):
+        model, held = solve(rows.filter(pa.array(fold != f)), alpha, l2, FOLD_STEPS), np.flatnonzero(fold == f)
+        found = [model.weights[part].sum() for index, sizes in packed(rows["b"].take(pa.array(held))) for part in np.split(index, np.cumsum(sizes)[:-1])] if len(held) else []
+        margin[held] = np.array(found) + model.bias
+    order = np.lexsort((y, margin))
+    weight = np.array([1 / np.count_nonzero(y == k) for k in (0, 1)])
+    return margin[order], pool(y[order].astype(float), weight[y[order]])
+
+
 def solve(rows: pa.Table, alpha: float, l2: float, steps: int) -> Model:
-    """The model of rows ``y, b`` (label, packed distinct buckets)."""
+    """The uncalibrated model of rows ``y, b`` (label, packed distinct buckets)."""
     y = rows["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0

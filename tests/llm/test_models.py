@@ -162,6 +162,24 @@ def test_suffix_dedup_of_texts_longer_than_a_piece(spark):
     assert out == {1: (len(long), []), 2: (70 + len(part) + len(other), [(70, 70 + len(part))]), 3: (len(part), [(0, len(part))])}
 
 
+def test_toxicity_scores_are_calibrated_on_unseen_rows():
+    rng = np.random.default_rng(4)
+    y, own = np.arange(240) % 4 == 0, rng.integers(1000, 1 << 18, size=(240, 20))
+    texts = [np.concatenate([own[k], [7] if y[k] and k % 20 else [], [9] if k % 3 else []]).astype(np.uint32) for k in range(240)]  # bucket 7 tells four of five
+    rows = pa.table({"y": pa.array(y.astype(np.int32)), "fold": pa.array((np.arange(240) // 4 % 3).astype(np.int32)), "b": pa.array([t.tobytes() for t in texts], type=pa.binary())})
+    knots, levels = toxicity.calibration(rows, 1.0, 1e-5)
+    assert (np.diff(knots) >= 0).all() and (np.diff(levels) >= 0).all() and 0 <= levels[0] and levels[-1] == 1
+    model = toxicity.solve(rows, 1.0, 1e-5, 100)
+    model.knots, model.levels = knots, levels
+    margins = np.array([model.weights[t].sum() for t in texts]) + model.bias
+    scores = model.calibrated(margins)
+    assert (np.diff(scores[np.argsort(margins)]) > -1e-12).all() and scores.min() >= 0 and scores.max() <= 1
+    told = y & (np.arange(240) % 20 != 0)
+    assert (scores[told] >= 0.7).all() and (scores[~y] < 0.7).all()
+    few = toxicity.calibration(rows.slice(0, 8), 1.0, 1e-5)
+    assert len(few[0]) == 0
+
+
 def test_features_of_texts_longer_than_a_piece(monkeypatch):
     text = "".join(random.Random(1).choices("abc defgh", k=5000))
     whole = sorted(toxicity.Distinct()(text).tolist())
@@ -169,7 +187,7 @@ def test_features_of_texts_longer_than_a_piece(monkeypatch):
     assert sorted(toxicity.Distinct()(text).tolist()) == whole
     words = " ".join(f"w{k % 700}" for k in range(400_000)).encode()  # over 1 MiB
     assert len(words) > shingles.CHUNK
-    alone, with_others = next(shingles.shingle_sets([words])), list(shingles.shingle_sets([b"a b", words, b"c"]))[1]
+    alone, with_others = next(shingles.Hashing(7).sets([words])), list(shingles.Hashing(7).sets([b"a b", words, b"c"]))[1]
     assert len(alone) == 700 and (alone == with_others).all()
 
 

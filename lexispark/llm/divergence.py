@@ -19,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
+from lexispark.llm.arrays import changes, ranges
 from lexispark.llm.text import ascii_lower, slices
 
 #: Matches of one term; the text's A-Z are lower case by then.
@@ -32,9 +34,13 @@ MIN_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
 #: Distinct (group, term) of a map task that are held before they are sent on.
-HELD = 1 << 18
-#: Rows that a skyband holds before it is thinned, and that a task holds at all before it sends them on.
-THIN, MOST = 1 << 13, 1 << 19
+HELD = 1 << 19
+#: Rows that a task holds before it thins them to their skybands, and that may be left before it sends them on.
+THIN, MOST = 1 << 18, 1 << 17
+#: Values of f that are worked out at once.
+CELLS = 1 << 18
+#: Counts under this are worked on as 64-bit numbers.
+SAFE = 9_000_000_000
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -44,9 +50,9 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         count: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def held() -> pa.RecordBatch:
-            rows = [(lang, source, t, n, in_docs[t]) for (lang, source), (seen, in_docs) in count.items() for t, n in seen.items()]
+            parts = [[pa.repeat(pa.scalar(lang), len(seen)), pa.repeat(pa.scalar(source), len(seen)), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array(list(map(in_docs.__getitem__, seen)), pa.int64())] for (lang, source), (seen, in_docs) in count.items() if seen]
             count.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["lang", "source", "term", "n", "n_docs"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)] or [pa.array([], t) for t in (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())], names=["lang", "source", "term", "n", "n_docs"])
 
         for b in (part for whole in batches for part in slices(whole)):
             for lang, source, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -67,7 +73,8 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 def smoothed(n: Column, total: Column, terms: Column) -> Column:
     """p = 1 + floor(SCALE * (n + 1) / (total + terms)), exact for any counts."""
     wide = lambda c: c.cast("decimal(20,0)")
-    return F.call_function("div", wide(n + 1) * F.lit(SCALE), wide(total + terms)) + 1
+    ratio = lambda a, b: F.call_function("div", a * F.lit(SCALE), b)
+    return F.when(n < SAFE, ratio((n + 1).cast("long"), total + terms)).otherwise(ratio(wide(n + 1), wide(total + terms))) + 1
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -97,40 +104,35 @@ def thinned(n: np.ndarray, total: np.ndarray, place: np.ndarray, k: int) -> np.n
 
 
 def skyband(entries: DataFrame, k: int) -> DataFrame:
-    """The rows of each partition that fewer than ``k`` rows of their group in it dominate; columns ``lang, source, term, n, n_lang`` lead."""
+    """The rows ``lang, source, term, n, n_lang, f`` of each partition that fewer than ``k`` rows of their group in it dominate."""
+    names = ["lang", "source", "term", "n", "n_lang", "f"]
+
+    def thin(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks().sort_by([("lang", "ascending"), ("source", "ascending"), ("n", "descending"), ("n_lang", "ascending"), ("term", "ascending")])
+        n, total = rows["n"].to_numpy(), rows["n_lang"].to_numpy()
+        code = lambda c: rows[c].combine_chunks().dictionary_encode().indices.to_numpy()
+        fresh = changes(code("lang"), code("source"))
+        start = np.flatnonzero(changes(np.cumsum(fresh), n, total))  # of equal counts the first k terms are enough
+        first = np.arange(len(n)) - np.repeat(start, np.diff(np.append(start, len(n)))) < k
+        rows, n, total, group = rows.filter(pa.array(first)), n[first], total[first], np.cumsum(fresh)[first]
+        place = np.empty(len(n), dtype=np.int64)
+        place[pc.sort_indices(rows["term"]).to_numpy()] = np.arange(len(n))
+        starts = np.flatnonzero(changes(group))
+        kept = [at + thinned(n[at:to], total[at:to], place[at:to], k) for at, to in zip(starts, np.append(starts[1:], len(n)), strict=True)]
+        return rows.take(pa.array(np.concatenate(kept))) if kept else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[tuple]] = {}
-        limit: dict[tuple[str, str], int] = {}
-
-        def thin(group: tuple[str, str]) -> None:
-            rows = held[group]
-            place = np.empty(len(rows), dtype=np.int64)
-            place[sorted(range(len(rows)), key=lambda r: rows[r][0].encode())] = np.arange(len(rows))
-            held[group] = [rows[r] for r in thinned(np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), place, k)]
-            limit[group] = max(THIN, 2 * len(held[group]))
-
-        def out() -> pa.RecordBatch:
-            for group in held:
-                thin(group)
-            flat = [(*group, *r) for group, rows in held.items() for r in rows]
-            held.clear()
-            limit.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], type=f.type) for c, f in enumerate(schema)], names=[f.name for f in schema])
-
-        schema = [pa.field("lang", pa.string()), pa.field("source", pa.string()), pa.field("term", pa.string()), pa.field("n", pa.int64()), pa.field("n_lang", pa.int64()), pa.field("f", pa.int64())]
+        held: list[pa.Table] = []
         for b in batches:
-            lang, source, *rest = [c.to_pylist() for c in b.columns]
-            for key, row in zip(zip(lang, source, strict=True), zip(*rest, strict=True), strict=True):
-                held.setdefault(key, []).append(row)
-            for group, rows in held.items():
-                if len(rows) > limit.get(group, THIN):
-                    thin(group)
-            if sum(map(len, held.values())) > MOST:
-                yield out()
-        yield out()
+            held.append(pa.Table.from_batches([b]).select(names))
+            if sum(t.num_rows for t in held) > THIN:
+                held = [thin(pa.concat_tables(held))]
+                if held[0].num_rows > MOST:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from thin(pa.concat_tables(held)).to_batches()
 
-    return entries.select("lang", "source", "term", "n", "n_lang", "f").mapInArrow(run, "lang string, source string, term string, n long, n_lang long, f long")
+    return entries.select(names).mapInArrow(run, "lang string, source string, term string, n long, n_lang long, f long")
 
 
 def shared_terms(entries: DataFrame) -> DataFrame:
@@ -139,23 +141,33 @@ def shared_terms(entries: DataFrame) -> DataFrame:
     r is a source's p for a term that it lacks. One row for each term lists its sources, at most those of
     the language; a task adds up all terms of its partition before it sends a row for each pair.
     """
+    f = lambda x, y: (x[:, :, None] - y[:, None, :]) ** 2 // y[:, None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[dict[str, int], np.ndarray]] = {}
-        for b in (part for whole in batches for part in slices(whole)):
-            for lang, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for b in batches:
+            found, length = b.column(1).flatten(), b.column(1).value_lengths().to_numpy()
+            names, (p, rest) = found.field("source").dictionary_encode(), (found.field(c).to_numpy() for c in ("p", "rest"))
+            langs, start = b.column(0).dictionary_encode(), np.cumsum(length) - length
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
                 number, sums = total.get(lang) or ({}, np.zeros((0, 0), dtype=np.int64))
-                for s in found:
-                    number.setdefault(s["source"], len(number))
+                mine = np.flatnonzero(langs.indices.to_numpy() == k)
+                at = ranges(start[mine], length[mine])
+                here = names.dictionary.to_pylist()
+                place = np.zeros(len(here), dtype=np.int64)
+                for s in np.unique(names.indices.to_numpy()[at]).tolist():
+                    place[s] = number.setdefault(here[s], len(number))
                 if len(number) > len(sums):
                     grown = np.zeros((2 * len(number), 2 * len(number)), dtype=np.int64)
                     grown[: len(sums), : len(sums)] = sums
                     sums = grown
                 total[lang] = number, sums
-                at = np.array([number[s["source"]] for s in found])
-                p, r = np.array([s["p"] for s in found]), np.array([s["rest"] for s in found])
-                f = lambda x, y: (x[:, None] - y[None, :]) ** 2 // y[None, :]
-                sums[np.ix_(at, at)] += f(p, p) - f(p, r) - f(r, p) + f(r, r)
+                for m in np.unique(length[mine]).tolist():  # terms of as many sources together
+                    rows, step = mine[length[mine] == m], max(1, CELLS // m**2)
+                    for k0 in range(0, len(rows), step):
+                        take = start[rows[k0 : k0 + step], None] + np.arange(m)
+                        x, r, i = p[take], rest[take], place[names.indices.to_numpy()[take]]
+                        np.add.at(sums, (i[:, :, None], i[:, None, :]), f(x, x) - f(x, r) - f(r, x) + f(r, r))
         rows = [(lang, a, b, int(sums[i, j])) for lang, (number, sums) in total.items() for a, i in number.items() for b, j in number.items() if i != j and sums[i, j]]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["lang", "a", "b", "value"])
 
@@ -199,7 +211,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_col: s
 
     # value of a pair: the terms of a against b without them, those of b against a without them, all others, and what shared terms change
     pairs = groups.alias("a").join(groups.select("lang", F.col("source").alias("item"), F.col("rest").alias("rest_b"), F.col("own_terms").alias("terms_b")).alias("b"), "lang").filter("source <> item")
-    levels = full.groupBy("lang", "source", "p").agg(F.count("*").alias("m"))
+    levels = materialize(full.groupBy("lang", "source", "p").agg(F.count("*").alias("m")), "divergence-levels")
     wide = lambda c: F.sum(c.cast("decimal(38,0)"))
     first = levels.join(pairs.select("lang", "source", "item", "rest_b"), ["lang", "source"]).groupBy("lang", "source", "item").agg(wide(F.col("m") * divergence(F.col("p"), F.col("rest_b"))).alias("x"))
     second = levels.withColumnRenamed("source", "item").join(pairs.select("lang", "source", "item", "rest"), ["lang", "item"]).groupBy("lang", "source", "item").agg(wide(F.col("m") * divergence(F.col("rest"), F.col("p"))).alias("x"))

@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lexispark.functions.lineage import materialize
 from lexispark.llm.text import append
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -77,6 +78,50 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def found_in(texts: list[str | None], tables: list[WuManber]) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+    """Number of words, merged spans and sorted items of each text."""
+    counts, hits, items = [], [], []
+    for text in texts:
+        words, spans, ids = words_of(text), [], set()
+        for t in tables:
+            for start, of in t.search(words):
+                spans.append((start, start + t.length))
+                ids.update(of)
+        counts.append(len(words))
+        hits.append([{"start": a, "end": b} for a, b in merged(spans)])
+        items.append(sorted(ids))
+    return counts, hits, items
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def hits_by_text(docs: DataFrame, items: DataFrame, blocks: int, window: int, text_col: str) -> DataFrame:
+    """``_text, hits, items`` of the texts in which something occurs, by SHA-256.
+
+    Each block of items is one pass over the texts that writes the hits of that block; its tables go
+    before the next block's are built. Then the blocks' hits of a text are put together.
+    """
+    spark, found = docs.sparkSession, None
+    texts = docs.select(docs[text_col].alias("_t"), text_key(docs[text_col]).alias("_text"))
+    for k in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()  # at most about block_bytes
+        tables = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in part], window))
+        searched = append(texts, ["_t"], f"n_words long, hits {HITS}, items array<string>", lambda tables=tables: lambda t: found_in(t, tables.value))
+        one = materialize(searched.filter(F.size("hits") > 0).select("_text", "hits", "items"), "benchmark-hits")
+        found = one if found is None else found.unionByName(one)
+        tables.destroy()
+
+    def together(hits: list[list], ids: list[list]) -> tuple[list, list]:
+        spans = [merged([(h["start"], h["end"]) for h in x]) for x in hits]
+        return [[{"start": a, "end": b} for a, b in x] for x in spans], [sorted(set(x)) for x in ids]
+
+    # copies of a text have the same hits in a block; blocks differ
+    every = found.groupBy("_text").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.flatten(F.collect_set("items")).alias("items"))
+    return materialize(append(every, ["hits", "items"], f"hits {HITS}, items array<string>", lambda: together), "benchmark-hits")
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (merged word spans, end exclusive) and ``items`` (sorted ids as strings).
 
@@ -85,33 +130,20 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Items that repeat an id count once. Columns of ``docs`` named like the results are replaced, all
     others kept; repeated rows each get their result. An empty benchmark hits nothing.
 
-    No row is shuffled. Items are searched for in blocks of at most about ``block_bytes`` of text, so
-    what is broadcast is bounded however large the benchmark is; a document passes every block.
+    A benchmark of at most ``block_bytes`` is searched for in one pass in which no row is shuffled.
+    A larger one is cut into blocks of about that size, each searched for in a pass of its own that
+    writes its hits (:func:`hits_by_text`); these are joined to the documents at last. So what is
+    broadcast is one block, and a text is split into words once for each block.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.coalesce(benchmark[item_id].cast("string"), F.lit("")).alias("i"), benchmark[item_text].cast("string").alias("t")).filter("t is not null")
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    out = docs.drop("n_words", "hits", "items").withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(HITS), "items": F.array().cast("array<string>")})
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        tables = spark.sparkContext.broadcast(build([(r["i"], r["t"]) for r in part], window))
-
-        def search(texts: list[str | None], had: list, known: list, tables=tables) -> tuple[list, list, list]:
-            counts, hits, found = [], [], []
-            for text, spans, ids in zip(texts, had, known, strict=True):
-                words, spans, ids = words_of(text), [(h["start"], h["end"]) for h in spans], set(ids)
-                for t in tables.value:
-                    for start, of in t.search(words):
-                        spans.append((start, start + t.length))
-                        ids.update(of)
-                counts.append(len(words))
-                hits.append([{"start": a, "end": b} for a, b in merged(spans)])
-                found.append(sorted(ids))
-            return counts, hits, found
-
-        out = append(out, [text_col, "hits", "items"], f"n_words long, hits {HITS}, items array<string>", lambda search=search: search)
-    return out
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
+    if blocks == 1:
+        tables = docs.sparkSession.sparkContext.broadcast(build([(r["i"], r["t"]) for r in items.collect()], window))
+        return append(docs, [text_col], f"n_words long, hits {HITS}, items array<string>", lambda: lambda t: found_in(t, tables.value))
+    found = hits_by_text(docs, items, blocks, window, text_col)
+    counted = append(docs.drop("hits", "items"), [text_col], "n_words long", lambda: lambda t: [[len(words_of(x)) for x in t]])
+    joined = counted.withColumn("_text", text_key(F.col(text_col))).join(found, "_text", "left").drop("_text")
+    return joined.withColumns({"hits": F.coalesce("hits", F.array().cast(HITS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -23,10 +23,11 @@ SCHEMA = "digest binary, n_tokens long, tokenizer string"
 #: Bytes of text that are encoded at once; longer texts alone.
 SLICE_BYTES = 1 << 20
 #: Up to so many missing digests of 32 bytes each are sent to the tasks, so that only the missing texts are shuffled.
-SENT = 1 << 18
-#: Longer texts are cut where no token can cross: before a space between two ASCII letters.
-PIECE = 1 << 20
-_CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
+SENT = 1 << 16
+#: A space between a character that is no space and a letter begins a new word of byte-level patterns, so no token crosses it.
+_CUT = re.compile(r"(?<=\S) (?=[A-Za-zÀ-ÖØ-öø-ſ])")
+#: Words that a task remembers the counts of, and their length at most.
+KNOWN, KNOWN_LENGTH = 1 << 19, 64
 
 
 def tokenizer_version(model: bytes, kind: str) -> str:
@@ -50,24 +51,39 @@ def counter(model: bytes, kind: str) -> Callable[[list[str]], list[int]]:
     whole = Tokenizer.from_str(model.decode())
     whole.no_truncation()
     whole.no_padding()
-    local = whole.normalizer is None and type(whole.pre_tokenizer).__name__ == "ByteLevel" and not whole.pre_tokenizer.add_prefix_space and whole.pre_tokenizer.use_regex
+    many = lambda texts: [len(e) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    pattern = whole.pre_tokenizer
+    local = whole.normalizer is None and type(pattern).__name__ == "ByteLevel" and pattern.use_regex and not pattern.add_prefix_space
+    local = local and not any(" " in t.content or t.lstrip or t.rstrip for t in whole.get_added_tokens_decoder().values())
+    return by_words(many) if local else many
 
-    def count(texts: list[str]) -> list[int]:
-        if len(texts) == 1 and local and len(texts[0]) > PIECE:
-            return [sum(len(whole.encode(t, add_special_tokens=False)) for t in cut(texts[0]))]
-        return [len(e) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return count
+def by_words(many: Callable[[list[str]], list[int]]) -> Callable[[list[str]], list[int]]:
+    """``many`` for texts whose tokens never cross the places of ``_CUT``: each distinct piece is encoded once, and the pieces' counts are added up.
+
+    So a text of any length is encoded in pieces, unless it has no such place.
+    """
+    leading: dict[str, int] = {}  # first pieces of texts
+    inner: dict[str, int] = {}  # pieces without the space before them
 
+    def count(texts: list[str]) -> list[int]:
+        pieces = [_CUT.split(t) for t in texts]
+        starts, rest = {p[0] for p in pieces} - leading.keys(), set().union(*(p[1:] for p in pieces)) - inner.keys()
+        fresh = [*starts, *(" " + p for p in rest)]
+        counts = many(fresh) if fresh else []
+        first, after = dict(zip(starts, counts, strict=False)), dict(zip(rest, counts[len(starts) :], strict=True))
+        for known, new in ((leading, first), (inner, after)):
+            if len(known) > KNOWN:
+                new |= {k: known[k] for p in pieces for k in (p[:1] if known is leading else p[1:]) if k in known}
+                known.clear()
+            known |= new
+        out = [leading[p[0]] + sum(map(inner.__getitem__, p[1:])) for p in pieces]
+        for known, new in ((leading, first), (inner, after)):
+            for k in [k for k in new if len(k) > KNOWN_LENGTH]:
+                del known[k]
+        return out
 
-def cut(text: str, size: int = PIECE) -> Iterator[str]:
-    """``text`` in pieces of about ``size`` characters whose counts add up to that of the whole for byte-level
-    patterns: a space between two letters begins a new word there. Text without such a place stays whole."""
-    at = 0
-    while len(text) - at > size and (found := _CUT.search(text, at + size)):
-        yield text[at : found.start()]
-        at = found.start()
-    yield text[at:]
+    return count
 
 
 def digest(text: Column) -> Column:
@@ -84,17 +100,21 @@ def cached(spark: SparkSession, cache: str, version: str) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
-def encode_missing(docs: DataFrame, model: bytes, kind: str, cache: str, text_col: str = "text") -> int:
-    """Encode each distinct text whose digest is not in the cache, append the counts, and say how many there were."""
+def keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.select(digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def encode_missing(docs: DataFrame, digests: DataFrame, model: bytes, kind: str, cache: str, text_col: str = "text") -> int:
+    """Encode each text of ``docs`` whose digest, one of ``digests``, is not in the cache, append the counts, and say how many there were."""
     spark, version = docs.sparkSession, tokenizer_version(model, kind)
-    keyed = docs.select(digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    missing = materialize(keyed.select("digest").distinct().join(cached(spark, cache, version), "digest", "left_anti"), "missing-digests")
+    missing = materialize(digests.join(cached(spark, cache, version), "digest", "left_anti"), "missing-digests")
     n = missing.count()
     if not n:
         return 0
     # copies meet in their own task first, so a text that a third of the rows share is sent once from each task
     one = lambda df: df.groupBy("digest").agg(F.first("text").alias("text"))
-    texts = one(keyed.join(F.broadcast(missing), "digest", "left_semi")) if n <= SENT else one(keyed).join(missing, "digest", "left_semi")
+    rows = keyed(docs, text_col)
+    texts = one(rows.join(F.broadcast(missing), "digest", "left_semi")) if n <= SENT else one(rows).join(missing, "digest", "left_semi")
     shared = spark.sparkContext.broadcast(model)  # a vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +140,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, text_col: str = "
     model, kind = Path(vocabulary).read_bytes(), Path(vocabulary).suffix[1:]
     if kind not in ("json", "model"):
         raise ValueError(f"no tokenizer library for {vocabulary}")
-    encode_missing(docs, model, kind, cache, text_col)
-    counts = cached(docs.sparkSession, cache, tokenizer_version(model, kind)).withColumnRenamed("digest", "_digest")
+    digests = materialize(docs.select(digest(F.col(text_col)).alias("digest")).distinct(), "digests")
+    encode_missing(docs, digests, model, kind, cache, text_col)
+    # as a table, so that the join with the documents can be split where a third of them have one digest
+    counts = materialize(digests.join(cached(docs.sparkSession, cache, tokenizer_version(model, kind)), "digest"), "counts").withColumnRenamed("digest", "_digest")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
     keyed = docs.select(*kept, F.octet_length(text).cast("long").alias("n_bytes"), digest(F.col(text_col)).alias("_digest"))

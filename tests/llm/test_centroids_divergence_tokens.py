@@ -155,11 +155,12 @@ def test_only_distinct_misses_are_encoded(spark, texts, tmp_path):
     model, cache = open(VOCABULARY, "rb").read(), str(tmp_path / "cache")
     df = spark.createDataFrame(texts, "doc_id long, text string")
     first = df.filter("doc_id < 6")
-    assert token_counts.encode_missing(first, model, "json", cache) == 3  # null and empty are one text
-    assert token_counts.encode_missing(df, model, "json", cache) == 4
-    assert token_counts.encode_missing(df, model, "json", cache) == 0
+    missed = lambda docs, m, kind: token_counts.encode_missing(docs, token_counts.keyed(docs, "text").select("digest").distinct(), m, kind, cache)
+    assert missed(first, model, "json") == 3  # null and empty are one text
+    assert missed(df, model, "json") == 4
+    assert missed(df, model, "json") == 0
     pieces = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
-    assert token_counts.encode_missing(first, pieces, "model", cache) == 3  # another tokenizer has counts of its own
+    assert missed(first, pieces, "model") == 3  # another tokenizer has counts of its own
     assert spark.read.parquet(cache).count() == 10
 
 
@@ -170,9 +171,21 @@ def test_many_misses_go_another_way(spark, texts, tmp_path, monkeypatch):
     assert sorted(map(str, token_counts.count_tokens(df, VOCABULARY, str(tmp_path / "b")).collect())) == few
 
 
-def test_cut_pieces_add_up(monkeypatch):
+def test_counts_by_words_add_up(monkeypatch):
     plain = Tokenizer.from_file(VOCABULARY)
-    text = "Some  words, don't we'll \n\n go on 12 34 and on é è " * 60
-    pieces = list(token_counts.cut(text, 100))
-    assert len(pieces) > 10 and "".join(pieces) == text
-    assert sum(len(plain.encode(p).ids) for p in pieces) == len(plain.encode(text).ids)
+    many = lambda ts: [len(plain.encode(t, add_special_tokens=False)) for t in ts]
+    draw, bits = random.Random(9), ["a", "the", " ", "  ", " ", "\n", "\t", "\x1c", "\x85", "\u00a0", "\u2028", "'s", "'", "don't", "12", "3", ".", ", ", "é", " à", "ñandú", "²", "Ⅷ", "日本", "\u0301", "ſ", "<|endoftext|>", "<|", "|>", "_", "\U0001f600", "-"]
+    texts = ["", " ", "a b"] + ["".join(draw.choices(bits, k=draw.randint(1, 40))) for _ in range(3000)] + ["word " * 50_000]
+    count = token_counts.by_words(many)
+    assert count(texts) == many(texts) and count(texts) == many(texts)
+    monkeypatch.setattr(token_counts, "KNOWN", 3)  # what is remembered is dropped all the time
+    count = token_counts.by_words(many)
+    for k in range(0, 300, 7):
+        assert count(texts[k : k + 7]) == many(texts[k : k + 7])
+
+
+def test_tokenizers_of_other_kinds_take_whole_texts():
+    for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
+        path = public_tokenizers.path(name)
+        count = token_counts.counter(open(path, "rb").read(), path.rsplit(".", 1)[1])
+        assert count(["Hello  World again", ""])[1] == 0 and count(["a b", "a"]) == [count(["a b"])[0], count(["a"])[0]]

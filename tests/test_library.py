@@ -131,8 +131,8 @@ def test_retrieval_does_not_depend_on_how_the_join_is_dealt(spark, monkeypatch):
     words = lemmas.select(F.col("lemma").alias("word")).distinct()
     run = lambda: sorted(map(str, retrieval.forge_by_lemma(words, lemmas, curated, vocab, ant, synsets, 7).collect()))
     whole = run()
-    monkeypatch.setattr(retrieval, "JOIN_ROWS", 100)
-    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    deal = retrieval.top_targets
+    monkeypatch.setattr(retrieval, "top_targets", lambda *a, **kw: deal(*a, **kw, block_rows=40, task_rows=50))
     assert len(whole) == 21 and run() == whole
 
 

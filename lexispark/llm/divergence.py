@@ -187,14 +187,16 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_col: s
     bits up to 10^9 kept terms of a language.
     """
     counted = materialize(term_counts(docs, text_col, lang_col, source_col), "divergence-counts")
-    kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term", "n_lang")
+    kept = counted.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("n_docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    kept = materialize(kept.select("lang", "term", "n_lang"), "divergence-terms")
     entries = materialize(counted.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang"), "divergence-entries")
 
     # a row for each group and each language: N and V of all of them
     plain = lambda c, a: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a)
     every = docs.select(plain(lang_col, "lang"), plain(source_col, "source")).distinct()
-    own = entries.groupBy("lang", "source").agg(F.sum("n").alias("own"), F.count("*").alias("own_terms"))
-    whole = entries.groupBy("lang", "term").agg(F.first("n_lang").alias("n_lang")).groupBy("lang").agg(F.sum("n_lang").alias("total"), F.count("*").alias("terms"))
+    counts = materialize(entries.groupBy("lang", "source", "n").agg(F.count("*").alias("m")), "divergence-levels")  # how many terms of a group occur n times
+    own = counts.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("own"), F.sum("m").alias("own_terms"))
+    whole = kept.groupBy("lang").agg(F.sum("n_lang").alias("total"), F.count("*").alias("terms"))
     zero = {"own": 0, "own_terms": 0, "total": 0, "terms": 0}
     groups = every.join(own, ["lang", "source"], "left").join(whole, "lang", "left").fillna(zero)
     groups = materialize(groups.withColumn("rest", F.when(F.col("terms") > 0, smoothed(F.lit(0), F.col("own"), F.col("terms"))).otherwise(F.lit(1))), "divergence-groups")
@@ -211,7 +213,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_col: s
 
     # value of a pair: the terms of a against b without them, those of b against a without them, all others, and what shared terms change
     pairs = groups.alias("a").join(groups.select("lang", F.col("source").alias("item"), F.col("rest").alias("rest_b"), F.col("own_terms").alias("terms_b")).alias("b"), "lang").filter("source <> item")
-    levels = materialize(full.groupBy("lang", "source", "p").agg(F.count("*").alias("m")), "divergence-levels")
+    levels = counts.join(groups, ["lang", "source"]).select("lang", "source", p.alias("p"), "m")
     wide = lambda c: F.sum(c.cast("decimal(38,0)"))
     first = levels.join(pairs.select("lang", "source", "item", "rest_b"), ["lang", "source"]).groupBy("lang", "source", "item").agg(wide(F.col("m") * divergence(F.col("p"), F.col("rest_b"))).alias("x"))
     second = levels.withColumnRenamed("source", "item").join(pairs.select("lang", "source", "item", "rest"), ["lang", "item"]).groupBy("lang", "source", "item").agg(wide(F.col("m") * divergence(F.col("rest"), F.col("p"))).alias("x"))

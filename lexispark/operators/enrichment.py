@@ -60,8 +60,9 @@ def populate_lemma_metadata(enriched: DataFrame) -> DataFrame:
     return first_wins(rows, ["lemma", "synset_id"], "doc_no", "row_no", "k").select("lemma", "synset_id", "register", "connotation")
 
 
-def enrichment_stats(properties: DataFrame) -> DataFrame:
-    out = properties.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("text").alias("unique_properties"), F.countDistinct("synset_id").alias("synsets"))
+def enrichment_stats(properties: DataFrame, enriched: DataFrame) -> DataFrame:
+    """``total, unique_properties, synsets, average`` over all ``enriched`` synsets (a row each), those without properties included."""
+    out = properties.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("text").alias("unique_properties")).crossJoin(enriched.agg(F.count(F.lit(1)).alias("synsets")))  # one row each
     return out.withColumn("average", F.when(F.col("synsets") > 0, F.round(F.col("total") / F.col("synsets"), 2)).otherwise(0.0))
 
 
@@ -69,17 +70,20 @@ def top_properties(properties: DataFrame, top: int = 100) -> DataFrame:
     return properties.groupBy(F.col("text").alias("property")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "property").limit(top)
 
 
-def property_distribution(properties: DataFrame) -> DataFrame:
-    """``metric, value`` of one run: totals, uniqueness, averages, and share of every type."""
-    one = properties.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("u"), F.countDistinct("synset_id").alias("s"), F.count_if(F.col("property_type") == "physical").alias("p")).filter("n > 0")
-    metrics = {"total": F.col("n"), "unique": F.col("u"), "uniqueness": F.round(F.col("u") / F.col("n"), 3), "per synset": F.round(F.col("n") / F.col("s"), 2), "physical per synset": F.round(F.col("p") / F.col("s"), 2)}
+def property_distribution(properties: DataFrame, enriched: DataFrame, top: int = 20) -> DataFrame:
+    """``metric, value`` of one run: totals, uniqueness, averages over all ``enriched`` synsets, share of every type and counts of the ``top`` properties. A missing type is unknown."""
+    one = properties.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("u"), F.count_if(F.col("property_type") == "physical").alias("p")).crossJoin(enriched.agg(F.count(F.lit(1)).alias("s")))  # one row each
+    share = lambda a, b, places: F.coalesce(F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), places), F.lit(0.0))
+    metrics = {"total": F.col("n"), "unique": F.col("u"), "uniqueness": share("u", "n", 3), "per synset": share("n", "s", 2), "physical per synset": share("p", "s", 2)}
     flat = one.select(F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in metrics]), F.array(*[c.cast("double") for c in metrics.values()]))).alias("metric", "value"))
-    types = properties.groupBy(F.coalesce("property_type", F.lit("none")).alias("t")).agg(F.count(F.lit(1)).alias("n")).crossJoin(one.select(F.col("n").alias("_all")))  # one row
-    return flat.unionByName(types.select(F.concat(F.lit("type "), "t").alias("metric"), F.round(100 * F.col("n") / F.col("_all"), 1).alias("value")))
+    types = properties.groupBy(F.coalesce("property_type", F.lit("unknown")).alias("t")).agg(F.count(F.lit(1)).alias("n")).crossJoin(one.select(F.col("n").alias("_all")))  # one row
+    often = top_properties(properties, top).select(F.concat(F.lit("property "), "property").alias("metric"), F.col("n").cast("double").alias("value"))
+    return flat.unionByName(types.select(F.concat(F.lit("type "), "t").alias("metric"), F.round(100 * F.col("n") / F.col("_all"), 1).alias("value"))).unionByName(often)
 
 
-def compare_distributions(a: DataFrame, b: DataFrame) -> DataFrame:
-    named = lambda df, name: property_distribution(df).withColumnRenamed("value", name)
+def compare_distributions(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``metric, a, b, delta`` of two runs, each (properties, enriched)."""
+    named = lambda run, name: property_distribution(*run).withColumnRenamed("value", name)
     return named(a, "a").join(named(b, "b"), "metric", "full_outer").withColumn("delta", F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 6))
 
 

@@ -19,10 +19,10 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
 
 
-#: Aggregates over the joined bags of a pair (``x`` and ``y`` salience per cluster, 0 where absent). Add an entry to add a scoring.
+#: Aggregates over the joined bags of a pair (``x`` and ``y`` salience per cluster, 0 where absent; ``has_x`` and ``has_y`` whether it is there). Add an entry to add a scoring.
 SCORINGS: dict[str, Callable[[Column, Column], Column]] = {
     "jaccard_salience": lambda x, y: _ratio(F.sum(F.least(x, y)), F.sum(F.greatest(x, y))),
-    "jaccard_raw": lambda x, y: _ratio(F.count_if((x > 0) & (y > 0)).cast("double"), F.count_if((x > 0) | (y > 0)).cast("double")),
+    "jaccard_raw": lambda x, y: _ratio(F.count_if(F.col("has_x") & F.col("has_y")).cast("double"), F.count(F.lit(1)).cast("double")),
     "cosine_salience": lambda x, y: _ratio(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))),
     "null": lambda x, y: _unit_hash(F.array_join(F.transform(F.array_sort(F.collect_set("cluster_id")), lambda c: c.cast("string")), ",")),
 }
@@ -35,10 +35,10 @@ def check_scorings(names: list[str]) -> None:
 
 
 def joined_bags(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """``pair_id, cluster_id, x, y`` for pairs (pair_id, synset_a, synset_b): the full outer join of the two bags."""
-    side = lambda s, x, y: pairs.select("pair_id", F.col(s).alias("synset_id")).join(bags, "synset_id").select("pair_id", "cluster_id", x.alias("x"), y.alias("y"))
+    """``pair_id, cluster_id, x, y, has_x, has_y`` for pairs (pair_id, synset_a, synset_b): the full outer join of the two bags. A cluster of salience 0 is in its bag."""
+    side = lambda s, x, y: pairs.select("pair_id", F.col(s).alias("synset_id")).join(bags, "synset_id").select("pair_id", "cluster_id", x.alias("x"), y.alias("y"), F.lit(s == "synset_a").alias("has_x"))
     both = side("synset_a", F.col("salience_sum"), F.lit(0.0)).union(side("synset_b", F.lit(0.0), F.col("salience_sum")))
-    return both.groupBy("pair_id", "cluster_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return both.groupBy("pair_id", "cluster_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.bool_or("has_x").alias("has_x"), F.bool_or(~F.col("has_x")).alias("has_y"))
 
 
 def score_pairs(pairs: DataFrame, words: DataFrame, bags: DataFrame, scorings: list[str] | None = None) -> DataFrame:
@@ -162,19 +162,34 @@ def select_eval_words(lemmas: DataFrame, synsets: DataFrame, curated: DataFrame,
     return named.withColumn("_k", F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("prop_count"), "lemma"))).filter(F.col("_k") <= quota).select("lemma", "pos", F.col("synset_id").alias("primary_synset_id"), "prop_count")
 
 
-def munch_apt(generated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(one row per word of ``human_ans``, number of blank rows)."""
+# The names that records give their files.
+GENERATION_FILE = "correct_answers/for_generation.csv"
+JUDGEMENT_FILE = "correct_answers/for_judgement.csv"
+
+
+def munch_apt(generated: DataFrame, source_file: str = GENERATION_FILE) -> tuple[DataFrame, DataFrame]:
+    """(one record per word of ``human_ans``, number of rows without a word) of rows (idx, s0, human_ans, genre).
+
+    A record is ``metaphor, target, paraphrase, label, genre, s0_idx, source_file``.
+    """
     words = F.filter(F.split(F.trim("human_ans"), r"\s+"), lambda w: w != "")
-    rows = generated.select("idx", extract_marked(F.col("s0")).alias("target"), "genre", F.explode(words).alias("paraphrase")).withColumn("label", F.lit("apt"))
-    return rows, generated.agg(F.count_if(F.coalesce(F.trim("human_ans"), F.lit("")) == "").alias("blank"))
+    rows = generated.select(F.col("s0").alias("metaphor"), extract_marked(F.col("s0")).alias("target"), F.explode(words).alias("paraphrase"), F.lit("apt").alias("label"), F.coalesce("genre", F.lit("")).alias("genre"), F.col("idx").alias("s0_idx"), F.lit(source_file).alias("source_file"))
+    return rows, generated.agg(F.count_if(F.coalesce(F.size(words), F.lit(0)) < 1).alias("blank"))
 
 
-def munch_inapt(judged: DataFrame, generated: DataFrame) -> DataFrame:
-    """The side labelled inapt (the second first) with the genre of its index, "" if unknown; the last generated row decides."""
-    inapt = lambda c: F.lower(F.trim(c)) == "inapt"
-    pick = F.when(inapt("s2_label"), F.col("s2")).when(inapt("s1_label"), F.col("s1"))
+def munch_inapt(judged: DataFrame, generated: DataFrame, source_file: str = JUDGEMENT_FILE) -> DataFrame:
+    """A record for each row (s0_idx, s0, s1, s1_label, s2, s2_label) with a side labelled inapt, the second first; rows with neither are skipped.
+
+    The paraphrase is the marked span of that side, null without one. The genre is that of the index in
+    ``generated`` (idx, genre, row_no), of which the last row decides; "" if unknown.
+    """
+    inapt = lambda c: F.coalesce(F.lower(F.trim(c)) == "inapt", F.lit(False))
+    sentence = F.when(inapt("s2_label"), F.col("s2")).otherwise(F.col("s1"))
     genres = generated.groupBy("idx").agg(F.max_by("genre", "row_no").alias("genre"))
-    return judged.withColumn("paraphrase", pick).filter("paraphrase is not null").join(genres, judged["s0_idx"] == genres["idx"], "left").select("s0_idx", "paraphrase", F.coalesce("genre", F.lit("")).alias("genre"), F.lit("inapt").alias("label"))
+    rows = judged.filter(inapt("s1_label") | inapt("s2_label")).withColumn("paraphrase_sentence", sentence).join(genres, judged["s0_idx"] == genres["idx"], "left")
+    return rows.select(
+        F.col("s0").alias("metaphor"), extract_marked(F.col("s0")).alias("target"), extract_marked(F.col("paraphrase_sentence")).alias("paraphrase"), "paraphrase_sentence", F.lit("inapt").alias("label"), F.coalesce("genre", F.lit("")).alias("genre"), "s0_idx", F.lit(source_file).alias("source_file")
+    )
 
 
 def filter_pairs(generated: DataFrame, existing: DataFrame, vocab: DataFrame) -> DataFrame:

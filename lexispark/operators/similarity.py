@@ -2,53 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
 from lexispark.functions.text import morph_variants, normalise_text
+from lexispark.operators import cells
+from lexispark.operators.cells import BLOCK, pairs_within
 from lexispark.operators.components import connected_components
 
-#: Vectors of a block; two blocks are compared in one task.
-BLOCK = 2048
 METHODS = ("exact", "morphological", "embedding")
 
 
-def unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(x, dtype=np.float32) for x in rows]).astype(np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(n == 0, 1, n)
-
-
 def similar_pairs(vectors: DataFrame, threshold: float = 0.8, id_col: str = "id", block: int = BLOCK) -> DataFrame:
-    """``a, b, similarity`` of every pair a < b with at least the threshold, exactly.
-
-    Rows go to blocks by hash; each pair of blocks is one task with one matrix product.
-    """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding").filter("id is not null and size(embedding) > 0")
-    blocks = max(1, ceil(rows.count() / block))
-    placed = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = placed.withColumn("_o", F.explode(others)).select("id", "embedding", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "_b")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["_i"].iat[0], pdf["_j"].iat[0]
-        x, y = pdf[pdf["_b"] == i], pdf[pdf["_b"] == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        s = unit(x["embedding"]) @ unit(y["embedding"]).T
-        p, q = np.nonzero(s >= threshold)
-        a, b = x["id"].to_numpy()[p], y["id"].to_numpy()[q]
-        keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": np.clip(s[p, q][keep], -1, 1)})
-
-    return dealt.groupBy("_i", "_j").applyInPandas(compare, "a long, b long, similarity double")
+    """``a, b, similarity`` of every pair a < b with at least the threshold, exactly; see :func:`lexispark.operators.cells.pairs_within`."""
+    return pairs_within(vectors, threshold, id_col, block)[0]
 
 
 def similar_pairs_lsh(vectors: DataFrame, threshold: float = 0.8, id_col: str = "id", tables: int = 8, bucket: float = 0.5, seed: int = 42) -> DataFrame:
@@ -83,19 +52,7 @@ def cluster_stats(clusters: DataFrame) -> DataFrame:
 
 def nearest(queries: DataFrame, base: DataFrame, block: int = BLOCK) -> DataFrame:
     """``query_id, base_id, score``: the entry of ``base`` (base_id, embedding) with the highest cosine for each of ``queries`` (query_id, embedding); lowest id on ties."""
-    nq, nb = max(1, ceil(queries.count() / block)), max(1, ceil(base.count() / block))
-    q = queries.select("query_id", "embedding").withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    b = base.select("base_id", F.col("embedding").alias("base_embedding")).withColumn("_b", F.pmod(F.xxhash64("base_id"), F.lit(nb)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"query_id": [], "base_id": [], "score": []})
-        y = y.sort_values("base_id")
-        s = np.round(unit(x["embedding"]) @ unit(y["base_embedding"]).T, 9)
-        k = s.argmax(axis=1)
-        return pd.DataFrame({"query_id": x["query_id"].to_numpy(), "base_id": y["base_id"].to_numpy()[k], "score": np.clip(s[np.arange(len(k)), k], -1, 1)})
-
-    found = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(best, "query_id long, base_id long, score double")
+    found, _ = cells.nearest(queries, base, 1, True, block)
     return found.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "base_id", "score")).alias("m")).select("query_id", "m.base_id", "m.score")
 
 
@@ -162,33 +119,13 @@ def snap_rejects(links: DataFrame, snapped: DataFrame, properties: DataFrame, vo
 def nearest_rows(train: DataFrame, query: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """``id, d, score, train_id, nth``: the k nearest of ``train`` (id, embedding, score) to each of ``query`` (id, embedding) by Euclidean distance, in order.
 
-    Both meet in pairs of blocks; each gives its k nearest, and these are merged. Ties go by training id.
+    Found by cells (:func:`lexispark.operators.cells.nearest`), compared to nine places; ties go by training id.
     """
-    nq, nt = max(1, ceil(query.count() / block)), max(1, ceil(train.count() / block))
-    q = query.select("id", "embedding").withColumn("_q", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
-    t = train.select(F.col("id").alias("train_id"), F.col("embedding").alias("train_embedding"), "score").withColumn("_t", F.pmod(F.xxhash64("train_id"), F.lit(nt)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    kind = query.schema["id"].dataType.simpleString()
-
-    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "d": [], "score": [], "train_id": []})
-        y = y.sort_values("train_id")
-        a, b = (np.stack([np.asarray(v, dtype=np.float64) for v in z]) for z in (x["embedding"], y["train_embedding"]))
-        d = np.sqrt(np.maximum(0, (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T))
-        d[d < 1e-7] = 0
-        if d.shape[1] > k:  # all that are as near as the k-th, of which the first k are kept
-            kth = np.partition(np.round(d, 9), k - 1, axis=1)[:, k - 1 : k]
-            i, j = np.nonzero(np.round(d, 9) <= kth)
-        else:
-            i, j = np.nonzero(np.ones_like(d, dtype=bool))
-        by = np.lexsort((j, np.round(d[i, j], 9), i))
-        i, j = i[by], j[by]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j = i[first], j[first]
-        return pd.DataFrame({"id": x["id"].to_numpy()[i], "d": d[i, j], "score": y["score"].to_numpy()[j], "train_id": y["train_id"].to_numpy()[j]})
-
-    found = q.groupBy("_q", "_t").cogroup(t.groupBy("_q", "_t")).applyInPandas(near, f"id {kind}, d double, score double, train_id {train.schema['id'].dataType.simpleString()}")
-    return found.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.round("d", 9), "train_id"))).filter(F.col("nth") <= k)
+    base = train.select(F.col("id").alias("base_id"), "embedding")
+    found, _ = cells.nearest(query.select(F.col("id").alias("query_id"), "embedding"), base, k, False, block)
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9), "base_id"))
+    near = found.withColumn("nth", nth).filter(F.col("nth") <= k).select(F.col("query_id").alias("id"), F.col("score").alias("d"), F.col("base_id").alias("train_id"), "nth")
+    return near.join(train.select(F.col("id").alias("train_id"), "score"), "train_id").select("id", "d", "score", "train_id", "nth")
 
 
 def mean_of_nearest(rows: DataFrame, k: int, weights: str = "distance") -> DataFrame:

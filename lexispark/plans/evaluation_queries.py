@@ -140,9 +140,9 @@ def rarity_filter(v):
     return T.rarity_filter(frequencies(v).select(F.col("lemma").alias("node_id"), "rarity"), ["rare"]).select("node_id")
 
 
-SCORES = """b AS MATERIALIZED (SELECT pair_id, class, cluster_id, sum(x) AS x, sum(y) AS y FROM (SELECT pair_id, class, cluster_id, salience_sum AS x, 0.0 AS y FROM lx_aptness_pairs JOIN lx_bags ON synset_id = word_a UNION ALL SELECT pair_id, class, cluster_id, 0.0, salience_sum FROM lx_aptness_pairs JOIN lx_bags ON synset_id = word_b)
+SCORES = """b AS MATERIALIZED (SELECT pair_id, class, cluster_id, sum(x) AS x, sum(y) AS y, bool_or(s = 1) AS hx, bool_or(s = 2) AS hy FROM (SELECT pair_id, class, cluster_id, salience_sum AS x, 0.0 AS y, 1 AS s FROM lx_aptness_pairs JOIN lx_bags ON synset_id = word_a UNION ALL SELECT pair_id, class, cluster_id, 0.0, salience_sum, 2 FROM lx_aptness_pairs JOIN lx_bags ON synset_id = word_b)
       WHERE pair_id IN (SELECT pair_id FROM lx_aptness_pairs WHERE word_a IN (SELECT synset_id FROM lx_bags) AND word_b IN (SELECT synset_id FROM lx_bags)) GROUP BY ALL),
-    sc AS MATERIALIZED (SELECT pair_id, round(sum(least(x, y)) / sum(greatest(x, y)), 6) AS jaccard_salience, round(count(*) FILTER (x > 0 AND y > 0) / count(*), 6) AS jaccard_raw, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) AS cosine_salience FROM b GROUP BY 1),
+    sc AS MATERIALIZED (SELECT pair_id, round(CASE WHEN sum(greatest(x, y)) > 0 THEN sum(least(x, y)) / sum(greatest(x, y)) ELSE 0 END, 6) AS jaccard_salience, round(count(*) FILTER (hx AND hy) / count(*), 6) AS jaccard_raw, round(CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 THEN sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) ELSE 0 END, 6) AS cosine_salience FROM b GROUP BY 1),
     st AS MATERIALIZED (SELECT p.pair_id, class, word_a, word_b, CASE WHEN a.synset_id IS NULL OR c.synset_id IS NULL THEN 'unresolved' WHEN sc.pair_id IS NULL THEN 'no_properties' ELSE 'scored' END AS status, jaccard_salience, jaccard_raw, cosine_salience
       FROM lx_aptness_pairs p LEFT JOIN lx_synsets a ON a.synset_id = word_a LEFT JOIN lx_synsets c ON c.synset_id = word_b LEFT JOIN sc ON sc.pair_id = p.pair_id)"""
 
@@ -250,16 +250,26 @@ def select_eval_words(v):
     return E.select_eval_words(v["lx_lexicon"], v["lx_part_synsets"], v["lx_curated"])
 
 
-@query("SELECT idx, human_ans AS target, genre, unnest(regexp_extract_all(human_ans, '[^ \\t\\n\\f\\r]+')) AS paraphrase, 'apt' AS label FROM lx_marked")
+@query("SELECT s0 AS metaphor, human_ans AS target, unnest(regexp_extract_all(human_ans, '[^ \\t\\n\\f\\r]+')) AS paraphrase, 'apt' AS label, coalesce(genre, '') AS genre, idx AS s0_idx, 'correct_answers/for_generation.csv' AS source_file FROM lx_marked")
 def munch_apt(v):
     return E.munch_apt(v["lx_marked"])[0]
 
 
-@query("""SELECT turn AS s0_idx, CASE WHEN role = 'user' THEN text ELSE 'first of ' || conv_id END AS paraphrase, coalesce(g, '') AS genre, 'inapt' AS label
-    FROM conversations LEFT JOIN (SELECT idx // 3 AS i, arg_max(coalesce(genre, ''), idx) AS g FROM lx_marked GROUP BY 1) ON i = turn WHERE role = 'user' OR turn % 3 = 1""")
+SAID = "CASE WHEN turn % 2 = 0 THEN 'so <b>' || text || '</b> it is' ELSE text END"
+MARKED = "CASE WHEN regexp_matches({0}, '<b>.*?</b>', 's') THEN regexp_extract({0}, '<b>(.*?)</b>', 1, 's') END"
+
+
+@query(f"""WITH c AS (SELECT turn, conv_id, role, {SAID} AS said, 'then <b>' || role || '</b> says' AS s0 FROM conversations),
+    p AS (SELECT turn AS s0_idx, s0, CASE WHEN role = 'user' THEN said ELSE '<b>first</b> of ' || conv_id END AS s FROM c WHERE role = 'user' OR turn % 3 = 1)
+    SELECT s0 AS metaphor, {MARKED.format('s0')} AS target, {MARKED.format('s')} AS paraphrase, s AS paraphrase_sentence, 'inapt' AS label, coalesce(g, '') AS genre, s0_idx, 'correct_answers/for_judgement.csv' AS source_file
+    FROM p LEFT JOIN (SELECT idx // 3 AS i, arg_max(coalesce(genre, ''), idx) AS g FROM lx_marked GROUP BY 1) ON i = s0_idx""")
 def munch_inapt(v):
     c = v["conversations"]
-    judged = c.select(F.col("turn").alias("s0_idx"), F.concat(F.lit("first of "), F.col("conv_id").cast("string")).alias("s1"), F.when(F.col("turn") % 3 == 1, "INAPT").otherwise("apt").alias("s1_label"), F.col("text").alias("s2"), F.when(F.col("role") == "user", " Inapt ").otherwise("apt").alias("s2_label"))
+    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("so <b>"), "text", F.lit("</b> it is"))).otherwise(F.col("text"))
+    judged = c.select(
+        F.col("turn").alias("s0_idx"), F.concat(F.lit("then <b>"), "role", F.lit("</b> says")).alias("s0"), F.concat(F.lit("<b>first</b> of "), F.col("conv_id").cast("string")).alias("s1"),
+        F.when(F.col("turn") % 3 == 1, "INAPT").otherwise("apt").alias("s1_label"), said.alias("s2"), F.when(F.col("role") == "user", " Inapt ").otherwise("apt").alias("s2_label"),
+    )
     marked = v["lx_marked"].select(F.floor(F.col("idx") / 3).alias("idx"), F.coalesce("genre", F.lit("")).alias("genre"), F.col("idx").alias("row_no"))  # three rows an index
     return E.munch_inapt(judged, marked)
 
@@ -311,23 +321,23 @@ def trial_metrics(v):
     return metrics(v).select("trial_id", "class", F.round("hit_rate", 6).alias("hit_rate"), "survived")
 
 
-@query(f"WITH {METRICS} SELECT class, count(*) AS n, (SELECT trial_id FROM tm WHERE valid ORDER BY mrr DESC, trial_id DESC LIMIT 1) AS best_trial, round((SELECT max(mrr) FROM tm WHERE valid) - 0.3, 6) AS improvement FROM tm GROUP BY 1")
+@query(f"WITH {METRICS} SELECT class, count(*) AS n, (SELECT trial_id FROM tm ORDER BY mrr DESC, trial_id DESC LIMIT 1) AS best_trial, round(((SELECT max(mrr) FROM tm) - 0.3) / 0.3, 4) AS improvement, (SELECT count(DISTINCT pair) FROM lx_trial_pairs) AS unique_pairs, round((SELECT count(*) / count(DISTINCT trial_id) FROM lx_trial_pairs), 1) AS mean_subset FROM tm GROUP BY 1")
 def trial_summary(v):
-    return P.trial_summary(metrics(v), 0.3).withColumn("improvement", F.round("improvement", 6))
+    return P.trial_summary(metrics(v), 0.3, v["lx_trial_pairs"].select("trial_id", F.col("pair").alias("pair_id")))
 
 
 @query("""WITH a AS (SELECT pair, avg(reciprocal_rank) AS r FROM lx_trial_pairs WHERE trial_id IN (SELECT trial_id FROM lx_trials WHERE valid AND mrr > 0) GROUP BY 1)
-    SELECT pair, round(r, 6) AS avg_rr, 'easiest' AS bucket FROM (SELECT * FROM a WHERE r > 0 ORDER BY round(r, 9) DESC, pair LIMIT 10) UNION ALL SELECT pair, round(r, 6), 'hardest' FROM (SELECT * FROM a WHERE r > 0 ORDER BY round(r, 9), pair LIMIT 10) UNION ALL SELECT pair, r, 'never found' FROM a WHERE r = 0""")
+    SELECT pair, round(r, 6) AS avg_rr, 'easiest' AS bucket FROM (SELECT * FROM a ORDER BY round(r, 9) DESC, pair LIMIT 10) UNION ALL SELECT pair, round(r, 6), 'hardest' FROM (SELECT * FROM a ORDER BY round(r, 9), pair LIMIT 10) UNION ALL SELECT pair, r, 'never found' FROM a WHERE r = 0""")
 def pair_difficulty(v):
     return P.pair_difficulty(v["lx_trial_pairs"], v["lx_trials"]).withColumn("avg_rr", F.round("avg_rr", 6))
 
 
-@query("SELECT tier, round(avg(m), 6) AS mrr FROM (SELECT trial_id, tier, avg(reciprocal_rank) AS m FROM lx_trial_pairs GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT tier, round(avg(m), 6) AS mrr FROM (SELECT trial_id, tier, avg(reciprocal_rank) AS m FROM lx_trial_pairs WHERE trial_id IN (SELECT trial_id FROM lx_trials WHERE valid AND mrr > 0) GROUP BY 1, 2) GROUP BY 1")
 def tier_mrr(v):
-    return P.tier_mrr(v["lx_trial_pairs"]).withColumn("mrr", F.round("mrr", 6))
+    return P.tier_mrr(v["lx_trial_pairs"], v["lx_trials"]).withColumn("mrr", F.round("mrr", 6))
 
 
-@query("WITH c AS (SELECT 'hits' AS metric, round(corr(mrr, hits), 3) AS r FROM lx_trials UNION ALL SELECT 'n', round(corr(mrr, n), 3) FROM lx_trials) SELECT metric, r, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' ELSE 'weak' END || CASE WHEN r < 0 THEN ' negative' ELSE ' positive' END AS label FROM c")
+@query("WITH c AS (SELECT 'hits' AS metric, round(corr(mrr, hits), 3) AS r FROM lx_trials WHERE valid AND mrr > 0 UNION ALL SELECT 'n', round(corr(mrr, n), 3) FROM lx_trials WHERE valid AND mrr > 0) SELECT metric, r, CASE WHEN abs(r) >= 0.7 THEN 'strong' WHEN abs(r) >= 0.4 THEN 'moderate' ELSE 'weak' END || CASE WHEN r < 0 THEN ' negative' ELSE ' positive' END AS label FROM c")
 def metric_correlation(v):
     return P.metric_correlation(v["lx_trials"], ["hits", "n"])
 

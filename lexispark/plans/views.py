@@ -44,7 +44,7 @@ VIEWS: dict[str, str] = {
     "lx_ratings": "SELECT CAST(vec_id AS STRING) AS synset_id, 1 + 4.0 * label / (SELECT max(label) FROM embeddings) AS score, 'brysbaert' AS source FROM embeddings WHERE vec_id % 2 = 0",
     "lx_pairs": "SELECT CAST(doc_id AS STRING) AS word_b, lag(CAST(doc_id AS STRING)) OVER (PARTITION BY quality ORDER BY doc_id) AS word_a, CASE WHEN quality = 1 THEN 'apt' ELSE 'inapt' END AS class, doc_id FROM labels",
     "lx_aptness_pairs": "SELECT word_a || ':' || word_b AS pair_id, class, word_a, word_b FROM lx_pairs WHERE word_a IS NOT NULL",
-    "lx_bags": "SELECT CAST(doc_id AS STRING) AS synset_id, CAST(length(tok) * 100 + ascii(tok) AS BIGINT) AS cluster_id, CAST(sum(n) AS DOUBLE) AS salience_sum FROM lx_doc_tokens GROUP BY doc_id, CAST(length(tok) * 100 + ascii(tok) AS BIGINT)",
+    "lx_bags": "SELECT CAST(doc_id AS STRING) AS synset_id, CAST(length(tok) * 100 + ascii(tok) AS BIGINT) AS cluster_id, CAST(sum(n) - 1 AS DOUBLE) AS salience_sum FROM lx_doc_tokens GROUP BY doc_id, CAST(length(tok) * 100 + ascii(tok) AS BIGINT)",
     "lx_gold": f"SELECT CAST(item_id AS STRING) AS pair_id, item_id, {TOKENS}[{{first}}] AS source, {TOKENS}[{{last}}] AS target, CASE item_id % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'medium' ELSE 'weak' END AS tier, CASE WHEN item_id % 7 = 0 THEN 'archetypal' END AS register FROM benchmark",
     "lx_trials": "SELECT CAST(user_id AS STRING) || '-' || CAST(day AS STRING) AS trial_id, CAST(user_id AS STRING) AS prompt_name, generation, mrr, hits, n, parent_mrr, valid FROM (SELECT user_id, day, dense_rank() OVER (PARTITION BY user_id ORDER BY day) - 1 AS generation, mrr, hits, n, lag(mrr) OVER (PARTITION BY user_id ORDER BY day) AS parent_mrr, n % 11 <> 0 AS valid FROM (SELECT user_id, CAST(ts AS DATE) AS day, round(avg(CASE WHEN event_type = 'error' THEN 0 ELSE value END) / 100, 6) AS mrr, sum(CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END) AS hits, count(*) AS n FROM events GROUP BY user_id, CAST(ts AS DATE)) t) u",
     "lx_trial_pairs": "SELECT CAST(user_id AS STRING) || '-' || CAST(CAST(ts AS DATE) AS STRING) AS trial_id, CAST(user_id AS STRING) AS prompt_name, event_id, event_type AS pair, CASE event_type WHEN 'click' THEN 'strong' WHEN 'view' THEN 'medium' ELSE 'weak' END AS tier, round(1 / (1 + floor(value)), 6) AS reciprocal_rank FROM events",

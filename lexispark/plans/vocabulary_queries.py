@@ -54,9 +54,9 @@ def populate_properties(v):
     return E.populate_properties(properties(v), vocabulary(v))
 
 
-@query("SELECT count(*) AS total, count(DISTINCT text) AS unique_properties, count(DISTINCT synset_id) AS synsets, round(count(*) / count(DISTINCT synset_id), 2) AS average FROM lx_properties")
+@query("SELECT count(*) AS total, count(DISTINCT text) AS unique_properties, (SELECT count(*) FROM lx_synsets) AS synsets, round(count(*) / (SELECT count(*) FROM lx_synsets), 2) AS average FROM lx_properties")
 def enrichment_stats(v):
-    return E.enrichment_stats(v["lx_properties"])
+    return E.enrichment_stats(v["lx_properties"], v["lx_synsets"])
 
 
 @query("SELECT text AS property, count(*) AS n FROM lx_properties GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
@@ -65,22 +65,23 @@ def top_properties(v):
 
 
 DIST = """SELECT 'total' AS metric, count(*)::DOUBLE AS value FROM lx_properties UNION ALL SELECT 'unique', count(DISTINCT text) FROM lx_properties UNION ALL SELECT 'uniqueness', round(count(DISTINCT text) / count(*), 3) FROM lx_properties
-    UNION ALL SELECT 'per synset', round(count(*) / count(DISTINCT synset_id), 2) FROM lx_properties UNION ALL SELECT 'physical per synset', round(count(*) FILTER (property_type = 'physical') / count(DISTINCT synset_id), 2) FROM lx_properties
-    UNION ALL SELECT 'type ' || coalesce(property_type, 'none'), round(100 * count(*) / (SELECT count(*) FROM lx_properties), 1) FROM lx_properties GROUP BY property_type"""
+    UNION ALL SELECT 'per synset', round(count(*) / (SELECT count(*) FROM lx_synsets), 2) FROM lx_properties UNION ALL SELECT 'physical per synset', round(count(*) FILTER (property_type = 'physical') / (SELECT count(*) FROM lx_synsets), 2) FROM lx_properties
+    UNION ALL SELECT 'type ' || coalesce(property_type, 'unknown'), round(100 * count(*) / (SELECT count(*) FROM lx_properties), 1) FROM lx_properties GROUP BY property_type
+    UNION ALL SELECT 'property ' || text, n FROM (SELECT text, count(*) AS n FROM lx_properties GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)"""
 
 
 @query(DIST)
 def property_distribution(v):
-    return E.property_distribution(v["lx_properties"])
+    return E.property_distribution(v["lx_properties"], v["lx_synsets"])
 
 
 SPOKEN = "(SELECT CAST(turn AS STRING) AS synset_id, role AS text, CASE WHEN turn % 2 = 0 THEN 'physical' END AS property_type FROM conversations)"
 
 
-@query(f"SELECT metric, a.value AS a, b.value AS b, round(coalesce(b.value, 0) - coalesce(a.value, 0), 6) AS delta FROM ({DIST}) a FULL JOIN ({DIST.replace('lx_properties', SPOKEN)}) b USING (metric)")
+@query(f"SELECT metric, a.value AS a, b.value AS b, round(coalesce(b.value, 0) - coalesce(a.value, 0), 6) AS delta FROM ({DIST}) a FULL JOIN ({DIST.replace('lx_properties', SPOKEN).replace('lx_synsets', 'conversations')}) b USING (metric)")
 def compare_distributions(v):
     spoken = v["conversations"].select(F.col("turn").cast("string").alias("synset_id"), F.col("role").alias("text"), F.when(F.col("turn") % 2 == 0, "physical").alias("property_type"))
-    return E.compare_distributions(v["lx_properties"], spoken)
+    return E.compare_distributions((v["lx_properties"], v["lx_synsets"]), (spoken, v["conversations"]))
 
 
 AUDIT = "SELECT s.synset_id, pos, coalesce(k, 0) AS n_physical, coalesce(k, 0) < CASE pos WHEN 'n' THEN 4 ELSE 2 END AS flagged FROM lx_synsets s LEFT JOIN (SELECT synset_id, count(*) AS k FROM lx_properties WHERE property_type = 'physical' GROUP BY 1) p ON p.synset_id = s.synset_id"

@@ -50,6 +50,8 @@ FRAGMENT_BYTES, COUNT_FRAGMENTS = 16 << 20, 4
 TASK_BYTES = 64 << 20
 #: Parts to which the members of a list are dealt, and partners of a member in the rounds before all open pairs are taken.
 SALTS, ROUNDS = 32, (16, 128)
+#: Up to so many wanted classes, a few numbers each, are sent to the tasks that read the texts.
+SENT = 1 << 18
 #: Pairs of a cell in which segments are compared.
 CELL_PAIRS = 2000
 
@@ -281,11 +283,13 @@ def overlaps(pairs: DataFrame, texts: DataFrame, classes: DataFrame, hashing: Ha
     Classes are dealt to blocks and pairs to cells of two blocks, so a class goes to no more cells
     than there are blocks, whatever the number of its partners, and a cell is bounded too.
     """
-    blocks = max(4, ceil((pairs.count() / CELL_PAIRS * 2) ** 0.5))
+    amount = pairs.count()
+    blocks = max(4, ceil((amount / CELL_PAIRS * 2) ** 0.5))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     placed = materialize(pairs.select("a", "b", (F.least(place("a"), place("b")) * blocks + F.greatest(place("a"), place("b"))).alias("cell")), "cells")
     members = placed.select(F.col("cell").alias("of_cell"), F.col("a").alias("key")).union(placed.select("cell", "b")).distinct()
     wanted = members.join(classes, "key").groupBy(F.col("_first").alias("_id"), "key").agg(F.collect_set("of_cell").alias("cells"))
+    wanted = F.broadcast(wanted) if 2 * amount <= SENT else wanted  # else the texts are shuffled by id
     wide = placed.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(COUNT_FRAGMENTS - 1))))
     return wide.groupBy("cell", "frag").cogroup(segments(texts, wanted, hashing).groupBy("of_cell", "frag")).applyInPandas(partial_overlaps, PARTIAL)
 

@@ -1,6 +1,7 @@
 """Metric cells: vectors are grouped around pivots, and the triangle inequality says which cells need not meet.
 
-Pivots are rows of the table itself, chosen by hash, at most ``MOST_PIVOTS``; every task gets them. A
+Pivots are rows of the table itself, spread out among a sample by hash, at most ``MOST_PIVOTS``; every task
+gets them. A
 vector belongs to the cell of its nearest pivot. Cells of more than ``block`` rows are worked on in parts,
 so a place where many vectors lie is spread over tasks.
 """
@@ -19,6 +20,8 @@ from lexispark.functions.lineage import materialize
 
 #: Rows of a part of a cell, rows of a cell on average, and pivots at most.
 BLOCK, CELL, MOST_PIVOTS = 2048, 1024, 4096
+#: Rows of the sample for each pivot wanted.
+SAMPLE = 4
 #: Room for rounding in bounds, for distances of about 1.
 SLACK = 1e-4
 
@@ -56,8 +59,9 @@ class Cells:
 def cells_of(base: DataFrame, id_col: str, unit: bool, cell: int = CELL) -> tuple[Cells, DataFrame]:
     """The cells of ``base`` and its rows with ``_cell``, a written table."""
     n = base.count()
-    chosen = base.orderBy(F.xxhash64(id_col, F.lit("pivot")), id_col).limit(max(1, min(MOST_PIVOTS, ceil(n / cell)))).select("embedding").toPandas()
-    cells = Cells(np.unique(stacked(chosen["embedding"], unit), axis=0) if n else np.zeros((0, 0)), unit, np.zeros(0), np.zeros(0))
+    wanted = max(1, min(MOST_PIVOTS, ceil(n / cell)))
+    sample = base.orderBy(F.xxhash64(id_col, F.lit("pivot")), id_col).limit(wanted if wanted == 1 else SAMPLE * wanted).select("embedding").toPandas()
+    cells = Cells(spread(np.unique(stacked(sample["embedding"], unit), axis=0), wanted) if n else np.zeros((0, 0)), unit, np.zeros(0), np.zeros(0))
     if not n:
         return cells, base.withColumn("_cell", F.lit(0))
     placed = materialize(with_columns(base, "_cell int, _reach double", cells, lambda c, x: dict(zip(("_cell", "_reach"), nearest_of(c, x), strict=True))), "cells")
@@ -67,6 +71,16 @@ def cells_of(base: DataFrame, id_col: str, unit: bool, cell: int = CELL) -> tupl
     return cells, placed.drop("_reach")
 
 
+def spread(points: np.ndarray, wanted: int) -> np.ndarray:
+    """Up to ``wanted`` of the points, each the farthest from those before it, so that the cells' radii are small."""
+    taken = [0]
+    gap = distances(points, points[:1])[:, 0]
+    while len(taken) < min(wanted, len(points)):
+        taken.append(int(gap.argmax()))
+        gap = np.minimum(gap, distances(points, points[taken[-1:]])[:, 0])
+    return points[taken]
+
+
 def nearest_of(cells: Cells, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own, d = cells.home(x)
     return own.astype(np.int32), d[np.arange(len(x)), own]
@@ -194,7 +208,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, unit: bool, block: int
     found = materialize(met(own), "nearest")
     if len(cells.pivots) == 1:
         return found, own.select("query_id", "_to")
-    kth = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.lit(sign) * F.col("score"))), k, 1)[0].alias("_kth"))  # k scores from each part of one cell
+    kth = found.groupBy("query_id").agg(F.get(F.array_sort(F.collect_list(F.lit(sign) * F.col("score"))), k - 1).alias("_kth"))  # at least k scores from each part of one cell
     bounded = own.join(kth, "query_id", "left")
 
     def others(c: Cells, x: np.ndarray, kth: np.ndarray) -> dict:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
@@ -29,10 +32,58 @@ def compound_embedding(texts: DataFrame, vectors: DataFrame, text_col: str = "te
     return mean_vectors(parts.join(vectors, "lemma"), "text")
 
 
+def added_up(keys: pa.Array, sums: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct keys and, for each, the rows of ``sums`` and ``counts`` added up."""
+    coded = keys.dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    start = np.flatnonzero(np.diff(code[order], prepend=-1))
+    return coded.dictionary.take(pa.array(code[order[start]])), np.add.reduceat(sums[order], start), np.add.reduceat(counts[order], start)
+
+
 def mean_vectors(rows: DataFrame, key: str) -> DataFrame:
-    """``key, embedding``: the element-wise mean of ``embedding`` per key."""
-    flat = rows.select(key, F.posexplode("embedding").alias("_k", "_x")).groupBy(key, "_k").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return flat.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_m"))), lambda s: s["_m"].cast("float")).alias("embedding"))
+    """``key, embedding``: the element-wise mean of ``embedding`` per key, which has one length per key.
+
+    Map tasks add up the vectors of a key batch by batch, so a key sends a vector for each batch, not a
+    row for each element. Null elements and vectors are left out of the means; rows without key too.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    partial = f"`{key}` {kind}, size int, sums array<double>, counts array<long>"
+
+    def listed(m: np.ndarray, t: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.reshape(-1), type=t))
+
+    def combine(b: pa.RecordBatch, sums: Callable[[pa.RecordBatch, int], np.ndarray], counts: Callable[[pa.RecordBatch, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        size = b.column("size").to_numpy()
+        for n in np.unique(size).tolist():  # mostly one length
+            some = b.filter(pa.array(size == n))
+            keys, s, c = added_up(some.column(0), sums(some, n), counts(some, n))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(keys), n, dtype=np.int32)), listed(s, pa.float64()), listed(c, pa.int64())], names=[key, "size", "sums", "counts"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = lambda b, n: np.asarray(b.column(2).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(-1, n)
+        for b in batches:
+            yield from combine(b, lambda b, n: np.nan_to_num(flat(b, n), nan=0.0), lambda b, n: (~np.isnan(flat(b, n))).astype(np.int64))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = lambda c: lambda b, n: b.column(c).flatten().to_numpy().reshape(-1, n)
+        held = None  # the last key of a batch may go on in the next
+        for b in batches:
+            held = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            if held.num_rows and held.column(0)[0] != held.column(0)[-1]:
+                last = held.num_rows - 1
+                ahead = np.flatnonzero(np.asarray(pc.not_equal(held.column(0), held.column(0)[last])))[-1] + 1
+                yield from combine(held.slice(0, ahead), flat("sums"), flat("counts"))
+                held = held.slice(ahead)
+            elif held.num_rows > 1:
+                held = pa.Table.from_batches(list(combine(held, flat("sums"), flat("counts")))).combine_chunks().to_batches()[0]
+        if held is not None and held.num_rows:
+            yield from combine(held, flat("sums"), flat("counts"))
+
+    sized = rows.filter(F.col(key).isNotNull() & (F.size("embedding") > 0)).select(key, F.size("embedding").alias("size"), "embedding")
+    sent = sized.mapInArrow(first, partial).repartition(key).sortWithinPartitions(key)
+    mean = F.transform(F.arrays_zip("sums", "counts"), lambda z: (z["sums"] / F.nullif(z["counts"], F.lit(0))).cast("float"))
+    return sent.mapInArrow(again, partial).select(key, mean.alias("embedding"))
 
 
 def curate_properties(properties: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexispark.functions.lineage import materialize
 from lexispark.functions.scores import classify_domain
 from lexispark.functions.text import extract_marked
+from lexispark.operators.quantiles import exact_quantiles
 
 
 def _unit_hash(key: Column) -> Column:
@@ -72,11 +74,11 @@ def sweep(scored: DataFrame, variations: list[tuple[str, float]]) -> DataFrame:
     gaps = [F.count_if((F.col("class") == c) & (F.col("status") == s)).alias(f"{s}_{c}") for c in ("apt", "inapt") for s in ("unresolved", "no_properties")]
     if good:
         long = scored.select("class", "status", F.explode(F.array(*[F.struct(F.lit(n).alias("scoring"), F.col(n).alias("score")) for n in names])).alias("s")).select("class", "status", "s.*")
-        inapt = long.filter("class = 'inapt' and status = 'scored'").groupBy("scoring").agg(*[F.percentile("score", F.lit(p / 100)).alias(f"p{k}") for k, (_, p) in enumerate(good)])
-        limits = inapt.select("scoring", F.explode(F.array(*[F.struct(F.lit(s).alias("of"), F.lit(float(p)).alias("percentile"), F.col(f"p{k}").alias("threshold")) for k, (s, p) in enumerate(good)])).alias("t")).filter("t.of = scoring").select("scoring", "t.percentile", "t.threshold")
-        spark = scored.sparkSession
-        asked = spark.createDataFrame([(s, float(p)) for s, p in good], "scoring string, percentile double")
-        with_limit = long.join(F.broadcast(asked.join(limits, ["scoring", "percentile"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))), "scoring")  # a row per variation
+        long = materialize(long, "scores")
+        inapt = long.filter("class = 'inapt' and status = 'scored'")
+        limits = exact_quantiles(inapt, [(s, p / 100) for s, p in good])
+        asked = scored.sparkSession.createDataFrame([(s, float(p), limits.get((s, p / 100), 0.0)) for s, p in good], "scoring string, percentile double, threshold double")
+        with_limit = long.join(F.broadcast(asked), "scoring")  # a row per variation
         mean = lambda c: F.avg(F.when(F.col("class") == c, F.col("score")))
         rate = lambda c: F.count_if((F.col("class") == c) & (F.col("score") > F.col("threshold"))) / F.nullif(F.count_if((F.col("class") == c) & (F.col("status") == "scored")), F.lit(0))
         out = with_limit.groupBy("scoring", "percentile", "threshold").agg(

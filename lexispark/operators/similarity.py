@@ -28,7 +28,7 @@ def similar_pairs_lsh(vectors: DataFrame, threshold: float = 0.8, id_col: str =
     """
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     rows = vectors.filter(F.size("embedding") > 0).select(F.col(id_col).cast("long").alias("id"), "embedding", norm.alias("_n")).filter("id is not null and _n > 0")
-    units = rows.select("id", array_to_vector(F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("_n")))).alias("v"))
+    units = rows.select("id", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0))).alias("v"))
     if units.isEmpty():
         return units.sparkSession.createDataFrame([], "a long, b long, similarity double")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=seed).fit(units)

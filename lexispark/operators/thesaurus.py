@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lexispark.functions.lineage import materialize
+
 RELATIONS = {"1": "hypernym", "2": "hyponym", "11": "similar"}
 TIERS = ("synonym", "hyponym", "hypernym", "similar")
 DEFAULT_RARITY = "unusual"
@@ -61,16 +67,57 @@ def lookup(words: DataFrame, lemmas: DataFrame, synsets: DataFrame, relations: D
     return attach_rarity(nested, frequencies)
 
 
-def autocomplete(prefixes: DataFrame, lemmas: DataFrame, synsets: DataFrame, frequencies: DataFrame, curated: DataFrame, limit: int = 10, shortest: int = 2) -> DataFrame:
-    """``prefix, word, definition, sense_count, rarity``: the first words with each literal prefix (prefix), whatever the case.
+def first_with_prefix(prefixes: DataFrame, words: DataFrame, limit: int) -> DataFrame:
+    """``prefix, lemma``: for each distinct text of ``prefixes`` (prefix, _p) the first ``limit`` of ``words`` (lemma, _low) whose _low begins with _p, by _low, then lemma.
 
-    Every lemma meets the prefixes on its own leading substrings, so no pair is tested that does not match.
+    The words are sorted into ranges, of which the first and last word are known. Words with a prefix
+    stand together, so a prefix goes to the range where they begin and reads on only until ranges that lie
+    wholly within have enough of them.
     """
+    spark = words.sparkSession
+    order = ["_low", "lemma"]
+    ranged = materialize(words.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order), "sorted-words")
+    bounds = sorted(((r.a.encode(), r.b.encode(), r["_part"], r.n) for r in ranged.groupBy("_part").agg(F.min("_low").alias("a"), F.max("_low").alias("b"), F.count(F.lit(1)).alias("n")).collect()), key=lambda r: r[:2])  # a row a range
+    shared = spark.sparkContext.broadcast(bounds)
+    lasts = spark.sparkContext.broadcast([b for _, b, _, _ in bounds])
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for p in f["_p"]:
+                key, had, parts = p.encode(), 0, []
+                for a, b, part, n in shared.value[bisect_left(lasts.value, key) :]:
+                    if had >= limit or not (a.startswith(key) or a < key):
+                        break
+                    parts.append(part)
+                    had += n if a.startswith(key) and b.startswith(key) else 0
+                out.append(parts)
+            yield f.assign(_parts=out)
+
+    def look(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        lows = [x.encode() for x in held["_low"]]
+        by = sorted(range(len(lows)), key=lambda k: (lows[k], held["lemma"].iat[k].encode()))
+        lows, lemmas = [lows[k] for k in by], [held["lemma"].iat[k] for k in by]
+        found = []
+        for prefix, p in zip(asked["prefix"], asked["_p"], strict=True):
+            at = bisect_left(lows, p.encode())
+            for k in range(at, min(at + limit, len(lows))):
+                if not lows[k].startswith(p.encode()):
+                    break
+                found.append((prefix, lows[k].decode(), lemmas[k]))
+        return pd.DataFrame(found, columns=["prefix", "_low", "lemma"])
+
+    sent = prefixes.select("prefix", "_p").mapInPandas(places, "prefix string, _p string, _parts array<int>").withColumn("_part", F.explode("_parts")).drop("_parts")
+    hits = sent.groupBy("_part").cogroup(ranged.groupBy("_part")).applyInPandas(look, "prefix string, _low string, lemma string")
+    first = Window.partitionBy("prefix").orderBy(*order)
+    return hits.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= limit).select("prefix", "lemma")
+
+
+def autocomplete(prefixes: DataFrame, lemmas: DataFrame, synsets: DataFrame, frequencies: DataFrame, curated: DataFrame, limit: int = 10, shortest: int = 2) -> DataFrame:
+    """``prefix, word, definition, sense_count, rarity``: the first words with each literal prefix (prefix), alphabetical, whatever the case; see :func:`first_with_prefix`."""
     asked = prefixes.select("prefix", F.lower("prefix").alias("_p")).filter(F.length("prefix") >= shortest).distinct()
-    longest = asked.agg(F.max(F.length("_p"))).first()[0] or 0
-    words = lemmas.select("lemma").distinct().withColumn("_p", F.explode(F.transform(F.sequence(F.lit(min(shortest, longest)), F.lit(max(longest, shortest))), lambda n: F.when(n <= F.length("lemma"), F.lower(F.substring(F.col("lemma"), F.lit(1), n)))))).filter("_p is not null")
-    hits = words.join(asked, "_p").select("prefix", "lemma")
-    top = hits.withColumn("_k", F.row_number().over(Window.partitionBy("prefix").orderBy("lemma"))).filter(F.col("_k") <= min(limit, 50)).drop("_k")
+    words = lemmas.filter("lemma is not null").select("lemma", F.lower("lemma").alias("_low")).distinct()
+    top = first_with_prefix(asked, words, min(limit, 50))
     has = curated.select("synset_id").distinct().withColumn("_has", F.lit(0))
     sense = lemmas.join(top.select("lemma").distinct(), "lemma", "left_semi").join(synsets, "synset_id").join(has, "synset_id", "left").groupBy("lemma").agg(F.min(F.struct(F.coalesce("_has", F.lit(1)).alias("h"), "synset_id", "definition")).alias("s"), F.countDistinct("synset_id").alias("sense_count"))
     return attach_rarity(top.join(sense, "lemma").select("prefix", F.col("lemma").alias("word"), "s.definition", "sense_count"), frequencies)

@@ -64,12 +64,29 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return low.union(low.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def antonym_pairs(relations: DataFrame, vocab: DataFrame, relation: str = "60") -> DataFrame:
-    """``a, b`` of vocabulary entries under a common attribute, both ways. Entries outside the vocabulary go before the self-join."""
+#: Members of an attribute that meet in one cell.
+HUB = 512
+
+
+def antonym_pairs(relations: DataFrame, vocab: DataFrame, relation: str = "60", hub: int = HUB) -> DataFrame:
+    """``a, b`` of vocabulary entries under a common attribute, both ways. Entries outside the vocabulary go before the join."""
     known = vocab.select(F.col("synset_id").alias("source_synset"), "vocab_id")
     members = relations.filter(F.col("relation_type") == relation).join(known, "source_synset").select("target_synset", "vocab_id").distinct()
-    x, y = members.withColumnRenamed("vocab_id", "a"), members.withColumnRenamed("vocab_id", "b")
-    return both_ways(x.join(y, "target_synset").filter("a < b"))
+    return both_ways(pairs_of_groups(materialize(members, "members"), "target_synset", "vocab_id", hub))
+
+
+def pairs_of_groups(members: DataFrame, group: str, member: str, hub: int = HUB) -> DataFrame:
+    """``a, b`` of every unordered pair of distinct members of a group, once for each group.
+
+    Members of a group are dealt to parts of about ``hub``; two parts meet in one cell of a triangular grid,
+    so no task has more than a cell at a time, however large a group is.
+    """
+    parts = members.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / hub)).cast("int").alias("_parts"))
+    dealt = members.join(parts, group).withColumn("_part", F.pmod(F.xxhash64(member), "_parts").cast("int"))
+    left = dealt.select(group, F.col(member).alias("a"), F.col("_part").alias("_i"), F.explode(F.sequence("_part", F.col("_parts") - 1)).alias("_j"))
+    right = dealt.select(group, F.col(member).alias("b"), F.explode(F.sequence(F.lit(0), "_part")).alias("_i"), F.col("_part").alias("_j"))
+    met = left.join(right, [group, "_i", "_j"]).filter((F.col("_i") < F.col("_j")) | (F.col("a") < F.col("b")))
+    return met.select("a", "b")
 
 
 def cluster_antonyms(antonyms: DataFrame, clusters: DataFrame) -> DataFrame:

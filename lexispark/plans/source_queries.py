@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as TX
+from lexispark.functions.lineage import tables_dir
 from lexispark.operators import frequency as FQ
 from lexispark.plans.catalog import query
 from lexispark.sources import sinks as K, tables as S
@@ -132,6 +135,14 @@ def table_counts(v):
     return K.table_counts({t: v[t] for t in ("documents", "lineitem", "part")})
 
 
+@query("SELECT x.a AS cluster_id, x.b AS opposed_id, count(*) AS n, round(sum(c.salience_sum), 6) AS salience_sum FROM lx_cluster_antonyms x JOIN lx_curated c ON c.cluster_id = x.a GROUP BY 1, 2")
+def bucketed_curated(v):
+    """The curated table, written in buckets of clusters, read by a join on the cluster."""
+    table = K.write_bucketed(v["lx_curated"], f"lx_curated_{uuid.uuid4().hex}", "cluster_id", f"{tables_dir(v.spark)}/curated-{uuid.uuid4().hex}")
+    sides = v["lx_cluster_antonyms"].select(F.col("a").alias("cluster_id"), F.col("b").alias("opposed_id"))
+    return table.join(sides, "cluster_id").groupBy("cluster_id", "opposed_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("salience_sum"), 6).alias("salience_sum"))
+
+
 @query("SELECT count(*) FILTER (a.synset_id IS NULL OR b.synset_id IS NULL) AS orphans, count(*) AS total, round(count(*) FILTER (a.synset_id IS NULL OR b.synset_id IS NULL) / count(*), 6) AS rate FROM lx_syntagms s LEFT JOIN lx_vocab a ON a.synset_id = s.synset1id LEFT JOIN lx_vocab b ON b.synset_id = s.synset2id")
 def orphan_collocations(v):
     return K.orphan_collocations(v["lx_syntagms"], v["lx_vocab"]).withColumn("rate", F.round("rate", 6))

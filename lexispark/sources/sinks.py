@@ -12,6 +12,16 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, path: str, buckets: int = 64) -> DataFrame:
+    """``df`` as the table ``name`` in the folder ``path``, in ``buckets`` by the hash of ``key`` and sorted by it; the table is returned.
+
+    Joins and groupings on ``key``, also with tables of as many buckets, read it without a shuffle. A table of
+    that name is replaced.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

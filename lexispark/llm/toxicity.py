@@ -147,13 +147,21 @@ def calibration(rows: pa.Table, alpha: float, l2: float) -> tuple[np.ndarray, np
     return margin[order], pool(y[order].astype(float), weight[y[order]])
 
 
+def summed_rows(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of ``values``, of which some may be empty."""
+    out, full = np.zeros(len(sizes)), np.flatnonzero(sizes)
+    if len(full):
+        out[full] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[full])
+    return out
+
+
 def solve(rows: pa.Table, alpha: float, l2: float, steps: int) -> Model:
     """The uncalibrated model of rows ``y, b`` (label, packed distinct buckets)."""
     y = rows["y"].to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    gathered = list(packed(rows["b"]))
+    gathered = [(index.astype(np.intp), sizes) for index, sizes in packed(rows["b"])]
     past = np.cumsum([len(sizes) for _, sizes in gathered])
     blocks = [slice(p - len(sizes), p) for p, (_, sizes) in zip(past.tolist(), gathered, strict=True)]
 
@@ -168,7 +176,7 @@ def solve(rows: pa.Table, alpha: float, l2: float, steps: int) -> Model:
 
     def forward(v: np.ndarray) -> np.ndarray:
         scaled = v * scale
-        return np.concatenate([np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=scaled[index], minlength=len(sizes)) for index, sizes in gathered])
+        return np.concatenate([summed_rows(scaled[index], sizes) for index, sizes in gathered])
 
     def backward(g: np.ndarray) -> np.ndarray:
         return counts(g) * scale

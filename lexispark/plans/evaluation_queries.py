@@ -294,7 +294,21 @@ def load_pairs(v):
     return S.load_pairs(v["lx_gold"].select("source", "target").distinct()).select("pair_id", "source", "target")
 
 
-@query()
+def rotation(name: str, seed: int, previous: str | None = None) -> str:
+    """CTEs up to ``name``: the subset of lx_gold that a seed draws, with half of that of ``previous`` carried."""
+    n = name
+    old = f"SELECT pair_id, true AS old FROM {previous}" if previous else "SELECT NULL AS pair_id, NULL::BOOLEAN AS old WHERE false"
+    return f"""{n}_r AS MATERIALIZED (SELECT g.pair_id, tier, register = 'archetypal' AS arch, old, md5('{seed}:' || g.pair_id) AS draw FROM lx_gold g LEFT JOIN ({old}) o ON o.pair_id = g.pair_id),
+    {n}_t AS (SELECT round_even(0.65::DOUBLE * count(*), 0) AS target, count(*) AS total FROM {n}_r),
+    {n}_q AS (SELECT tier, count(old) AS o, round_even(count(*) / any_value(total) * any_value(target), 0) AS q FROM {n}_r, {n}_t GROUP BY tier),
+    {n}_f AS MATERIALIZED (SELECT tier, o, q + CASE WHEN row_number() OVER (ORDER BY q DESC, tier) = 1 THEN target - sum(q) OVER () ELSE 0 END AS q FROM {n}_q, {n}_t),
+    {n}_m AS (SELECT r.*, q, old IS NOT NULL AND row_number() OVER (PARTITION BY r.tier ORDER BY old IS NULL, draw, pair_id) <= least(round_even(0.5::DOUBLE * o, 0), q) AS carried FROM {n}_r r JOIN {n}_f f ON f.tier = r.tier),
+    {n}_c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY NOT carried, draw, pair_id) <= q AS chosen FROM {n}_m),
+    {n}_x AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY draw, pair_id) AS k FROM {n}_c WHERE NOT chosen AND arch) WHERE k <= greatest(0, 2 - (SELECT count(*) FROM {n}_c WHERE chosen AND arch))),
+    {n} AS MATERIALIZED (SELECT pair_id, tier, carried AS is_carried, NOT carried AND old IS NULL AS is_fresh FROM {n}_c WHERE chosen UNION ALL SELECT pair_id, tier, carried, false FROM {n}_x)"""
+
+
+@query(f"WITH {rotation('before', 1)}, {rotation('now', 2, 'before')} SELECT * FROM now")
 def rotate_subset(v):
     pool = v["lx_gold"].select("pair_id", "tier", "register")
     return P.rotate_subset(pool, previous=P.rotate_subset(pool, seed=1), seed=2)

@@ -34,7 +34,7 @@ MIN_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
 #: Distinct (group, term) of a map task that are held before they are sent on.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Rows that a task holds before it thins them to their skybands, and that may be left before it sends them on.
 THIN, MOST = 1 << 18, 1 << 17
 #: Values of f that are worked out at once.

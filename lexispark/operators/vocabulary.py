@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
+from lexispark.operators.components import connected_components
 
 
 def lemma_polysemy(lemmas: DataFrame) -> DataFrame:
@@ -16,38 +18,48 @@ def synset_familiarity(lemmas: DataFrame, frequencies: DataFrame) -> DataFrame:
     return joined.groupBy("synset_id").agg(F.max(F.coalesce("familiarity", F.lit(0.0))).alias("max_familiarity"))
 
 
-def build_vocabulary(synsets: DataFrame, lemmas: DataFrame, frequencies: DataFrame, top_n: int = 35_000, max_rounds: int = 10_000) -> DataFrame:
-    """``vocab_id, synset_id, lemma, pos, polysemy, is_shared``: each of the most familiar synsets with its best unclaimed lemma.
+#: Parts to which components of claims are dealt.
+PARTS = 256
 
-    Synsets claim in rank order, and all lemmas rank synsets alike, so the outcome is the one
-    stable matching: in every round each open synset proposes to its next lemma and a lemma keeps the
-    proposer of best rank. A synset without lemma left shares its first candidate.
+
+def claimed(rows: pd.DataFrame) -> pd.DataFrame:
+    """``vocab_id, lemma, polysemy, is_shared`` of synsets that claim in the order of vocab_id from their lists (vocab_id, lemma, polysemy, k)."""
+    taken: set[str] = set()
+    out = []
+    rows = rows.sort_values(["vocab_id", "k"])
+    for vocab_id, mine in rows.groupby("vocab_id", sort=False):
+        free = next((k for k, lemma in enumerate(mine["lemma"]) if lemma not in taken), None)
+        pick = mine.iloc[0 if free is None else free]
+        if free is not None:
+            taken.add(pick["lemma"])
+        out.append((vocab_id, pick["lemma"], pick["polysemy"], free is None))
+    return pd.DataFrame(out, columns=["vocab_id", "lemma", "polysemy", "is_shared"])
+
+
+def build_vocabulary(synsets: DataFrame, lemmas: DataFrame, frequencies: DataFrame, top_n: int = 35_000) -> DataFrame:
+    """``vocab_id, synset_id, lemma, pos, polysemy, is_shared``: each of the ``top_n`` most familiar synsets with its best unclaimed lemma.
+
+    Synsets claim in rank order. A synset never goes past the first lemma that no other has, nor past as
+    many lemmas as its rank, so lists end there. Synsets that want a common lemma are connected, and what
+    is not connected claims independently: components of claims are dealt to tasks, where they claim one
+    by one. The largest has at most ``top_n`` synsets. A synset without lemma left shares its first one.
     """
     fam = synset_familiarity(lemmas, frequencies)
     best = synsets.select("synset_id", "pos").join(fam, "synset_id").orderBy(F.desc("max_familiarity"), "synset_id").limit(top_n)
-    ranked = best.withColumn("vocab_id", F.row_number().over(Window.orderBy(F.desc("max_familiarity"), "synset_id")))  # top_n rows
+    ranked = materialize(best.withColumn("vocab_id", F.row_number().over(Window.orderBy(F.desc("max_familiarity"), "synset_id"))), "ranked")  # top_n rows
     cand = lemmas.distinct().join(ranked.select("synset_id", "vocab_id"), "synset_id").join(lemma_polysemy(lemmas), "lemma")
     order = Window.partitionBy("vocab_id").orderBy("polysemy", F.length("lemma"), "lemma")
-    cand = materialize(cand.select("vocab_id", "lemma", "polysemy", F.row_number().over(order).alias("k")), "candidates")
-    held = None  # lemma, vocab_id
-    at = materialize(cand.groupBy("vocab_id").agg(F.lit(1).cast("int").alias("k")), "places")
-    for _ in range(max_rounds):
-        offers = cand.join(at, ["vocab_id", "k"]).select("lemma", "vocab_id")
-        held = materialize(offers.groupBy("lemma").agg(F.min("vocab_id").alias("vocab_id")), "held")
-        losers = at.join(held.select("vocab_id"), "vocab_id", "left_anti")
-        # a lemma is only ever passed on to a better rank, so lemmas below one's own can be skipped at once
-        free = cand.join(losers.withColumnRenamed("k", "_at"), "vocab_id").filter("k > _at").join(held.select("lemma", F.col("vocab_id").alias("_holder")), "lemma", "left").filter("_holder is null or _holder > vocab_id")
-        moves = free.groupBy("vocab_id").agg(F.min("k").cast("int").alias("_next"))
-        moved = at.join(moves, "vocab_id", "left")
-        after = materialize(moved.join(losers.select("vocab_id", F.lit(True).alias("_lost")), "vocab_id", "left").select("vocab_id", F.when(F.col("_lost").isNull(), F.col("k")).otherwise(F.coalesce("_next", F.lit(1 << 30))).cast("int").alias("k"), F.col("_next").isNotNull().alias("_moved")), "places")
-        at = after.select("vocab_id", "k")
-        if after.filter("_moved").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"claims did not settle in {max_rounds} rounds")
-    own = held.join(cand, ["lemma", "vocab_id"]).select("vocab_id", "lemma", "polysemy", F.lit(False).alias("is_shared"))
-    shared = cand.filter("k = 1").join(held.select("vocab_id"), "vocab_id", "left_anti").select("vocab_id", "lemma", "polysemy", F.lit(True).alias("is_shared"))
-    return ranked.join(own.unionByName(shared), "vocab_id").select("vocab_id", "synset_id", "lemma", "pos", "polysemy", "is_shared")
+    cand = materialize(cand.select("vocab_id", "lemma", "polysemy", F.row_number().over(order).alias("k")).filter(F.col("k") <= F.col("vocab_id")), "candidates")
+    wanted = cand.groupBy("lemma").agg(F.count(F.lit(1)).alias("_n"), F.min("vocab_id").alias("_first"))
+    sure = F.min(F.when(F.col("_n") == 1, F.col("k"))).over(Window.partitionBy("vocab_id"))
+    lists = materialize(cand.join(wanted, "lemma").withColumn("_sure", sure).filter("_sure is null or k <= _sure"), "lists")
+    alone = lists.filter("k = 1 and _sure = 1")
+    rest = lists.filter("_sure is null or _sure > 1")
+    together = connected_components(rest.select(F.col("vocab_id").alias("a"), F.when(F.col("_n") > 1, F.col("_first")).otherwise(F.col("vocab_id")).alias("b")))
+    dealt = rest.join(together.withColumnRenamed("node", "vocab_id"), "vocab_id").withColumn("_part", F.pmod(F.xxhash64("component"), F.lit(PARTS)))
+    own = dealt.select("_part", "vocab_id", "lemma", "polysemy", "k").groupBy("_part").applyInPandas(lambda rows: claimed(rows), "vocab_id int, lemma string, polysemy long, is_shared boolean")
+    every = own.unionByName(alone.select("vocab_id", "lemma", "polysemy", F.lit(False).alias("is_shared")))
+    return ranked.join(every, "vocab_id").select("vocab_id", "synset_id", "lemma", "pos", "polysemy", "is_shared")
 
 
 def embedding_lookup(words: DataFrame, vectors: DataFrame) -> DataFrame:

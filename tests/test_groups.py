@@ -90,3 +90,38 @@ def test_a_bucketed_table_is_joined_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.sql("DROP TABLE curated_in_buckets")
+
+
+def serial_claims(lists):
+    """Synsets in rank order take their first lemma that is free, else share their first."""
+    taken, out = set(), {}
+    for rank, lemmas in enumerate(lists, 1):
+        pick = next((x for x in lemmas if x not in taken), None)
+        out[rank] = (pick or lemmas[0], pick is None)
+        taken.add(out[rank][0])
+    return out
+
+
+@pytest.mark.parametrize("shape", ["chain", "random"])
+def test_claims_as_one_by_one(spark, shape, monkeypatch):
+    draw = random.Random(3)
+    if shape == "chain":  # every synset wants the lemma that the one before it had to move on to
+        own = [[f"l{k:05d}", f"l{k + 1:05d}"] if k else ["l00001"] for k in range(5000)]
+    else:
+        own = [[f"l{x:05d}" for x in draw.sample(range(90), draw.randint(1, 4))] for _ in range(160)]
+    names = [f"s{k:05d}" for k in range(len(own))]
+    lemmas = spark.createDataFrame([(x, s) for s, xs in zip(names, own, strict=True) for x in xs], "lemma string, synset_id string").repartition(3)
+    synsets = spark.createDataFrame([(s, "n") for s in names], "synset_id string, pos string")
+    fam = spark.createDataFrame([], "lemma string, familiarity double")
+    polysemy = {}
+    for xs in own:
+        for x in xs:
+            polysemy[x] = polysemy.get(x, 0) + 1
+    want = serial_claims([sorted(xs, key=lambda x: (polysemy[x], len(x), x)) for xs in own])
+    written, write = [], vocabulary.materialize
+    for module in (vocabulary, components):
+        monkeypatch.setattr(module, "materialize", lambda d, name: written.append(name) or write(d, name))
+    got = vocabulary.build_vocabulary(synsets, lemmas, fam).collect()
+    assert {r.vocab_id: (r.lemma, r.is_shared) for r in got} == want
+    assert all(r.synset_id == names[r.vocab_id - 1] and r.polysemy == polysemy[r.lemma] for r in got)
+    assert len(written) < 20

@@ -6,6 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from lexispark.operators import concreteness as C, thesaurus as T
+from lexispark.plans.views import document_tokens
 
 
 def test_shootout_of_decimal_scores(spark):
@@ -43,3 +44,13 @@ def test_rows_are_digested_in_order(spark):
     got = {r.word: (r.n_senses, r.senses_md5) for r in T.written_out(spark.createDataFrame(rows, "word string, k string, text string").orderBy(F.desc("k")), ["k"]).collect()}
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     assert got == {"x": (12_000, md5("|".join(f"t{i}" for i in range(12_000)))), "y": (2, md5("b")), "z": (1, md5(""))}
+
+
+def test_tokens_of_documents_are_counted_where_they_are_read(spark):
+    texts = [(1, "b a B K x1y"), (2, None), (3, ""), (4, "12 été z z z a")]
+    one = document_tokens(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    twice = document_tokens(spark.createDataFrame([*texts, (4, "a a a a")], "doc_id long, text string"))
+    want = {(1, "a", 1, 2, 2), (1, "b", 2, 1, 2), (1, "k", 1, 3, 2), (1, "x", 1, 4, 2), (1, "y", 1, 5, 2)}
+    assert set(map(tuple, one.collect())) == want | {(4, "z", 3, 1, 3), (4, "a", 1, 2, 3), (4, "t", 1, 3, 3)}
+    assert set(map(tuple, twice.collect())) == want | {(4, "a", 5, 1, 5), (4, "z", 3, 2, 5), (4, "t", 1, 3, 5)}

@@ -42,6 +42,8 @@ SHORT = 8
 #: Places of the table of counts, in how many slices tasks send it, and steps of the order for a doubled count.
 TABLE_BITS, TABLE_SLICES, STEPS = 24, 256, 8
 TABLE = 1 << TABLE_BITS
+#: Shingles that a task counts together.
+HELD = 1 << 18
 #: Shingles counted at least so often, beyond twice what a place of the table holds on average, have their lists dealt by set.
 HEAVY = 64
 #: Bytes of text a fragment stands for, and fragments that count overlaps.
@@ -95,6 +97,45 @@ def steps(count: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.round(STEPS * np.log2(1.0 + count))).astype(np.uint8)
 
 
+class Counts:
+    """Counts of ``size`` places in a byte each; what exceeds a byte is kept by place."""
+
+    def __init__(self, size: int) -> None:
+        self.low, self.more = np.zeros(size, dtype=np.uint8), {}
+        self.held: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, at: np.ndarray) -> None:
+        for k in range(0, len(at), HELD):
+            self.held.append(at[k : k + HELD].astype(np.uint32))
+            self.waiting += len(self.held[-1])
+            if self.waiting >= HELD:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            at = np.sort(np.concatenate(self.held))
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            place, total = at[first], np.diff(np.append(first, len(at)))
+            total += self.low[place]
+            self.low[place] = total & 255
+            for k in np.flatnonzero(total > 255).tolist():
+                self.more[int(place[k])] = self.more.get(int(place[k]), 0) + int(total[k] & ~255)
+            self.held, self.waiting = [], 0
+
+    def parts(self, n: int) -> Iterator[np.ndarray]:
+        """The counts in ``n`` parts."""
+        self.flush()
+        width, by = len(self.low) // n, {}
+        for place, count in self.more.items():
+            by.setdefault(place // width, []).append((place % width, count))
+        for k in range(n):
+            out = self.low[k * width : (k + 1) * width].astype(np.uint32)
+            for place, count in by.get(k, ()):
+                out[place] += np.uint32(count)
+            yield out
+
+
 def shingle_counts(texts: DataFrame, tasks: int, hashing: Hashing) -> tuple[np.ndarray, int]:
     """:func:`steps` of the number of sets of the batches that hold a shingle, by its place in the table, and the first heavy one.
 
@@ -104,12 +145,11 @@ def shingle_counts(texts: DataFrame, tasks: int, hashing: Hashing) -> tuple[np.n
     width, salts = TABLE // TABLE_SLICES, max(1, -(-tasks // 1000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, salt = np.zeros(TABLE, dtype=np.uint32), uuid.uuid4().int % salts
+        table, salt = Counts(TABLE), uuid.uuid4().int % salts
         for b in (part for whole in batches for part in slices(whole)):
             for s in _distinct_sets(b.column("text").to_pylist(), hashing).values():
-                np.add.at(table, (s >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.uint32(1))
-        for k in range(TABLE_SLICES):
-            part = table[k * width : (k + 1) * width]
+                table.add(s >> np.uint64(64 - TABLE_BITS))
+        for k, part in enumerate(table.parts(TABLE_SLICES)):
             if part.any():
                 yield pa.RecordBatch.from_pylist([slice_row(k, salt, part)], schema=_COUNTS)
 

@@ -161,7 +161,7 @@ def solve(rows: pa.Table, alpha: float, l2: float, steps: int) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(1 << BITS, dtype=np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    gathered = [(index.astype(np.intp), sizes) for index, sizes in packed(rows["b"])]
+    gathered = list(packed(rows["b"]))  # views: wider numbers are made a block at a time
     past = np.cumsum([len(sizes) for _, sizes in gathered])
     blocks = [slice(p - len(sizes), p) for p, (_, sizes) in zip(past.tolist(), gathered, strict=True)]
 

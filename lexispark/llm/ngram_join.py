@@ -15,7 +15,8 @@ one size for every corpus.
 3. Components of the links found. In the kept lists, only pairs that lie in different components
    are still open. Members of long lists first meet some others, in ``ROUNDS``, after each of which
    there are fewer components; at last all pairs that are still open are counted, and then the
-   components are final. So the members of a large group of near copies are never all paired.
+   components are final. So the members of a large group of near copies are never all paired. A
+   pair whose sketches already differ in more places than linked sets can is left out before.
 
 The order only decides how many candidates there are, never which links exist.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lexispark.functions.lineage import materialize
 from lexispark.llm.shingles import Hashing
 from lexispark.llm.text import append, slices
-from lexispark.operators.components import connected_components
+from lexispark.operators.components import TOGETHER, connected_components
 
 WORDS, PERCENT = 5, 75
 #: Lists of at most so many classes give all their pairs at once.
@@ -56,6 +57,8 @@ SALTS, ROUNDS = 32, (16, 128)
 SENT = 1 << 18
 #: Pairs of a cell in which segments are compared.
 CELL_PAIRS = 2000
+#: Places of a sketch.
+SKETCH = 1024
 
 
 def _distinct_sets(texts: list[bytes | None], hashing: Hashing) -> dict[int, np.ndarray]:
@@ -72,9 +75,23 @@ def _signature(texts: list[bytes | None], hashing: Hashing) -> tuple[list[int],
     return [len(s) for s in sets], signed([hashing.key(s) for s in sets]), signed([hashing.second(s) for s in sets])
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``SKETCH`` places whether an odd number of the tokens falls there, packed into longs.
+
+    The sketches of two sets differ in no more places than the sets differ in tokens.
+    """
+    odd = np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sketched(texts: list[bytes | None], hashing: Hashing) -> tuple[list[int], np.ndarray, np.ndarray, list[np.ndarray]]:
+    sets = list(hashing.sets(texts, WORDS))
+    return [len(s) for s in sets], signed([hashing.key(s) for s in sets]), signed([hashing.second(s) for s in sets]), [sketch(s) for s in sets]
+
+
 def signatures(texts: DataFrame, hashing: Hashing) -> DataFrame:
-    """``_id, n, key, second`` of every row."""
-    return append(texts, ["text"], "n long, key long, second long", lambda: lambda t: _signature(t, hashing)).select("_id", "n", "key", "second")
+    """``_id, n, key, second, sketch`` of every row."""
+    return append(texts, ["text"], "n long, key long, second long, sketch array<long>", lambda: lambda t: _sketched(t, hashing)).select("_id", "n", "key", "second", "sketch")
 
 
 def identified(texts: DataFrame, hashing: Hashing) -> tuple[DataFrame, Hashing]:
@@ -234,6 +251,12 @@ def possible(na, nb, pa, pb):
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na) & ((100 + PERCENT) * rest_a >= need) & ((100 + PERCENT) * rest_b >= need)
 
 
+def alike(x: Column, y: Column, nx: Column, ny: Column) -> Column:
+    """Whether sets of these sketches and sizes may link; true without a sketch. Linked sets differ in few tokens, and sketches in no more places."""
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
+    return F.coalesce((100 + PERCENT) * differ <= (100 - PERCENT) * (nx + ny), F.lit(True))
+
+
 def candidates(rows: pd.DataFrame, fragments: int) -> pd.DataFrame:
     """Of one fragment: pairs (b set, token null) and the members of long lists (b null); of heavy shingles members only."""
     cat = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in rows[c]])
@@ -344,17 +367,19 @@ def links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, hashing: Hashi
     return materialize(summed.filter(linked).select("a", "b"), "links")
 
 
-def mixed_lists(lists: DataFrame, heavy: int, least: int = 1) -> DataFrame:
+def mixed_lists(lists: DataFrame, heavy: int, least: int = 1, sketches: DataFrame | None = None) -> DataFrame:
     """The rows of the lists ``key, token, n, pos, component`` of more than ``least`` members that hold several components, a written table.
 
     With ``salt``, to which members of heavy lists (tokens from ``heavy`` on) are dealt, ``members`` of the
-    list and all such ``tokens`` of the key.
+    list, all such ``tokens`` of the key and, from ``sketches`` (key, sketch), its sketch.
     """
     mixed = lists.groupBy("token").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("members")).filter((F.col("_lo") < F.col("_hi")) & (F.col("members") > least))
     often = F.col("token") >= heavy
     salted = lists.withColumn("salt", F.when(often, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
     some = salted.join(mixed.select("token", "members", F.explode(F.sequence(F.lit(0), F.when(often, SALTS - 1).otherwise(0))).alias("salt")), ["token", "salt"])
-    return materialize(some.join(some.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens")), "key"), "mixed-lists")
+    of_key = some.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    of_key = of_key.withColumn("sketch", F.lit(None).cast("array<bigint>")) if sketches is None else of_key.join(sketches.select("key", "sketch"), "key", "left")
+    return materialize(some.join(of_key, "key"), "mixed-lists")
 
 
 def first_shared(x: Column | str, y: Column | str, token: Column) -> Column:
@@ -371,7 +396,7 @@ def sampled(some: DataFrame, partners: int) -> DataFrame:
     dealt = some.withColumn("_group", F.pmod(F.xxhash64("key", F.lit(partners)), groups))
     x, y = dealt.alias("x"), dealt.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x._group") == F.col("y._group")) & (F.col("x.component") < F.col("y.component"))
-    ok = first_shared("x.tokens", "y.tokens", F.col("x.token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))
+    ok = first_shared("x.tokens", "y.tokens", F.col("x.token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")) & alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"))
     return x.join(y, met & ok).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
@@ -383,23 +408,23 @@ def across(some: DataFrame) -> DataFrame:
     """
     one = F.count(F.lit(1)) == 1
     per = some.groupBy("token", "component").agg(
-        F.count(F.lit(1)).alias("amount"), F.collect_set("salt").alias("salts"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.when(one, F.min("key")).alias("key"), F.when(one, F.min("tokens")).alias("tokens")
+        F.count(F.lit(1)).alias("amount"), F.collect_set("salt").alias("salts"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.when(one, F.min("key")).alias("key"), F.when(one, F.min("tokens")).alias("tokens"), F.when(one, F.min("sketch")).alias("sketch")
     )
     x, y = per.alias("x"), per.alias("y")
     need = PERCENT * (F.col("x.least") + F.col("y.least"))
     sized = (100 * F.col("x.most") >= PERCENT * F.col("y.least")) & (100 * F.col("y.most") >= PERCENT * F.col("x.least")) & ((100 + PERCENT) * F.least("x.rest", "y.rest") >= need)
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & sized & F.coalesce(first_shared("x.tokens", "y.tokens", F.col("x.token")), F.lit(True))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & sized & F.coalesce(first_shared("x.tokens", "y.tokens", F.col("x.token")), F.lit(True)) & alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.least"), F.col("y.least"))
     # the side with fewer members is expanded first and meets the other's members one by one
     column = lambda c: [F.when(F.col("x.amount") >= F.col("y.amount"), F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(f"{o}_{c}") for o, p, q in (("x", "x", "y"), ("y", "y", "x"))]
     sides = materialize(x.join(y, met).select(F.col("x.token").alias("token"), *column("component"), *column("key"), *column("salts")), "component-pairs")
     single = F.col("x_key").isNotNull() & F.col("y_key").isNotNull()
     direct = sides.filter(single).select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b"))
 
-    members = lambda s: some.select("token", F.col("component").alias(f"{s}_component"), F.col("salt").alias(f"{s}_salt"), F.struct("key", "n", "pos", "tokens").alias(s))
+    members = lambda s: some.select("token", F.col("component").alias(f"{s}_component"), F.col("salt").alias(f"{s}_salt"), F.struct("key", "n", "pos", "tokens", "sketch").alias(s))
     few = sides.filter(~single).withColumn("y_salt", F.explode("y_salts")).join(members("y"), ["token", "y_component", "y_salt"]).withColumn("x_salt", F.explode("x_salts")).alias("few")
     many = members("x").alias("many")
     meet = (F.col("few.token") == F.col("many.token")) & (F.col("few.x_component") == F.col("many.x_component")) & (F.col("few.x_salt") == F.col("many.x_salt"))
-    ok = first_shared("x.tokens", "y.tokens", F.col("few.token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"))
+    ok = first_shared("x.tokens", "y.tokens", F.col("few.token")) & possible(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")) & alike(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"))
     wide = few.join(many, meet & ok)
     return direct.union(wide.select(F.least("x.key", "y.key"), F.greatest("x.key", "y.key"))).distinct()
 
@@ -408,7 +433,7 @@ def classified(docs: DataFrame, hashing: Hashing, id_col: str = "doc_id", text_c
     """``_id, n, key, component_id`` per row, see :func:`jaccard_components`, and the hashing that gives the keys."""
     texts = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").cast("binary").alias("text"))
     sigs, hashing = identified(texts, hashing)
-    classes = materialize(sigs.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_first")), "classes")
+    classes = materialize(sigs.filter("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("_first"), F.first("sketch").alias("sketch")), "classes")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = min(65_536, max(16, ceil(size / FRAGMENT_BYTES)))
     table, step = shingle_counts(texts, ceil(size / TASK_BYTES), hashing)
@@ -422,17 +447,17 @@ def classified(docs: DataFrame, hashing: Hashing, id_col: str = "doc_id", text_c
     linked, labelled = links(pairs, texts, classes, hashing), None
     for partners in (*ROUNDS, None):
         if labelled is None:
-            inside = connected_components(linked).select(F.col("node").alias("key"), "component")
+            inside = connected_components(linked, alone=TOGETHER).select(F.col("node").alias("key"), "component")
             labelled = lists.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key"))
         if partners:  # lists too long for all their pairs
-            found = sampled(mixed_lists(labelled, heavy, 4 * partners), partners)
+            found = sampled(mixed_lists(labelled, heavy, 4 * partners, classes), partners)
         else:
-            found = across(mixed_lists(labelled, heavy))
+            found = across(mixed_lists(labelled, heavy, sketches=classes))
         found = materialize(found.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         if not found.isEmpty():
             linked, pairs, labelled = linked.union(links(found, texts, classes, hashing)), pairs.union(found), None
     if labelled is None:
-        inside = connected_components(linked).select(F.col("node").alias("key"), "component")
+        inside = connected_components(linked, alone=TOGETHER).select(F.col("node").alias("key"), "component")
     member = classes.join(inside, "key", "left").withColumn("component", F.coalesce("component", "key"))
     firsts = member.groupBy("component").agg(F.min("_first").alias("component_id"))
     resolved = materialize(member.join(firsts, "component").select("key", "component_id"), "components")

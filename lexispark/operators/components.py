@@ -73,14 +73,29 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", F.col("b").cast(kind).alias("b")).mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def reached_together(edges: DataFrame) -> DataFrame:
+    """``node, component`` for every node of the few ``edges`` (a, b), by one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            sides = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=held[0].schema.field("a").type) for x in smallest_reached(*sides)], names=["node", "component"])
+
+    return edges.select("a", F.col("b").cast(kind).alias("b")).coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, alone: int = 0) -> DataFrame:
     """``node, component`` for every node of ``edges`` (a, b): the smallest node it is connected with.
 
     Self edges make their node a component of its own; edges with a null end are dropped. Tasks
     contract what they hold before each shuffle, so only what spans tasks is shuffled. Each round is written out; rounds
-    grow with the logarithm of the number of nodes.
+    grow with the logarithm of the number of nodes. Up to ``alone`` edges, at most ``TOGETHER``, are one task's.
     """
     clean = materialize(edges.select("a", "b").filter("a is not null and b is not null"), "edges")
+    if alone and clean.count() <= min(alone, TOGETHER):
+        return materialize(reached_together(clean), "reached")
     nodes = clean.select(F.col("a").alias("node")).union(clean.select(F.col("b").alias("node"))).distinct()
     now = contracted(clean.filter("a <> b")).distinct()
     seen = None

@@ -42,12 +42,14 @@ def import_verb_classes(classes: DataFrame, members: DataFrame, roles: DataFrame
     Classes: one row per id, the lowest name wins. Members: ``class_id, synset_id, wordid, vnwordid`` with a
     synset. Examples: one row per id, the lowest class wins.
     """
-    joined = examples.join(example_frames, "example_id").join(class_frames, "frame_id").select("example_id", "class_id", "example").distinct()
+    # the classes of an example are reduced before its text is joined; a null class is the lowest
+    least = F.when(F.count_if(F.col("class_id").isNull()) > 0, F.lit(None)).otherwise(F.min("class_id")).alias("class_id")
+    of_example = example_frames.join(class_frames, "frame_id").groupBy("example_id").agg(least)
     return {
         "classes": first_wins(classes, ["class_id"], "class_name"),
         "members": members.filter("synset_id is not null").select("class_id", "synset_id", "wordid", "vnwordid").distinct(),
         "roles": roles.join(role_types, "role_type_id").select("class_id", "role_type"),
-        "examples": first_wins(joined, ["example_id"], "class_id", "example"),
+        "examples": first_wins(examples.select("example_id", "example"), ["example_id"], "example").join(of_example, "example_id").select("example_id", "class_id", "example"),
     }
 
 

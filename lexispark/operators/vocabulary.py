@@ -9,8 +9,9 @@ from lexispark.functions.lineage import materialize
 from lexispark.operators.components import connected_components
 
 
-def lemma_polysemy(lemmas: DataFrame) -> DataFrame:
-    return lemmas.groupBy("lemma").agg(F.countDistinct("synset_id").alias("polysemy"))
+def lemma_polysemy(lemmas: DataFrame, distinct: bool = False) -> DataFrame:
+    """``lemma, polysemy``: in how many synsets a lemma is. With ``distinct`` no row of ``lemmas`` is there twice, so rows are counted and pairs are not shuffled."""
+    return lemmas.groupBy("lemma").agg((F.count if distinct else F.countDistinct)("synset_id").alias("polysemy"))
 
 
 def synset_familiarity(lemmas: DataFrame, frequencies: DataFrame) -> DataFrame:
@@ -36,18 +37,20 @@ def claimed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["vocab_id", "lemma", "polysemy", "is_shared"])
 
 
-def build_vocabulary(synsets: DataFrame, lemmas: DataFrame, frequencies: DataFrame, top_n: int = 35_000) -> DataFrame:
+def build_vocabulary(synsets: DataFrame, lemmas: DataFrame, frequencies: DataFrame, top_n: int = 35_000, distinct: bool = False) -> DataFrame:
     """``vocab_id, synset_id, lemma, pos, polysemy, is_shared``: each of the ``top_n`` most familiar synsets with its best unclaimed lemma.
 
     Synsets claim in rank order. A synset never goes past the first lemma that no other has, nor past as
     many lemmas as its rank, so lists end there. Synsets that want a common lemma are connected, and what
     is not connected claims independently: components of claims are dealt to tasks, where they claim one
-    by one. The largest has at most ``top_n`` synsets. A synset without lemma left shares its first one.
+    by one. The largest has at most ``top_n`` synsets. A synset without lemma left shares its first one. For
+    ``distinct`` see :func:`lemma_polysemy`.
     """
     fam = synset_familiarity(lemmas, frequencies)
     best = synsets.select("synset_id", "pos").join(fam, "synset_id").orderBy(F.desc("max_familiarity"), "synset_id").limit(top_n)
     ranked = materialize(best.withColumn("vocab_id", F.row_number().over(Window.orderBy(F.desc("max_familiarity"), "synset_id"))), "ranked")  # top_n rows
-    cand = lemmas.distinct().join(ranked.select("synset_id", "vocab_id"), "synset_id").join(lemma_polysemy(lemmas), "lemma")
+    polysemy = materialize(lemma_polysemy(lemmas, distinct), "polysemy")
+    cand = lemmas.join(ranked.select("synset_id", "vocab_id"), "synset_id").distinct().join(polysemy, "lemma")
     order = Window.partitionBy("vocab_id").orderBy("polysemy", F.length("lemma"), "lemma")
     cand = materialize(cand.select("vocab_id", "lemma", "polysemy", F.row_number().over(order).alias("k")).filter(F.col("k") <= F.col("vocab_id")), "candidates")
     wanted = cand.groupBy("lemma").agg(F.count(F.lit(1)).alias("_n"), F.min("vocab_id").alias("_first"))

@@ -7,6 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lexispark.functions.lineage import materialize
+from lexispark.operators.vocabulary import lemma_polysemy
+
 
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -71,9 +74,12 @@ def snap_audit(curated: DataFrame) -> DataFrame:
     return method.unionByName(cover).unionByName(hist).select("metric", "bucket", "n")
 
 
-def polysemy_coverage(synsets: DataFrame, lemmas: DataFrame, frequencies: DataFrame, tops: tuple[int, ...] = (5_000, 10_000, 20_000, 35_000)) -> DataFrame:
-    """``top_n, pos, min_polysemy, n, pct, cumulative_pct`` over the most familiar synsets: how few senses their least polysemous lemma has (1, 2, 3, 5, 10, more)."""
-    polysemy = lemmas.groupBy("lemma").agg(F.countDistinct("synset_id").alias("p"))
+def polysemy_coverage(synsets: DataFrame, lemmas: DataFrame, frequencies: DataFrame, tops: tuple[int, ...] = (5_000, 10_000, 20_000, 35_000), distinct: bool = False) -> DataFrame:
+    """``top_n, pos, min_polysemy, n, pct, cumulative_pct`` over the most familiar synsets: how few senses their least polysemous lemma has (1, 2, 3, 5, 10, more).
+
+    With ``distinct`` no row of ``lemmas`` is there twice.
+    """
+    polysemy = materialize(lemma_polysemy(lemmas, distinct).withColumnRenamed("polysemy", "p"), "polysemy")
     fam = lemmas.join(frequencies.select("lemma", "familiarity", "zipf"), "lemma", "left").join(polysemy, "lemma").groupBy("synset_id").agg(F.coalesce(F.max("familiarity"), F.lit(0.0)).alias("f"), F.coalesce(F.max("zipf"), F.lit(0.0)).alias("z"), F.min("p").alias("p"))
     # only the first max(tops) rows are ranked, after a distributed top-k
     best = synsets.select("synset_id", "pos").join(fam, "synset_id").orderBy(F.desc("f"), F.desc("z"), "synset_id").limit(max(tops))

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lexispark.functions.lineage import materialize
+from lexispark.operators.components import TOGETHER, connected_components, smallest_reached
 
 #: Rows of a part of a cell, rows of a cell on average, and pivots at most.
 BLOCK, CELL, MOST_PIVOTS = 2048, 1024, 4096
@@ -105,6 +106,12 @@ def with_columns(df: DataFrame, added: str, cells: Cells, compute: Callable, ext
     return df.mapInPandas(run, f"{schema}, {added}")
 
 
+def comparable(vectors: DataFrame, threshold: float, id_col: str) -> DataFrame:
+    """``id, embedding`` of the rows that can have a partner."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding").filter("id is not null and size(embedding) > 0")
+    return rows.filter(F.exists("embedding", lambda x: x != 0)) if threshold > 0 else rows
+
+
 def pairs_within(vectors: DataFrame, threshold: float, id_col: str, block: int = BLOCK, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """(``a, b, similarity`` of every pair a < b of cosine ``threshold`` or more, the rows ``_to, _home`` dealt to cells).
 
@@ -113,10 +120,7 @@ def pairs_within(vectors: DataFrame, threshold: float, id_col: str, block: int =
     and it lies near enough to the border between both pivots. For a threshold of 0 or less no cell can be
     left out; above it zero vectors have no partners.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), "embedding").filter("id is not null and size(embedding) > 0")
-    if threshold > 0:
-        rows = rows.filter(F.exists("embedding", lambda x: x != 0))
-    cells, placed = cells_of(rows, "id", True, cell if threshold > 0 else 1 << 60)
+    cells, placed = cells_of(comparable(vectors, threshold, id_col), "id", True, cell if threshold > 0 else 1 << 60)
     reach = max(0.0, 2 - 2 * threshold) ** 0.5 + SLACK  # as a distance of unit vectors
 
     def visits(c: Cells, x: np.ndarray, own: np.ndarray) -> dict:
@@ -223,3 +227,91 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, unit: bool, block: int
     more = with_columns(bounded.withColumn("_kth", F.col("_kth").cast("double")), "_more array<int>", cells, others, "_kth")
     more = materialize(more.select("query_id", "embedding", F.explode("_more").alias("_to")), "visits")
     return found.unionByName(met(more)), own.select("query_id", "_to").unionByName(more.select("query_id", "_to"))
+
+
+#: Rows of a block whose links are looked at together.
+SLICE = 256
+
+
+def star(x: np.ndarray, y: np.ndarray, x_id: np.ndarray, y_id: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Edges ``a, b`` that connect the ids of ``x`` and ``y`` as all their pairs of the threshold do, fewer than there are rows."""
+    a = b = np.zeros(0, dtype=np.int64)
+    for at in range(0, len(x), SLICE):
+        p, q = np.nonzero(x[at : at + SLICE] @ y.T >= threshold)
+        if len(p):
+            node, low = smallest_reached(np.concatenate([a, p + at]), np.concatenate([b, q + len(x)]))
+            a, b = node[node != low], low[node != low]
+    ids = np.concatenate([x_id, y_id])
+    a, b = ids[a], ids[b]
+    return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
+
+
+def linked_within(vectors: DataFrame, threshold: float, id_col: str, block: int = BLOCK, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """(``node, component`` of every vector with a partner of cosine ``threshold`` or more, the rows ``id, _to`` that looked beyond their cell).
+
+    The components are those of :func:`pairs_within`, but its pairs are never listed: a task sends on what
+    connects its rows. Members of a cell meet, and all vectors meet one member of each cell. A pair
+    that could still join components has a side outside the largest one. Only such vectors look into other
+    cells that are near enough and hold another component. Where there are many components of similar sizes, most do.
+    """
+    cells, placed = cells_of(comparable(vectors, threshold, id_col), "id", True, cell if threshold > 0 else 1 << 60)
+    none = placed.sparkSession.createDataFrame([], "node long, component long")
+    if not len(cells.pivots):
+        return none, placed.select("id", F.lit(0).alias("_to"))
+    sizes = placed.groupBy(F.col("_cell").alias("_to")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_p"))  # a row a pivot
+    parted = placed.withColumnRenamed("_cell", "_to").join(F.broadcast(sizes), "_to").withColumn("_part", F.pmod(F.xxhash64("id"), "_p").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_p") - 1))
+    own = parted.withColumn("_o", every).withColumns({"i": F.least("_o", "_part"), "j": F.greatest("_o", "_part")}).select("id", "embedding", "_part", "_to", "i", "j")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["_part"] == pdf["i"].iat[0]], pdf[pdf["_part"] == pdf["j"].iat[0]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        return star(stacked(x["embedding"], True), stacked(y["embedding"], True), x["id"].to_numpy(), y["id"].to_numpy(), threshold)
+
+    first = placed.groupBy("_cell").agg(F.min_by("embedding", "id").alias("embedding"), F.min("id").alias("id")).toPandas()  # a row a pivot
+    heads = placed.sparkSession.sparkContext.broadcast((stacked(first["embedding"], True), first["id"].to_numpy()))  # at most MOST_PIVOTS vectors
+
+    def to_heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in frames:
+            for at in range(0, len(whole), 1024):
+                f = whole.iloc[at : at + 1024]
+                yield star(stacked(f["embedding"], True), heads.value[0], f["id"].to_numpy(), heads.value[1], threshold)
+
+    edges = own.groupBy("_to", "i", "j").applyInPandas(inside, "a long, b long")
+    edges = materialize(edges.union(placed.select("id", "embedding").mapInPandas(to_heads, "a long, b long")), "cell-links")
+    known = connected_components(edges, alone=TOGETHER)
+    labelled = materialize(placed.select("id", "_cell").join(known.withColumnRenamed("node", "id"), "id", "left").select("id", "_cell", F.coalesce("component", "id").alias("component")).distinct(), "labelled")
+    largest = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "component").first()["component"]
+    held = labelled.groupBy("_cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("component") == largest).alias("big")).toPandas()  # a row a pivot
+    lo, hi, big = np.zeros(len(cells.pivots), dtype=np.int64), np.zeros(len(cells.pivots), dtype=np.int64), np.zeros(len(cells.pivots), dtype=bool)
+    lo[held["_cell"]], hi[held["_cell"]], big[held["_cell"]] = held["lo"], held["hi"], held["big"]
+    reach = max(0.0, 2 - 2 * threshold) ** 0.5 + SLACK
+
+    def visits(c: Cells, x: np.ndarray, component: np.ndarray) -> dict:
+        d = distances(x, c.pivots)
+        own = d.argmin(axis=1)
+        go = (d <= c.radius[None] + reach) & (d - d.min(axis=1, keepdims=True) <= 2 * reach) & ((lo[None] != component[:, None]) | (hi[None] != component[:, None]))
+        go &= big[None] | (np.arange(d.shape[1])[None] > own[:, None])  # of two sides outside the largest one looks
+        go[np.arange(len(x)), own] = False
+        out = np.empty(len(x), dtype=object)
+        out[:] = [np.flatnonzero(g).astype(np.int32) for g in go]
+        return {"_to": out}
+
+    rest = placed.join(labelled.filter(F.col("component") != largest).select("id", "component"), "id")
+    sent = with_columns(rest.select("id", "embedding", "component"), "_to array<int>", cells, visits, "component").select("id", "embedding", F.explode("_to").alias("_to"))
+    sent = materialize(sent, "visits")
+    looked = sent.select("id", "_to")
+    if looked.isEmpty():
+        return known, looked
+    counts = materialize(sent.groupBy("_to").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_q")).join(sizes, "_to"), "parts")  # a row a pivot
+    guests = sent.join(F.broadcast(counts), "_to").withColumns({"j": F.pmod(F.xxhash64("id"), "_q").cast("int")}).withColumn("i", every).select("_to", "i", "j", "id", "embedding")
+    hosts = parted.drop("_p").join(F.broadcast(counts), "_to").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_q") - 1))).select("_to", F.col("_part").alias("i"), "j", "id", "embedding")
+
+    def across(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        return star(stacked(x["embedding"], True), stacked(y["embedding"], True), x["id"].to_numpy(), y["id"].to_numpy(), threshold)
+
+    more = guests.groupBy("_to", "i", "j").cogroup(hosts.groupBy("_to", "i", "j")).applyInPandas(across, "a long, b long")
+    return connected_components(edges.union(materialize(more, "cell-links")), alone=TOGETHER), looked

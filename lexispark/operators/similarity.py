@@ -10,7 +10,6 @@ from lexispark.functions.lineage import materialize
 from lexispark.functions.text import morph_variants, normalise_text
 from lexispark.operators import cells
 from lexispark.operators.cells import BLOCK, pairs_within
-from lexispark.operators.components import connected_components
 
 METHODS = ("exact", "morphological", "embedding")
 
@@ -40,7 +39,7 @@ def similar_pairs_lsh(vectors: DataFrame, threshold: float = 0.8, id_col: str =
 def cluster_vocab(vocab: DataFrame, vectors: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``vocab_id, cluster_id, is_representative, is_singleton``: components of the similar pairs, named by their smallest member."""
     known = vocab.select("vocab_id", "lemma").join(vectors, "lemma").select("vocab_id", "embedding")
-    inside = connected_components(similar_pairs(known, threshold, "vocab_id")).select(F.col("node").alias("vocab_id"), F.col("component").alias("cluster_id"))
+    inside = cells.linked_within(known, threshold, "vocab_id")[0].select(F.col("node").alias("vocab_id"), F.col("component").alias("cluster_id"))
     out = vocab.select("vocab_id").distinct().join(inside, "vocab_id", "left")
     return out.select("vocab_id", F.coalesce("cluster_id", "vocab_id").alias("cluster_id"), F.coalesce(F.col("cluster_id") == F.col("vocab_id"), F.lit(True)).alias("is_representative"), F.col("cluster_id").isNull().alias("is_singleton"))
 

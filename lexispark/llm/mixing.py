@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexispark.functions.lineage import materialize
 
@@ -63,8 +63,8 @@ def rake(cells: DataFrame, targets: DataFrame, margins: Sequence[str] = MARGINS,
     now = materialize(now, "cells")
     for _ in range(sweeps):
         for m in margins:
-            have = now.groupBy(m).agg(F.sum("weight").alias("_have"))
-            now = now.join(have, m).withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * F.coalesce(f"_to_{m}", F.lit(0.0)) / F.col("_have")).otherwise(0.0)).drop("_have")
+            have = F.sum("weight").over(Window.partitionBy(m))  # a join with the sums would read the cells twice for every margin
+            now = now.withColumn("_have", have).withColumn("weight", F.when(F.col("_have") > 0, F.col("weight") * F.coalesce(f"_to_{m}", F.lit(0.0)) / F.col("_have")).otherwise(0.0)).drop("_have")
         now = materialize(now, "cells")
     return now.drop(*[f"_to_{m}" for m in margins])
 

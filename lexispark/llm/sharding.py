@@ -88,12 +88,12 @@ def _split(placed: DataFrame, nodes: Sequence[tuple[int, int, int, float]], n_di
             .filter(F.shiftright("_key", shift) == F.col("_prefix"))
             .groupBy("_first", "_below", "_want", F.shiftright("_key", shift - step).alias("_next")).agg(F.sum("_size").alias("_w"))
         )
-        by_node = Window.partitionBy("_first").orderBy("_next")  # at most 2^13 digits a node
+        # at most 2^13 digits a node, of which the first that reaches the wanted weight, or else the last, is the hit
+        nothing = F.struct(F.lit(None).cast("long").alias("_next"), F.col("_below").alias("_upto"), F.lit(0).cast("long").alias("_w"))
+        step_on = lambda hit, d: F.when(hit["_next"].isNotNull() & (hit["_upto"] >= F.col("_want")), hit).otherwise(F.struct(d["_next"].alias("_next"), (hit["_upto"] + d["_w"]).alias("_upto"), d["_w"].alias("_w")))
         found = (
-            digits.withColumn("_upto", F.col("_below") + F.sum("_w").over(by_node))
-            .withColumn("_last", F.row_number().over(Window.partitionBy("_first").orderBy(F.col("_next").desc())) == 1)
-            .filter((F.col("_upto") >= F.col("_want")) | F.col("_last"))
-            .groupBy("_first").agg(F.min_by(F.struct("_next", "_upto", "_w"), "_next").alias("_hit")).collect()
+            digits.groupBy("_first", "_below", "_want").agg(F.array_sort(F.collect_list(F.struct("_next", "_w"))).alias("_digits"))
+            .select("_first", F.aggregate("_digits", nothing, step_on).alias("_hit")).collect()
         )
         for r in found:
             dim, _, _, want = state[r["_first"]]

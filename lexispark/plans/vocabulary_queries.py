@@ -27,7 +27,7 @@ def enriched(v):
 
 
 def properties(v):
-    return v["lx_properties"].filter("pos_in_list <= 15").withColumns({"doc_no": F.lit(0), "row_no": F.lit(0)})  # the cap of properties per synset
+    return v["lx_properties"].withColumns({"doc_no": F.lit(0), "row_no": F.lit(0)})
 
 
 @query(f"SELECT synset_id, pos_in_list::INT AS pos_in_list, text, CASE WHEN length(synset_id) % 2 = 1 THEN salience ELSE 1.0 END AS salience, CASE WHEN length(synset_id) % 2 = 1 THEN property_type END AS property_type FROM {CAPPED}")
@@ -44,12 +44,12 @@ def vocabulary(v):
     return E.curate_properties(properties(v), v["lx_vectors"])
 
 
-@query(f"SELECT row_number() OVER (ORDER BY text) AS property_id, text, lemma IS NULL AS is_oov, 'pilot' AS source FROM (SELECT DISTINCT text FROM {CAPPED}) LEFT JOIN lx_vectors ON lemma = text")
+@query("SELECT row_number() OVER (ORDER BY text) AS property_id, text, lemma IS NULL AS is_oov, 'pilot' AS source FROM (SELECT DISTINCT text FROM lx_properties) LEFT JOIN lx_vectors ON lemma = text")
 def curate_properties(v):
     return vocabulary(v).drop("embedding")
 
 
-@query(f"WITH p AS (SELECT *, dense_rank() OVER (ORDER BY text) AS property_id FROM {CAPPED}) SELECT synset_id, property_id, salience, property_type, relation FROM p")
+@query("WITH p AS (SELECT *, dense_rank() OVER (ORDER BY text) AS property_id FROM lx_properties) SELECT synset_id, property_id, salience, property_type, relation FROM p")
 def populate_properties(v):
     return E.populate_properties(properties(v), vocabulary(v))
 
